@@ -21,6 +21,7 @@ from cadenza.operators.segments import seg_candidates
 
 K = 24
 GROUP = 128          # block matrices combined per task
+TIE = 1e-9           # scores closer than this are equal
 
 
 # ------------------------------------------------------------------------------ emissions
@@ -122,26 +123,39 @@ def _best(x: np.ndarray, penalty: float) -> np.ndarray:
     return np.maximum(x, x.max(axis=-1, keepdims=True) - penalty)
 
 
-def _decode(E: np.ndarray, lengths: np.ndarray, penalty: float, enter: np.ndarray | None, leave: np.ndarray | None,
-            enter_max: np.ndarray | None, leave_max: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Path and posteriors of padded songs E [S, T, K]; enter / leave carry the rest of a long song."""
+def _first_max(x: np.ndarray) -> np.ndarray:
+    """Lowest index among equal maxima (equal up to rounding noise, so block layout does not matter)."""
+    return (x >= x.max(axis=1, keepdims=True) - TIE).argmax(axis=1)
+
+
+def _best_path(E: np.ndarray, lengths: np.ndarray, penalty: float, enter_max: np.ndarray | None
+               ) -> tuple[np.ndarray, np.ndarray]:
+    """Final scores and back pointers; on ties staying in the key wins."""
     S, T, _ = E.shape
-    alpha, score = np.zeros_like(E), np.zeros((S, K))
-    back = np.zeros((S, T, K), dtype=np.int16)
+    score = E[:, 0].copy()
     same = np.arange(K, dtype=np.int16)[None, :]
-    for t in range(T):
-        if t == 0 and enter is None:
-            alpha[:, 0], score = E[:, 0], E[:, 0].copy()
-            continue
-        before = enter if t == 0 else alpha[:, t - 1]
-        alpha[:, t] = _mix(before, penalty) + E[:, t]
+    back = np.broadcast_to(same, (S, T, K)).copy()
+    for t in range(0 if enter_max is not None else 1, T):
         src = enter_max if t == 0 else score
-        top = src.argmax(axis=1)
+        top = _first_max(src)
         jump = np.take_along_axis(src, top[:, None], 1) - penalty
-        stay = src >= jump
+        stay = src >= jump - TIE
         back[:, t] = np.where(stay, same, top[:, None].astype(np.int16))
-        nxt = np.where(stay, src, jump) + E[:, t]
-        score = np.where((t < lengths)[:, None], nxt, score)
+        score = np.where((t < lengths)[:, None], np.where(stay, src, jump) + E[:, t], score)
+    return score, back
+
+
+def _decode(E: np.ndarray, lengths: np.ndarray, penalty: float, enter: np.ndarray | None, leave: np.ndarray | None,
+            enter_max: np.ndarray | None, end_state: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Path and posteriors of padded songs E [S, T, K]; enter / leave / end_state carry the rest of a long song."""
+    S, T, _ = E.shape
+    score, back = _best_path(E, lengths, penalty, enter_max)
+    alpha = np.zeros_like(E)
+    for t in range(T):
+        if t == 0 and enter is None:
+            alpha[:, 0] = E[:, 0]
+        else:
+            alpha[:, t] = _mix(enter if t == 0 else alpha[:, t - 1], penalty) + E[:, t]
     beta = np.zeros_like(E)
     last = lengths - 1
     rows = np.arange(S)
@@ -153,7 +167,7 @@ def _decode(E: np.ndarray, lengths: np.ndarray, penalty: float, enter: np.ndarra
     g = alpha + beta
     post = np.exp(g - _lse(g, 2)[:, :, None])
     path = np.zeros((S, T), dtype=np.int32)
-    k = (score if leave_max is None else score + leave_max).argmax(axis=1)
+    k = _first_max(score) if end_state is None else end_state
     for t in range(T - 1, -1, -1):
         inside = t <= last
         path[:, t] = np.where(inside, k, 0)
@@ -180,8 +194,9 @@ def _decoder(penalty: float, key_type: str):
             for lo in range(0, len(order), 64):       # similar lengths together: little padding
                 rows = pdf.iloc[order[lo:lo + 64]].reset_index(drop=True)
                 E, lengths = _padded(rows)
+                end = rows["end_state"].to_numpy() if "end_state" in rows.columns else None
                 path, post = _decode(E, lengths, penalty, _vector(rows, "enter"), _vector(rows, "leave"),
-                                     _vector(rows, "enter_max"), _vector(rows, "leave_max"))
+                                     _vector(rows, "enter_max"), end)
                 yield pd.DataFrame({
                     "song_id": rows["song_id"], "first_seg": rows["first_seg"],
                     "path": [path[i, :n].tolist() for i, n in enumerate(lengths)],
@@ -257,7 +272,7 @@ def _combine(key_type: str):
     return run, f"song_id {key_type}, blk int, hi array<double>, lo array<double>"
 
 
-_VECTORS = ["enter_max", "enter", "leave_max", "leave"]
+_VECTORS = ["enter_max", "enter", "leave"]
 
 
 def _spread(key_type: str):
@@ -267,20 +282,18 @@ def _spread(key_type: str):
         n = len(pdf)
         hi = [np.reshape(x, (K, K)) for x in pdf["hi"]]
         lo = [np.reshape(x, (K, K)) for x in pdf["lo"]]
-        first = pdf.iloc[0]
-        v, w = np.asarray(first["enter_max"]), np.asarray(first["enter"])
+        v, w = np.asarray(pdf["enter_max"].iloc[0]), np.asarray(pdf["enter"].iloc[0])
         ins = []
         for i in range(n):
             ins.append((v, w))
             v, w = (v[:, None] + hi[i]).max(axis=0), _lse(w[:, None] + lo[i], 0)
-        v, w = np.asarray(first["leave_max"]), np.asarray(first["leave"])
-        outs = [None] * n
+        w = np.asarray(pdf["leave"].iloc[0])
+        outs = [w] * n
         for i in range(n - 1, -1, -1):
-            outs[i] = (v, w)
-            v, w = (hi[i] + v[None, :]).max(axis=1), _lse(lo[i] + w[None, :], 1)
-        return pd.DataFrame({"song_id": pdf["song_id"], "blk": pdf["blk"],
-                             "enter_max": [a for a, _ in ins], "enter": [b for _, b in ins],
-                             "leave_max": [a for a, _ in outs], "leave": [b for _, b in outs]})
+            outs[i] = w
+            w = _lse(lo[i] + w[None, :], 1)
+        return pd.DataFrame({"song_id": pdf["song_id"], "blk": pdf["blk"], "enter_max": [a for a, _ in ins],
+                             "enter": [b for _, b in ins], "leave": outs})
 
     return run, f"song_id {key_type}, blk int, " + ", ".join(f"{v} array<double>" for v in _VECTORS)
 
@@ -288,8 +301,7 @@ def _spread(key_type: str):
 def _edge_vectors(mats: DataFrame, key_type: str) -> DataFrame:
     """(song_id, blk) -> vectors entering and leaving the block, by a tree of bounded groups."""
     if mats.where("blk > 0").isEmpty():
-        zero = f"array_repeat(0D, {K})"
-        return mats.selectExpr("song_id", "blk", *[f"{zero} as {v}" for v in _VECTORS])
+        return mats.selectExpr("song_id", "blk", *[f"array_repeat(0D, {K}) as {v}" for v in _VECTORS])
     grouped = mats.selectExpr("*", f"cast(blk div {GROUP} as int) as grp")
     run, schema = _combine(key_type)
     tops = seq.stage(grouped.groupBy("song_id", "grp").applyInPandas(run, schema))
@@ -299,16 +311,65 @@ def _edge_vectors(mats: DataFrame, key_type: str) -> DataFrame:
     return seq.stage(joined.groupBy("song_id", "grp").applyInPandas(run, schema))
 
 
+def _trace_maps(penalty: float, key_type: str):
+    """Block -> map from the key at its end to the key at the end of the block before, and its best final key."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples():
+                E = np.asarray(row.emission, dtype=float).reshape(1, -1, K)
+                enter = np.asarray(row.enter_max)[None, :] if row.blk > 0 else None
+                score, back = _best_path(E, np.array([E.shape[1]]), penalty, enter)
+                m = np.arange(K)
+                for t in range(E.shape[1] - 1, -1, -1):
+                    m = back[0, t, m]
+                out.append((row.song_id, row.blk, m.tolist(), int(_first_max(score)[0])))
+            yield pd.DataFrame(out, columns=["song_id", "blk", "m", "final"])
+
+    return run, f"song_id {key_type}, blk int, m array<int>, final int"
+
+
+def _end_states(maps: DataFrame, key_type: str) -> DataFrame:
+    """(song_id, blk) -> key at the end of the block, following the maps back from the song's end."""
+    grouped = maps.selectExpr("*", f"cast(blk div {GROUP} as int) as grp")
+
+    def combine(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("blk", ascending=False)
+        m = np.arange(K)
+        for one in pdf["m"]:
+            m = np.asarray(one)[m]
+        return pd.DataFrame([(pdf["song_id"].iloc[0], int(pdf["grp"].iloc[0]), m.tolist(), int(pdf["final"].iloc[0]))],
+                            columns=["song_id", "blk", "m", "final"])
+
+    def spread(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("blk", ascending=False).reset_index(drop=True)
+        k, ends = int(pdf["end_state"].iloc[0]), []
+        for one in pdf["m"]:
+            ends.append(k)
+            k = int(one[k])
+        return pd.DataFrame({"song_id": pdf["song_id"], "blk": pdf["blk"], "end_state": ends})
+
+    if maps.where("blk > 0").isEmpty():
+        return maps.selectExpr("song_id", "blk", "final as end_state")
+    tops = seq.stage(grouped.groupBy("song_id", "grp").applyInPandas(
+        combine, f"song_id {key_type}, blk int, m array<int>, final int"))
+    above = _end_states(tops, key_type).withColumnRenamed("blk", "grp")
+    return seq.stage(grouped.join(above, ["song_id", "grp"]).groupBy("song_id", "grp").applyInPandas(
+        spread, f"song_id {key_type}, blk int, end_state int"))
+
+
 def _decode_long(blocks: DataFrame, penalty: float, key_type: str) -> DataFrame:
     blocks = seq.stage(blocks)
     run, schema = _transfer(penalty, key_type)
     mats = seq.stage(blocks.select("song_id", "blk", "emission").mapInPandas(run, schema))
-    edges = _edge_vectors(mats, key_type)
-    full = blocks.join(edges, ["song_id", "blk"])
+    full = blocks.join(_edge_vectors(mats, key_type), ["song_id", "blk"])
+    run, schema = _trace_maps(penalty, key_type)
+    maps = seq.stage(full.select("song_id", "blk", "emission", "enter_max").mapInPandas(run, schema))
+    full = full.join(_end_states(maps, key_type), ["song_id", "blk"])
     run, schema = _decoder(penalty, key_type)
-    inner = full.where("blk > 0").select("song_id", "first_seg", "n", "emission", *_VECTORS).mapInPandas(run, schema)
-    head = full.where("blk = 0").select("song_id", "first_seg", "n", "emission", "leave_max", "leave").mapInPandas(run, schema)
-    return head.unionByName(inner)
+    cols = ["song_id", "first_seg", "n", "emission", "leave", "end_state"]
+    inner = full.where("blk > 0").select(*cols, "enter_max", "enter").mapInPandas(run, schema)
+    return full.where("blk = 0").select(*cols).mapInPandas(run, schema).unionByName(inner)
 
 
 # ------------------------------------------------------------------------------ regions
