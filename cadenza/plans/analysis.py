@@ -29,6 +29,7 @@ class Analysis:
     global_keys: DataFrame
     progressions: DataFrame
     events: DataFrame
+    context: DataFrame
     params: dict
 
 
@@ -58,7 +59,7 @@ def analyze(frames: DataFrame, params: dict | None = None, given: DataFrame | No
     found = rules.describe(rules.detect(context, p, entries, regions, keys), keyed)
     events = seq.stage(rs.number_events(rs.resolve_events(found, p), p))
     named = idm.describe_progressions(matches, segments, keys) if exempt is not None else None
-    return Analysis(segments, runs, keys, keyed, regions, ky.global_keys(segments, keys, p), named, events, p)
+    return Analysis(segments, runs, keys, keyed, regions, ky.global_keys(segments, keys, p), named, events, context, p)
 
 
 def segment_output(a: Analysis) -> DataFrame:
