@@ -76,27 +76,30 @@ def root_evidence(masses: DataFrame, params: dict, entries: list[dict]) -> DataF
     b = params["borrowed"]["quality_base"]
     pen = params["quality"]["contradict_penalty"]
 
+    def ties(value: str) -> str:
+        return f"cast(floor(({value}) * 1e9D + 0.5D) as bigint)"      # equal up to summation noise
+
     def best(name: str, value: str, fields: dict[str, str]) -> str:
         rest = "".join(f", {e} as {n}" for n, e in fields.items())
-        return f"max(struct({value} as v, seg{rest}, rp, tr, tq)) as {name}"
+        return f"max(struct({ties(value)} as tie, seg, {value} as v{rest}, rp, tr, tq)) as {name}"
 
     feats = []
     for (required, classes), name in borrowed_features(entries).items():
         mass = " + ".join(f"x{c}" for c in classes)
         if required:
-            feats.append(f"max(struct({mass} as v, seg, ({mass}) / rp as m)) as {name}")
+            feats.append(f"max(struct({ties(mass)} as tie, seg, {mass} as v, ({mass}) / rp as m)) as {name}")
         else:
             contra = "min + dim + hdim" if set(classes) <= {"maj", "dom"} else "maj + dom"
             v = f"xall * greatest({b}D + (1 - {b}D) * ({mass}) / rp - {pen}D * ({contra}) / rp, 0D)"
-            feats.append(f"max(struct({v} as v, -seg as seg, ({mass}) / rp as m)) as {name}")
+            feats.append(f"max(struct({ties(v)} as tie, -seg as seg, {v} as v, ({mass}) / rp as m)) as {name}")
     raw = seq.sql(f"""
         select song_id, run, root, first(seg_last) as seg_last, first(kl) as kl, first(ltr) as ltr, first(ltq) as ltq,
           max(rp) as rp, min(if(rp >= {least}D, struct(seg, -rp as nrp, -maxp as np), null)) as ord,
           {best('ii', 'min + hdim + dim', {'c': '(maj + dom + aug) / rp', 'low': '(hdim + dim) / rp'})},
           {best('vv', 'dom + maj + aug', {'s': 'sus / rp', 'c': '(min + dim + hdim) / rp', 'x': 'dx / rp', 'k': 'ks'})},
           {best('md', 'maj + dom', {'c': '(min + dim + hdim) / rp', 'sev': 'sev / rp'})},
-          max(struct(dw as v, seg, tr, tq)) as dw, max(struct(lt as v, seg, tr, tq)) as lt,
-          max(struct(tt as v, seg, tr, tq)) as tt,
+          max(struct({ties('dw')} as tie, seg, dw as v, tr, tq)) as dw, max(struct({ties('lt')} as tie, seg, lt as v, tr, tq)) as lt,
+          max(struct({ties('tt')} as tie, seg, tt as v, tr, tq)) as tt,
           max(if(seg = seg_first, struct((maj + min) / rp as ok, (dim + hdim) / rp as bad, maj / rp as maj, min / rp as min,
                                          (maj + dom) / rp as md), null)) as fst,
           max(min + hdim + dim) as pre_ii, max(min + hdim) as pre_ii2, max(maj + min) as pre_iv, {', '.join(feats)}
@@ -105,7 +108,7 @@ def root_evidence(masses: DataFrame, params: dict, entries: list[dict]) -> DataF
     def settled(name: str, zeros: dict[str, str]) -> str:
         rest = "".join(f", {z} as {n}" for n, z in zeros.items())
         return (f"if({name}.v > 0 or {name}.seg = seg_last, {name}, "
-                f"struct(0D as v, seg_last as seg{rest}, 1D as rp, ltr as tr, ltq as tq)) as {name}")
+                f"struct(0L as tie, seg_last as seg, 0D as v{rest}, 1D as rp, ltr as tr, ltq as tq)) as {name}")
 
     keep = ", ".join(borrowed_features(entries).values())
     return raw.selectExpr("song_id", "run", "root", "rp", "ord", settled("ii", {"c": "0D", "low": "0D"}),

@@ -35,8 +35,8 @@ def pattern_evidence(segments_with_run: DataFrame, runs: DataFrame, params: dict
                        f"({', '.join(repr(x) for x in DEFINITE if x not in s)}), prob, 0D)) as c{j}" for j, s in enumerate(classes))
     per_root = seq.sql(f"select song_id, run, seg, root, sum(prob) as rp, {masses} from {{c}} where root is not null "
                        "group by song_id, run, seg, root", c=c)
-    best = ", ".join(f"max(struct(m{j} as v, seg, m{j} / rp as m, c{j} / rp as c)) as k{j}" for j in range(len(classes)))
-    fields = ", ".join(f"if(k{j}.v > 0 or k{j}.seg = r.seg_last, k{j}, struct(0D as v, r.seg_last as seg, 0D as m, 0D as c)) as k{j}"
+    best = ", ".join(f"max(struct(cast(floor(m{j} * 1e9D + 0.5D) as bigint) as tie, seg, m{j} as v, m{j} / rp as m, c{j} / rp as c)) as k{j}" for j in range(len(classes)))
+    fields = ", ".join(f"if(k{j}.v > 0 or k{j}.seg = r.seg_last, k{j}, struct(0L as tie, r.seg_last as seg, 0D as v, 0D as m, 0D as c)) as k{j}"
                        for j in range(len(classes)))
     head = "coalesce(first(bass_head)[{0}], 0D)"
     has_head = "coalesce(array_max(first(bass_head)), 0D) > 0"
@@ -57,7 +57,7 @@ def pattern_evidence(segments_with_run: DataFrame, runs: DataFrame, params: dict
         bass_cols = "".join(f", b.bass{j}" for j in range(len(basses)))
         bass_join = "left join b on b.song_id = r.song_id and b.run = r.run"
     return seq.sql(f"""
-        with a as (select song_id, run, root, max(rp) as rp, max(struct(rp as v, seg)) as top, {best}
+        with a as (select song_id, run, root, max(rp) as rp, max(struct(cast(floor(rp * 1e9D + 0.5D) as bigint) as tie, seg)) as top, {best}
                    from {{p}} group by song_id, run, root),
              m as (select a.song_id, a.run, map_from_entries(collect_list(struct(a.root, struct(
                           rp, top.seg as any_seg, {fields})))) as rk
@@ -86,7 +86,7 @@ def score_positions(evidence: DataFrame, params: dict, idioms: list[dict]) -> Da
     bass = "case bset " + " ".join(f"when {j} then bass{j}" for j in range(len(basses))) + " end" if basses else \
         "cast(null as array<double>)"
     k = "case feat " + " ".join(f"when {j} then try_element_at(rk, pc).k{j}" for j in range(len(classes))) + " end" \
-        if classes else "cast(null as struct<v:double,seg:int,m:double,c:double>)"
+        if classes else "cast(null as struct<tie:bigint,seg:int,v:double,m:double,c:double>)"
     return seq.sql(f"""
         with x as (select *, {bass} as bass_by_tonic
                    from (select *, inline({_positions(idioms)}) as (idiom, pos, opts, feat, bset) from {{e}})

@@ -150,7 +150,7 @@ def link_runs(runs: DataFrame, size: int | None = None) -> DataFrame:
     if size is None:
         near = "struct(run, walls)"
         return seq.sql(f"""
-            select {cols}, if(nx.walls = walls, nx.run, null) as next_run, if(pv.walls = walls, pv.run, null) as prev_run
+            select {cols}, if(nx.walls = walls, nx.run, null) as next_run, if(pv.walls = walls - if(state = 'block', 1, 0), pv.run, null) as prev_run
             from (select *, last(if(state = 'use', {near}, null), true) over (partition by song_id order by run desc
                               rows between unbounded preceding and 1 preceding) as nx,
                             last(if(state = 'use', {near}, null), true) over (partition by song_id order by run
@@ -159,7 +159,7 @@ def link_runs(runs: DataFrame, size: int | None = None) -> DataFrame:
         select {cols}, n.run as next_run, p.run as prev_run from {{r}} r
         left join {{r}} n on n.song_id = r.song_id and n.state = 'use' and n.u = r.u + 1 and n.walls = r.walls
         left join {{r}} p on p.song_id = r.song_id and p.state = 'use'
-             and p.u = r.u - if(r.state = 'use', 1, 0) and p.walls = r.walls""", r=seq.stage(r))
+             and p.u = r.u - if(r.state = 'use', 1, 0) and p.walls = r.walls - if(r.state = 'block', 1, 0)""", r=seq.stage(r))
 
 
 def seg_candidates(segments: DataFrame, *extra: str) -> DataFrame:
