@@ -37,9 +37,9 @@ def point_lookup(points: DataFrame, intervals: DataFrame, width: float = BUCKET)
     """First interval (by start) that contains each point ``at``: struct columns ``p`` and ``i`` (null if none)."""
     return seq.sql(f"""
         with x as (select struct(*) as p, song_id, cast(floor(at / {width}D) as bigint) as slot from {{p}}),
-             y as (select struct(start, *) as i, song_id, explode(sequence(cast(floor(start / {width}D) as bigint),
+             y as (select struct(*) as i, song_id, explode(sequence(cast(floor(start / {width}D) as bigint),
                           cast(floor(end / {width}D) as bigint))) as slot from {{i}})
-        select x.song_id, x.p, min(y.i) as i from x left join y on x.song_id = y.song_id and x.slot = y.slot
+        select x.song_id, x.p, min_by(y.i, y.i.start) as i from x left join y on x.song_id = y.song_id and x.slot = y.slot
              and y.i.start <= x.p.at and x.p.at < y.i.end group by x.song_id, x.p""", p=points, i=intervals)
 
 
@@ -48,15 +48,15 @@ def nearest(points: DataFrame, grid: DataFrame) -> DataFrame:
 
     The two neighbours of a point in the merged time order are enough, so nothing is paired off.
     """
-    return seq.sql("""
-        with u as (select song_id, at, struct(*) as p, cast(null as struct<at:double,idx:int>) as g from {p}
-                   union all select song_id, cast(at as double), null, struct(cast(at as double) as at, cast(grid_idx as int) as idx) from {g}),
-        n as (select *, max(g) over (partition by song_id order by at rows between unbounded preceding and current row) as lo,
-                     min(g) over (partition by song_id order by at desc, if(p is null, 1, 0) rows between unbounded preceding and current row) as hi
-              from u),
-        b as (select song_id, p, lo, if(lo is not null and hi is not null and lo.at = hi.at, least(lo, hi), hi) as hi from n where p is not null)
-        select p.*, if(hi is null or (lo is not null and p.at - lo.at <= hi.at - p.at), lo, hi).idx as grid_idx,
-               if(hi is null or (lo is not null and p.at - lo.at <= hi.at - p.at), lo, hi).at as grid_at from b""", p=points, g=grid)
+    near = "if(hi is null or (lo is not null and p.at - lo.at <= hi.at - p.at), struct(lo.at as at, -lo.neg as idx), hi)"
+    return seq.sql(f"""
+        with u as (select song_id, at, struct(*) as p, cast(null as int) as idx from {{p}}
+                   union all select song_id, cast(at as double), null, cast(grid_idx as int) from {{g}}),
+        n as (select *, max(if(idx is null, null, struct(at, -idx as neg))) over (partition by song_id order by at, if(idx is null, 1, 0)
+                          rows between unbounded preceding and current row) as lo,
+                     min(if(idx is null, null, struct(at, idx))) over (partition by song_id order by at desc, if(idx is null, 1, 0)
+                          rows between unbounded preceding and current row) as hi from u)
+        select p.*, {near}.idx as grid_idx, {near}.at as grid_at from n where p is not null""", p=points, g=grid)
 
 
 # ------------------------------------------------------------------------------ event matching

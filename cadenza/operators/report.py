@@ -141,7 +141,9 @@ def analysis_documents(segment_rows: DataFrame, events: DataFrame, regions: Data
     from cadenza import theory as th
 
     def packed(name: str, order: str, cols: str) -> str:
-        return f"select song_id, transform(sort_array(collect_list(struct({order}, struct({cols}) as x))), z -> z.x) as {name} from {{{name}}} group by song_id"
+        by_order = "(l, r) -> case when l.o < r.o then -1 when l.o > r.o then 1 else 0 end"
+        return (f"select song_id, transform(array_sort(collect_list(struct({order} as o, struct({cols}) as x)), {by_order}), z -> z.x) as {name} "
+                f"from {{{name}}} group by song_id")
 
     return seq.sql(f"""
         with s as ({packed('segments', 'seg', 'seg, start, end, beats, chord, chord_harte, candidates, key, key_prob, numeral, display, functions, event_ids, confidence, low_confidence, warnings, section, bar')}),
