@@ -66,47 +66,70 @@ def pattern_evidence(segments_with_run: DataFrame, runs: DataFrame, params: dict
         from {{r}} r join m on m.song_id = r.song_id and m.run = r.run {bass_join}""", **tables)
 
 
-def _positions(idioms: list[dict]) -> str:
+def _positions(idioms: list[dict], with_bass: bool) -> str:
+    """Literal list of (idiom, position, options): one row per option, which must win among its rivals."""
     classes, basses = _sets(idioms, "classes"), _sets(idioms, "bass")
+    width = max(len(p["degrees"]) for i in idioms for p in i["positions"])
     rows = []
     for i in idioms:
         for n, p in enumerate(i["positions"]):
-            opts = [[d] for d in p["degrees"]] if n == 0 else [p["degrees"]]
+            if bool(p["bass"]) != with_bass:
+                continue
             feat = classes.index(tuple(sorted(p["classes"]))) if p["classes"] else -1
             bass = basses.index(tuple(sorted(p["bass"]))) if p["bass"] else -1
-            rows += [f"struct({i['idiom']} as idiom, {n} as pos, array({', '.join(map(str, o))}) as opts, {feat} as feat, "
-                     f"{bass} as bset)" for o in opts]
-    return f"array({', '.join(rows)})"
+            for o, d in enumerate(p["degrees"]):
+                group = [d] if n == 0 else p["degrees"]
+                opts = [str(x) for x in group] + ["cast(null as int)"] * (width - len(group))
+                rows.append(f"struct({i['idiom']} as idiom, {n} as pos, {d} as deg, {0 if n == 0 else o} as rank, {len(group)} as n_opts, "
+                            f"{feat} as feat, {bass} as bset, " + ", ".join(f"{x} as o{k}" for k, x in enumerate(opts)) + ")")
+    return f"array({', '.join(rows)})" if rows else ""
 
 
 def score_positions(evidence: DataFrame, params: dict, idioms: list[dict]) -> DataFrame:
-    """Rows (run, idiom, position, tonic) whose evidence reaches the floor."""
+    """Rows (run, idiom, position, tonic) whose evidence reaches the floor.
+
+    Positions defined by roots start from the likely roots of the run, positions defined by the bass
+    from the likely bass; an option counts only where it is the likeliest of its position.
+    """
     q, floor = params["quality"], params["named_progressions"]["min_position_factor"]
     classes, basses = _sets(idioms, "classes"), _sets(idioms, "bass")
-    bass = "case bset " + " ".join(f"when {j} then bass{j}" for j in range(len(basses))) + " end" if basses else \
-        "cast(null as array<double>)"
-    k = "case feat " + " ".join(f"when {j} then try_element_at(rk, pc).k{j}" for j in range(len(classes))) + " end" \
-        if classes else "cast(null as struct<tie:bigint,seg:int,v:double,m:double,c:double>)"
+    width = max(len(p["degrees"]) for i in idioms for p in i["positions"])
+    opts = ", ".join(f"o{k}" for k in range(width))
+    names = f"idiom, pos, deg, rank, n_opts, feat, bset, {opts}"
+    rp = [f"if(o{k} is null, -1D, rps[pmod(tonic + o{k}, 12)])" for k in range(width)]
+    wins = " and ".join(f"(rank = {k} or p{k} < own or (p{k} = own and rank < {k}))" for k in range(width))
+    total = " + ".join(f"greatest(p{k}, 0D)" for k in range(width))
+    k = "case feat " + " ".join(f"when {j} then k.k{j}" for j in range(len(classes))) + " end" if classes else \
+        "cast(null as struct<tie:bigint,seg:int,v:double,m:double,c:double>)"
+    # rows are multiplied by positions, so they carry twelve probabilities and one root's evidence, not the map
+    base = "song_id, run, root, state, seg_first, seg_last, u, walls, rps"
+    source = f"(select {base.replace(', rps', '')}, transform(sequence(0, 11), i -> coalesce(try_element_at(rk, i).rp, 0D)) as rps, "
+    none = "cast(null as double)"
+    parts, tables = [], {"e": evidence}
+    if _positions(idioms, False):
+        least = floor / width
+        parts.append(f"""
+            select {base}, {names}, cast(pmod(pc - deg, 12) as int) as tonic, {none} as bass, k
+            from (select *, inline({_positions(idioms, False)}) as ({names})
+                  from {source} explode(rk) as (pc, k) from {{e}}) where k.rp >= {least}D)
+            where if(pos = 0, pc = root, state = 'use') and k.rp >= {floor}D / n_opts""")
+    if basses:
+        by_tonic = "case bset " + " ".join(f"when {j} then bass{j}" for j in range(len(basses))) + " end"
+        parts.append(f"""
+            select {base}, {names}, tonic, bass_by_tonic[tonic] as bass, try_element_at(rk, cast(pmod(tonic + deg, 12) as int)) as k
+            from (select *, explode(filter(sequence(0, 11), i -> bass_by_tonic[i] >= {floor}D)) as tonic
+                  from (select *, {by_tonic} as bass_by_tonic from (select *, inline({_positions(idioms, True)}) as ({names})
+                        from {source} rk, {', '.join(f'bass{j}' for j in range(len(basses)))} from {{e}}))))
+            where if(pos = 0, tonic = pmod(root - deg, 12), state = 'use')""")
+    quality = (f"if(feat < 0, 1D, greatest({q['base']}D + (1 - {q['base']}D) * coalesce(kk.m, 0D) - {q['contradict_penalty']}D * coalesce(kk.c, 0D), 0D))")
     return seq.sql(f"""
-        with x as (select *, {bass} as bass_by_tonic
-                   from (select *, inline({_positions(idioms)}) as (idiom, pos, opts, feat, bset) from {{e}})
-                   where pos = 0 or state = 'use'),
-        t as (select *, explode(case
-                   when pos = 0 then array(cast(pmod(root - opts[0], 12) as int))
-                   when bset >= 0 then filter(sequence(0, 11), i -> bass_by_tonic[i] >= {floor}D)
-                   else array_distinct(flatten(transform(filter(map_entries(rk), z -> z.value.rp >= {floor}D / size(opts)),
-                            z -> transform(opts, d -> cast(pmod(z.key - d, 12) as int))))) end) as tonic from x),
-        d as (select *, transform(opts, (o, i) -> struct(
-                   coalesce(try_element_at(rk, cast(pmod(tonic + o, 12) as int)).rp, 0D) as p, -i as i, o as deg)) as ps from t),
-        g as (select *, least(1D, aggregate(ps, 0D, (a, z) -> a + z.p)) as p_root, array_max(ps).deg as deg,
-                     cast(pmod(tonic + array_max(ps).deg, 12) as int) as pc from d),
-        s as (select *, {k} as k from g),
-        f as (select *, if(bset >= 0, bass_by_tonic[tonic] * ({q['base']}D + (1 - {q['base']}D) * p_root), p_root)
-                 * if(feat < 0, 1D, greatest({q['base']}D + (1 - {q['base']}D) * coalesce(k.m, 0D)
-                                            - {q['contradict_penalty']}D * coalesce(k.c, 0D), 0D)) as f from s)
+        with t as ({' union all '.join(parts)}),
+        p as (select *, {', '.join(f'{e} as p{n}' for n, e in enumerate(rp))} from t),
+        w as (select *, least(1D, {total}) as p_root, {k} as kk from (select *, coalesce(k.rp, 0D) as own from p) where {wins}),
+        f as (select *, if(bset >= 0, bass * ({q['base']}D + (1 - {q['base']}D) * p_root), p_root) * {quality} as f from w)
         select song_id, run, seg_first, seg_last, u, walls, idiom, pos, tonic, deg, f,
-               if(feat < 0, coalesce(try_element_at(rk, pc).any_seg, seg_last), coalesce(k.seg, seg_last)) as seg
-        from f where f >= {floor}D""", e=evidence)
+               if(feat < 0, coalesce(k.any_seg, seg_last), coalesce(kk.seg, seg_last)) as seg
+        from f where f >= {floor}D""", **tables)
 
 
 def match_progressions(evidence: DataFrame, params: dict, idioms: list[dict]) -> DataFrame:

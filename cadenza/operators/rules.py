@@ -40,15 +40,14 @@ def prob(map_col: str, pc: str) -> str:
 
 def _finish(text: str, params: dict, type_: str, **tables: DataFrame) -> DataFrame:
     """Best hypothesis per run.  ``text`` yields song_id, run, ord, segs, label, key_idx, functions,
-    explains, attrs and ``factors ARRAY<STRUCT<kind, detail, factor>>``."""
+    explains, attrs, ``value`` and ``factors ARRAY<STRUCT<kind, detail, factor>>``."""
     least = params["general"]["min_event_confidence"]
     return seq.sql(f"""
         with h as ({text}),
-             s as (select *, aggregate(factors, 1D, (a, x) -> a * {unit('x.factor')}) as value from h),
              b as (select song_id, run, max(struct({th.rounded(unit('value'))} as conf, -ord.o1 as o1, -ord.o2 as o2,
                                                    -ord.o3 as o3, segs, label, key_idx, functions, explains,
                                                    to_json(attrs) as attrs, factors)) as e
-                   from s where value >= {least}D group by song_id, run)
+                   from h where value >= {least}D group by song_id, run)
         select song_id, run, '{type_}' as type, e.label, e.segs, e.conf, e.key_idx, e.functions, e.explains,
                from_json(e.attrs, 'map<string,string>') as attrs,
                transform(e.factors, x -> struct(x.kind, x.detail, {th.rounded(unit('x.factor'))} as factor)) as evidence
@@ -63,11 +62,18 @@ def _no_ord(n: str = "0") -> str:
     return f"struct({n} as o1, 0D as o2, 0D as o3)"
 
 
-def ev(kind: str, detail: str, factor: str) -> str:
-    return f"struct('{kind}' as kind, {detail} as detail, {factor} as factor)"
+def ev(kind: str, detail: str, factor: str) -> tuple[str, str, str]:
+    return kind, detail, factor
 
 
-def _ii_v_factors(p: dict) -> list[str]:
+def scored(factors: list[tuple[str, str, str]]) -> str:
+    """Confidence as a plain product (cheap to filter on) and the ledger of its factors."""
+    value = " * ".join(unit(f) for _, _, f in factors)
+    ledger = ", ".join(f"struct('{k}' as kind, {d} as detail, {f} as factor)" for k, d, f in factors)
+    return f"{value} as value, array({ledger}) as factors"
+
+
+def _ii_v_factors(p: dict) -> list[tuple[str, str, str]]:
     c = p["ii_V_I"]
     v_match = f"(v.vv.v / v.vv.rp + {c['sus_v_match']}D * v.vv.s)"
     return [ev("root_motion", "'root rises a 4th'", "i.rp * v.rp"),
@@ -98,7 +104,7 @@ def ii_v_i(ctx: DataFrame, params: dict) -> DataFrame:
                   {th.applied_label('v.vv.tr', 'v.vv.tq', 't', 'tnum')}, cast(null as string))) as functions,
                if({tonic}, cast(array() as array<int>), array(i.ii.seg, v.vv.seg)) as explains,
                map('mode', if(minor, 'minor', 'major'), 'target', tnum, 'tonicization', cast(not {tonic} as string)) as attrs,
-               array({', '.join(factors)}) as factors
+               {scored(factors)}
         from (select *, {tnum} as tnum from (
               select *, {at('pv', 't + 2')} as i, {at('own', 't + 7')} as v,
                      coalesce(n.fst.min > n.fst.md, false) as minor
@@ -125,7 +131,7 @@ def ii_v(ctx: DataFrame, resolved: DataFrame, params: dict) -> DataFrame:
                if({tonic}, cast(array() as array<int>), {base}) as explains,
                map('mode', if(minor, 'minor', 'major'), 'target', tnum, 'tonicization', cast(not {tonic} as string),
                    'resolution', status) as attrs,
-               array({', '.join(factors)}) as factors
+               {scored(factors)}
         from (select *, {tnum} as tnum from (
               select *, case when not has_next then 'end' when p_dec * {c['unresolved_deceptive']}D >= {c['unresolved_other']}D
                              then 'deceptive' else 'unresolved' end as status
@@ -143,7 +149,7 @@ def ii_v(ctx: DataFrame, resolved: DataFrame, params: dict) -> DataFrame:
                    p, "ii_V", ctx=ctx, done=resolved.select("song_id", "run"))
 
 
-def _key_factor(p: dict) -> str:
+def _key_factor(p: dict) -> tuple[str, str, str]:
     return ev("key", "concat('local key ', key_label)", f"power(pl, {p['general']['key_confidence_exponent']}D)")
 
 
@@ -160,7 +166,7 @@ def secondary_dominant(ctx: DataFrame, params: dict) -> DataFrame:
                array(func, cast(null as string)) as functions, array(o.dw.seg) as explains,
                map('target', tnum, 'target_root', {th.spelled('kl', 't')}, 'resolution', status,
                    'has_seventh', cast({th.has_seventh('o.dw.tq')} as string)) as attrs,
-               array({', '.join(factors)}) as factors
+               {scored(factors)}
         from (select *, {th.applied_label('o.dw.tr', 'o.dw.tq', 't', 'tnum')} as func from (
               select *, {tnum} as tnum from (
               select *, case when f_res > {c['unresolved']}D and f_res >= f_dec then 'resolved'
@@ -182,7 +188,7 @@ def leading_tone(ctx: DataFrame, params: dict) -> DataFrame:
     return _finish(f"""
         select song_id, run, {_ord('o.ord')} as ord, array(o.lt.seg, nx_seg) as segs, kl as key_idx, func as label,
                array(func, cast(null as string)) as functions, array(o.lt.seg) as explains,
-               map('target', tnum, 'target_root', {th.spelled('kl', 't')}) as attrs, array({', '.join(factors)}) as factors
+               map('target', tnum, 'target_root', {th.spelled('kl', 't')}) as attrs, {scored(factors)}
         from (select *, {th.applied_label('o.lt.tr', 'o.lt.tq', 't', 'tnum')} as func from (
               select *, {th.target_numeral('kl', 't', 'nx_cls')} as tnum, {prob('nx', 't')} as p_t, {th.key_name('kl')} as key_label
               from (select *, {th.pmod12('r + 1')} as t from (select *, explode(own) as (r, o) from {{ctx}} where has_next)
@@ -205,7 +211,7 @@ def tritone_sub(ctx: DataFrame, params: dict) -> DataFrame:
                concat(func, ' → ', tnum) as label, array(func, cast(null as string)) as functions,
                array(o.tt.seg) as explains,
                map('target', tnum, 'target_root', {th.spelled('nx_kf', 't')}, 'preceded_by_ii', cast(by_ii as string)) as attrs,
-               array({', '.join(factors)}) as factors
+               {scored(factors)}
         from (select *, {func} as func from (
               select *, {th.target_numeral('nx_kf', 't', 'nx_cls')} as tnum, {prob('nx', 't')} as p_t,
                      coalesce({at('pv', 't + 2')}.pre_ii2 >= 0.5, false) as by_ii, {th.key_name('nx_kf')} as key_label
@@ -230,7 +236,7 @@ def borrowed(ctx: DataFrame, params: dict, entries: list[dict]) -> DataFrame:
                array(abs(f.seg)) as explains,
                map_concat(map('source', source, 'entry', numeral, 'theory_note', note),
                           if(degree = 10 and has_next and {prob('nx', 'kl')} >= 0.5, map('backdoor', 'true'),
-                             cast(map() as map<string,string>))) as attrs, array({', '.join(factors)}) as factors
+                             cast(map() as map<string,string>))) as attrs, {scored(factors)}
         from (select /*+ broadcast(b) */ *, {value} as f, {th.key_name('kl')} as key_label
               from (select *, explode(own) as (r, o) from {{ctx}}) c join {{b}} b
                 on b.minor = (c.kl >= 12) and b.degree = {th.degree('c.r', 'c.kl')}
@@ -250,7 +256,7 @@ def aeolian_cadence(ctx: DataFrame, params: dict) -> DataFrame:
         select song_id, run, {_no_ord()} as ord, array(a.md.seg, b.md.seg, seg_first) as segs, kf as key_idx,
                if(kf < 12, '♭VI–♭VII–I', '♭VI–♭VII–i') as label, cast(null as array<string>) as functions,
                cast(array() as array<int>) as explains, map('borrowed', cast(kf < 12 as string)) as attrs,
-               array({', '.join(factors)}) as factors
+               {scored(factors)}
         from (select *, a.rp * b.rp * o.rp as p
               from (select *, {at('pv2', 'kf + 8')} as a, {at('pv', 'kf + 10')} as b, {at('own', 'kf')} as o
                     from {{ctx}} where has_prev {modes})) where p >= {least}D""", p, "aeolian_cadence", ctx=ctx)
@@ -272,7 +278,7 @@ def deceptive_cadence(ctx: DataFrame, params: dict) -> DataFrame:
                concat('V–', name, ' (deceptive cadence)') as label, cast(null as array<string>) as functions,
                cast(array() as array<int>) as explains,
                map('target', name, 'borrowed_target', cast(name = '♭VI' and kl < 12 as string)) as attrs,
-               array({', '.join(factors)}) as factors
+               {scored(factors)}
         from (select *, {at('nx', 'kl + step')} as n, {prepared} as prep, {th.key_name('kl')} as key_label
               from (select *, {at('own', 'kl + 7')} as v,
                            inline(filter(array(struct('vi' as name, 9 as step), struct('♭VI' as name, 8 as step)),

@@ -56,7 +56,7 @@ def analyze(frames: DataFrame, params: dict | None = None, given: DataFrame | No
     keyed = seq.stage(evd.segments_with_keys(segments, keys))
     regions = ky.key_regions(segments, keys, size)
     context = seq.stage(evd.run_context(keyed, runs, p, entries))
-    found = rules.describe(rules.detect(context, p, entries, regions, keys), keyed)
+    found = rules.describe(seq.stage(rules.detect(context, p, entries, regions, keys)), keyed)
     events = seq.stage(rs.number_events(rs.resolve_events(found, p), p))
     named = idm.describe_progressions(matches, segments, keys) if exempt is not None else None
     return Analysis(segments, runs, keys, keyed, regions, ky.global_keys(segments, keys, p), named, events, context, p)

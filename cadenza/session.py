@@ -14,6 +14,9 @@ def local_session(cores: int | None = None, app: str = "cadenza") -> SparkSessio
              .config("spark.sql.shuffle.partitions", str(n))
              .config("spark.sql.adaptive.enabled", "true")
              .config("spark.sql.adaptive.skewJoin.enabled", "true")
+             # small local data, heavy expressions: keep all cores busy instead of merging partitions
+             .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "16k")
+             .config("spark.sql.files.openCostInBytes", "65536")
              .config("spark.sql.session.timeZone", "UTC")
              .config("spark.driver.memory", "16g")
              .config("spark.ui.enabled", "false")

@@ -350,3 +350,82 @@ def _(c):
 @query("w8_merged_keys")
 def _(c):
     return ky.segment_keys(c.segments(), c.params, c.size).selectExpr("song_id", "seg", "key_idx", f"{e4(th.rounded('key_prob'))} as p_e4")
+
+
+# ---------------------------------------------------------------- named progressions
+
+def _pattern_evidence(c: Corpus) -> DataFrame:
+    return c.get("pattern", lambda: idm.pattern_evidence(c.segments(), c.runs(), c.params, c.idioms, c.size))
+
+
+def _matches(c: Corpus) -> DataFrame:
+    return c.get("matches", lambda: idm.match_progressions(_pattern_evidence(c), c.params, c.idioms))
+
+
+def _kept(c: Corpus) -> DataFrame:
+    return c.get("kept", lambda: idm.drop_overlaps(_matches(c)))
+
+
+@query("r10_progression_matches")
+def _(c):
+    return _matches(c).selectExpr("song_id", "name", "idiom", "tonic", "run", "array_join(segs, '-') as segs", f"{e4('conf')} as conf_e4")
+
+
+@query("r11_kept_progressions")
+def _(c):
+    return _kept(c).selectExpr("song_id", "name", "tonic", "array_join(segs, '-') as segs", f"{e4('conf')} as conf_e4")
+
+
+@query("r12_loop_segments")
+def _(c):
+    return idm.loop_segments(_kept(c), _pattern_evidence(c), c.params).distinct()
+
+
+@query("r13_key_prior")
+def _(c):
+    return idm.key_prior(_kept(c), _pattern_evidence(c), c.params).selectExpr("song_id", "seg", "key_idx", "cast(round(bonus * 100000) as bigint) as bonus_e5")
+
+
+@query("r16_progression_rows")
+def _(c):
+    keys = c.keys()
+    return idm.describe_progressions(_kept(c), c.segments(), keys)
+
+
+# ---------------------------------------------------------------- resolved events and outputs
+
+@query("r15_resolved_events")
+def _(c):
+    return c.given_analysis().events.selectExpr("song_id", "event_no", "type", "label", "array_join(segs, '-') as segs", f"{e4('conf')} as conf_e4",
+                                                "size(alternatives) as rivals", "part_of", "low_confidence")
+
+
+@query("u1_rule_union")
+def _(c):
+    return rules.detect(c.context(), c.params, c.entries).groupBy("type").count()
+
+
+@query("p5_full_segment_rows")
+def _(c):
+    return an.segment_output(c.given_analysis())
+
+
+@query("k2_corpus_summary")
+def _(c):
+    from cadenza.operators import report
+    a = c.analysis()
+    return report.corpus_summary(an.segment_output(a), a.global_keys, a.regions, a.events, a.progressions, c.view.select("song_id").distinct())
+
+
+@query("k1_analysis_documents")
+def _(c):
+    from cadenza.operators import report
+    a = c.analysis()
+    return report.analysis_documents(an.segment_output(a), a.events, a.regions, a.global_keys, a.progressions)
+
+
+@query("k5_section_report")
+def _(c):
+    from cadenza.operators import report
+    a = c.given_analysis()
+    return report.section_report(c.frames(), an.segment_output(a), a.events, a.progressions, a.params, size=c.size)

@@ -432,3 +432,88 @@ oracle("r9_modulations", "pathreg post", f"""
      {m4('(SELECT avg(p[a.k + 1]) FROM post p WHERE p.song_id = a.song_id AND p.seg BETWEEN greatest(a.lo, a.hi - 3) AND a.hi) * (SELECT avg(p[b.k + 1]) FROM post p WHERE p.song_id = a.song_id AND p.seg BETWEEN b.lo AND least(b.hi, b.lo + 3))')} AS conf_e4
   FROM (SELECT song_id, region, min(k) AS k, min(seg) AS lo, max(seg) AS hi FROM pathreg GROUP BY 1, 2) a
   JOIN (SELECT song_id, region, min(k) AS k, min(seg) AS lo, max(seg) AS hi FROM pathreg GROUP BY 1, 2) b ON b.song_id = a.song_id AND b.region = a.region + 1""")
+
+# ---------------------------------------------------------------- named progressions
+def _patterns() -> tuple[str, str]:
+    from cadenza.params import progression_entries
+    opts, sets = [], []
+    for i in progression_entries():
+        for n, p in enumerate(i["positions"]):
+            for o, d in enumerate(p["degrees"]):
+                opts.append(f"({i['idiom']},{n},{o if n else 0},{d if n == 0 else -1},{d})")
+            cls = "NULL" if p["classes"] is None else "[" + ",".join(f"'{c}'" for c in p["classes"]) + "]"
+            bass = "NULL" if p["bass"] is None else "[" + ",".join(map(str, p["bass"])) + "]"
+            sets.append(f"({i['idiom']},{n},{cls},{bass},{i['min_length']},'{i['name']}',{str(i['use_key_prior']).lower()})")
+    return (f"(VALUES {','.join(opts)}) o(idiom, pos, opt, head, degree)",
+            f"(VALUES {','.join(sets)}) p(idiom, pos, cls, bass, least, name, prior)")
+
+
+_OPTS, _SETS = _patterns()
+_IN_SET = lambda t: "(" + " + ".join(f"CASE WHEN list_contains({t}, '{c}') THEN m.{c} ELSE 0 END" for c in ("maj", "min", "dom", "dim", "hdim")) + ")"
+_NOT_SET = "(" + " + ".join(f"CASE WHEN list_contains(p.cls, '{c}') THEN 0 ELSE m.{c} END" for c in ("maj", "min", "dom", "dim", "hdim")) + ")"
+cte("rroot", "mass", "SELECT song_id, run, root, max(rp) AS rp, max(seg_last) AS seg_last FROM mass GROUP BY song_id, run, root")
+cte("bshare", "segc srun", """
+  SELECT s.song_id, s.run, s.seg, c.root, sum(c.prob) / max(t.tot) AS share FROM srun s JOIN segc c USING (song_id, seg)
+  JOIN (SELECT song_id, seg, sum(prob) AS tot FROM segc WHERE root IS NOT NULL GROUP BY song_id, seg) t USING (song_id, seg)
+  WHERE c.root IS NOT NULL GROUP BY s.song_id, s.run, s.seg, c.root""")
+cte("posroot", "rroot run", f"""
+  SELECT r.song_id, r.run, r.root AS run_root, r.seg_last, r.state, o.idiom, o.pos, o.head, t.tonic, least(1.0, sum(coalesce(x.rp, 0))) AS p_root,
+         arg_max(o.degree, coalesce(x.rp, 0) * 1000 - o.opt * 1e-6) AS deg
+  FROM (SELECT * FROM run WHERE root IS NOT NULL) r, {_OPTS}, (SELECT unnest(range(12)) AS tonic) t
+  LEFT JOIN rroot x ON x.song_id = r.song_id AND x.run = r.run AND x.root = (t.tonic + o.degree) % 12
+  WHERE CASE WHEN o.pos = 0 THEN (r.root - o.degree + 12) % 12 = t.tonic ELSE r.state = 'use' END
+  GROUP BY r.song_id, r.run, r.root, r.seg_last, r.state, o.idiom, o.pos, o.head, t.tonic""")
+cte("posbass", "bshare", f"""
+  SELECT song_id, run, idiom, pos, tonic, max(share) AS bass FROM (
+    SELECT b.song_id, b.run, b.seg, p.idiom, p.pos, t.tonic, sum(b.share) AS share
+    FROM bshare b, (SELECT *, unnest(bass) AS b1 FROM {_SETS} WHERE bass IS NOT NULL) p, (SELECT unnest(range(12)) AS tonic) t
+    WHERE b.root = (t.tonic + p.b1) % 12 GROUP BY ALL) GROUP BY song_id, run, idiom, pos, tonic""")
+cte("posq", "posroot mass", f"""
+  SELECT x.song_id, x.run, x.idiom, x.pos, x.head, x.tonic,
+         arg_max(m.seg, floor({_IN_SET('p.cls')} * 1e9 + 0.5) * 1000 + m.seg) AS seg,
+         arg_max(greatest(0.75 + 0.25 * CASE WHEN m.rp > 0 THEN {_IN_SET('p.cls')} / m.rp ELSE 0 END
+                 - 0.5 * CASE WHEN m.rp > 0 THEN {_NOT_SET} / m.rp ELSE 0 END, 0), floor({_IN_SET('p.cls')} * 1e9 + 0.5) * 1000 + m.seg) AS q
+  FROM posroot x JOIN {_SETS} ON p.idiom = x.idiom AND p.pos = x.pos AND p.cls IS NOT NULL
+  JOIN mass m ON m.song_id = x.song_id AND m.run = x.run AND m.root = (x.tonic + x.deg) % 12 WHERE x.p_root >= 0.3
+  GROUP BY x.song_id, x.run, x.idiom, x.pos, x.head, x.tonic""")
+cte("posany", "mass", "SELECT song_id, run, root, arg_max(seg, floor(rp * 1e9 + 0.5) * 1000 + seg) AS seg FROM mass GROUP BY song_id, run, root")
+cte("posf", "posroot posbass posq posany", f"""
+  SELECT * FROM (
+    SELECT x.song_id, x.run, x.idiom, x.pos, x.tonic, x.deg, p.least, p.name, p.prior,
+      CASE WHEN p.cls IS NULL THEN coalesce(a.seg, x.seg_last) ELSE coalesce(q.seg, x.seg_last) END AS seg,
+      CASE WHEN p.bass IS NULL THEN x.p_root ELSE coalesce(b.bass, 0) * (0.75 + 0.25 * x.p_root) END
+      * CASE WHEN p.cls IS NULL THEN 1 ELSE coalesce(q.q, 0.75) END AS f
+    FROM posroot x JOIN {_SETS} ON p.idiom = x.idiom AND p.pos = x.pos
+    LEFT JOIN posq q ON q.song_id = x.song_id AND q.run = x.run AND q.idiom = x.idiom AND q.pos = x.pos AND q.head = x.head AND q.tonic = x.tonic
+    LEFT JOIN posbass b ON b.song_id = x.song_id AND b.run = x.run AND b.idiom = x.idiom AND b.pos = x.pos AND b.tonic = x.tonic
+    LEFT JOIN posany a ON a.song_id = x.song_id AND a.run = x.run AND a.root = (x.tonic + x.deg) % 12) WHERE f >= 0.3""")
+cte("rec_walk", "posf nav", """
+  SELECT p.song_id, p.run AS head, p.idiom, p.tonic, p.pos, p.run, ln(p.f) AS s, [p.seg] AS segs, [p.run] AS runs, p.least, p.name, p.prior, p.deg AS d0, p.deg AS d1
+  FROM posf p WHERE p.pos = 0
+  UNION ALL
+  SELECT w.song_id, w.head, w.idiom, w.tonic, p.pos, p.run, w.s + ln(p.f), list_append(w.segs, p.seg), list_append(w.runs, p.run), w.least, w.name, w.prior, w.d0, p.deg
+  FROM rec_walk w JOIN nav n ON n.song_id = w.song_id AND n.run = w.run
+  JOIN posf p ON p.song_id = w.song_id AND p.run = n.next_run AND p.idiom = w.idiom AND p.tonic = w.tonic AND p.pos = w.pos + 1""")
+cte("match0", "rec_walk", f"""
+  SELECT *, {m4('exp(s / len(segs))')} AS conf FROM rec_walk
+  QUALIFY row_number() OVER (PARTITION BY song_id, head, idiom, tonic ORDER BY pos DESC) = 1 AND len(segs) >= least AND exp(s / len(segs)) >= 0.35""")
+oracle("r10_progression_matches", "match0", "SELECT song_id, name, idiom, tonic, head AS run, array_to_string(segs, '-') AS segs, conf AS conf_e4 FROM match0")
+cte("mord", "match0", "SELECT *, row_number() OVER (PARTITION BY song_id, name ORDER BY -len(segs), -conf, segs[1], idiom, head, tonic) AS rn FROM match0")
+cte("rec_keep", "mord", """
+  SELECT song_id, name, rn, segs AS used, true AS keep FROM mord WHERE rn = 1 UNION ALL
+  SELECT k.song_id, k.name, m.rn, CASE WHEN list_has_any(k.used, m.segs) THEN k.used ELSE list_concat(k.used, m.segs) END, NOT list_has_any(k.used, m.segs)
+  FROM rec_keep k JOIN mord m ON m.song_id = k.song_id AND m.name = k.name AND m.rn = k.rn + 1""")
+cte("kept", "rec_keep mord", "SELECT m.* FROM mord m JOIN rec_keep k USING (song_id, name, rn) WHERE k.keep")
+oracle("r11_kept_progressions", "kept", "SELECT song_id, name, tonic, array_to_string(segs, '-') AS segs, conf AS conf_e4 FROM kept")
+oracle("r12_loop_segments", "kept nav rroot", """
+  SELECT DISTINCT r.song_id, CAST(unnest(range(n.seg_first, n.seg_last + 1)) AS INT) AS seg FROM (
+    SELECT song_id, unnest(runs) AS run FROM kept
+    UNION SELECT k.song_id, x.run FROM kept k JOIN nav n ON n.song_id = k.song_id AND n.run = k.runs[-1]
+      JOIN rroot x ON x.song_id = k.song_id AND x.run = n.next_run AND x.root = (k.tonic + k.d0) % 12 AND x.rp >= 0.5
+    UNION SELECT k.song_id, x.run FROM kept k JOIN nav n ON n.song_id = k.song_id AND n.run = k.runs[1]
+      JOIN rroot x ON x.song_id = k.song_id AND x.run = n.prev_run AND x.root = (k.tonic + k.d1) % 12 AND x.rp >= 0.5) r
+  JOIN nav n ON n.song_id = r.song_id AND n.run = r.run""")
+oracle("r13_key_prior", "kept nav", f"""
+  SELECT song_id, seg, key_idx, max(conf) * 15 AS bonus_e5 FROM (
+    SELECT k.song_id, CAST(unnest(range(n.seg_first, n.seg_last + 1)) AS INT) AS seg, CAST(k.tonic AS INT) AS key_idx, k.conf
+    FROM (SELECT *, unnest(runs) AS r1 FROM kept WHERE prior) k JOIN nav n ON n.song_id = k.song_id AND n.run = k.r1) GROUP BY song_id, seg, key_idx""")
