@@ -429,3 +429,517 @@ def _(c):
     from cadenza.operators import report
     a = c.given_analysis()
     return report.section_report(c.frames(), an.segment_output(a), a.events, a.progressions, a.params, size=c.size)
+
+
+# ---------------------------------------------------------------- functions over the corpus's own labels and ids
+
+@query("f1_label_dimension")
+def _(c):
+    from cadenza.functions import labels as lb
+    return lb.chord_dim(c.frames().selectExpr("explode(candidates.label) as label")).selectExpr(
+        "label", "harte", "root", "quality", "qclass", "has_seventh", "bit_count(core_mask) as tones")
+
+
+@query("f14_song_split")
+def _(c):
+    from cadenza.functions import labels as lb
+    return c.view.select("song_id").distinct().selectExpr("song_id", f"{lb.split_of('song_id')} as split", f"{lb.stable_hash('song_id')} as hash")
+
+
+@query("f15_key_changes")
+def _(c):
+    t = c.view.selectExpr("song_id", "frame_idx", "tonic")
+    n = seq.neighbour(t, "frame_idx", "tonic", "before", c.size).where("before <> tonic")
+    return n.selectExpr("song_id", "frame_idx", f"{th.modulation_name('before', 'tonic')} as change", f"{th.key_name('tonic')} as new_key")
+
+
+# ---------------------------------------------------------------- evaluation: reference = clean chords, estimate = corrupted ones
+
+def _spans(c: Corpus, kind: str, id_name: str) -> DataFrame:
+    """Chord segments as labelled events: type = chord class, confidence from the first frame."""
+    s = c.segments(kind).where("top.root is not null")
+    return s.selectExpr("song_id", f"seg as {id_name}", f"{th.qclass('top.quality')} as type", "start", "end", "top.harte as label",
+                        "(first_frame * 37 % 100) / 100.0D as confidence")
+
+
+def _pairs(c: Corpus, kind: str = "estimate") -> DataFrame:
+    from cadenza.operators import evaluate as ev
+    return c.get(f"pairs_{kind}", lambda: ev.match_events(_spans(c, "reference", "gold_id"), _spans(c, kind, "pred_id"), c.params))
+
+
+@query("j4_overlaps")
+def _(c):
+    from cadenza.operators import evaluate as ev
+    j = ev.overlap_join(c.segments("reference").select("song_id", "seg", "start", "end"), c.segments("estimate").select("song_id", "seg", "start", "end"))
+    return j.selectExpr("song_id", "a.seg as ref_seg", "b.seg as est_seg", "cast(w as int) as w")
+
+
+@query("j5_point_lookup")
+def _(c):
+    from cadenza.operators import evaluate as ev
+    p = c.segments("estimate").selectExpr("song_id", "seg", "(start + end) / 2 as at")
+    return ev.point_lookup(p, c.segments("reference").select("song_id", "start", "end", "seg")).selectExpr("song_id", "p.seg as est_seg", "i.seg as ref_seg")
+
+
+@query("j6_nearest_start")
+def _(c):
+    from cadenza.operators import evaluate as ev
+    p = c.segments("estimate").selectExpr("song_id", "seg", "start + 0.5D as at")
+    return ev.nearest(p, c.segments("reference").selectExpr("song_id", "start as at", "seg as grid_idx")).selectExpr("song_id", "seg as est_seg", "grid_idx as ref_seg")
+
+
+@query("j8_match_candidates")
+def _(c):
+    from cadenza.operators import evaluate as ev
+    return ev.match_candidates(_spans(c, "reference", "gold_id"), _spans(c, "estimate", "pred_id"), c.params).selectExpr(
+        "song_id", "gold_id", "pred_id", f"{m6('quality')} as q_e6")
+
+
+@query("j9_greedy_matches")
+def _(c):
+    return _pairs(c).selectExpr("song_id", "cast(gold_id as int) as gold_id", "cast(pred_id as int) as pred_id")
+
+
+@query("j10_missed_gold")
+def _(c):
+    from cadenza.operators import evaluate as ev
+    return ev.missed_gold(_spans(c, "reference", "gold_id"), _pairs(c)).select("song_id", "gold_id", "type")
+
+
+@query("a11_event_scores")
+def _(c):
+    from cadenza.operators import evaluate as ev
+    s = ev.event_scores(_spans(c, "reference", "gold_id"), _spans(c, "estimate", "pred_id"), _pairs(c))
+    return s.selectExpr("song_id", "coalesce(type, 'all') as type", "tp", "n_gold", "n_pred", f"{m6('f1')} as f1_e6", f"{m6('label_accuracy')} as acc_e6")
+
+
+@query("a12_corpus_event_scores")
+def _(c):
+    from cadenza.operators import evaluate as ev
+    s = ev.corpus_event_scores(ev.event_scores(_spans(c, "reference", "gold_id"), _spans(c, "estimate", "pred_id"), _pairs(c)))
+    return s.selectExpr("coalesce(type, 'all') as type", "songs", "tp", "n_gold", "n_pred", f"{m6('precision')} as p_e6", f"{m6('recall')} as r_e6")
+
+
+@query("a14_error_attribution")
+def _(c):
+    from cadenza.operators import evaluate as ev
+    gold, oracle, system = _spans(c, "reference", "gold_id"), _spans(c, "soft", "pred_id"), _spans(c, "estimate", "pred_id")
+    om, sm = _pairs(c, "soft"), _pairs(c)
+    rows = ev.attribute_errors(gold, om, sm, ev.false_positives(oracle, om), ev.false_positives(system, sm), c.params)
+    return rows.groupBy("song_id", "category").count().selectExpr("song_id", "category", "count as n")
+
+
+@query("a15_local_key_scores")
+def _(c):
+    from cadenza.operators import evaluate as ev
+    return ev.local_key_scores(c.keyed(), _tonic_spans(c)).selectExpr("song_id", f"{m6('weighted')} as w_e6", f"{m6('exact')} as x_e6",
+                                                                      f"{m6('tonic')} as t_e6", "cast(duration as int) as duration")
+
+
+def _tonic_spans(c: Corpus) -> DataFrame:
+    i = seq.islands(c.view.select("song_id", "frame_idx", "tonic", "start_beat", "beats"), "frame_idx", "p.tonic = tonic", "struct(tonic)", "n", c.size)
+    return seq.sql("""select song_id, cast(min(start_beat) as double) as start, cast(max(start_beat + beats) as double) as end, first(tonic) as key_idx
+                      from {i} group by song_id, n""", i=i)
+
+
+@query("a16_numeral_agreement")
+def _(c):
+    from cadenza.operators import evaluate as ev
+    return ev.numeral_agreement(c.keyed("reference"), c.keyed("estimate")).selectExpr("song_id", f"{m6('strict')} as s_e6", f"{m6('degree')} as d_e6")
+
+
+def _chord_scores(c: Corpus) -> DataFrame:
+    from cadenza.operators import evaluate as ev
+    return c.get("chord_scores", lambda: ev.chord_scores(ev.top_intervals(c.frames("reference"), c.size), ev.top_intervals(c.frames("estimate"), c.size)))
+
+
+@query("a17_chord_scores")
+def _(c):
+    return _chord_scores(c).selectExpr("song_id", "cast(duration as int) as duration", *[f"{m6(n)} as {n}_e6" for n in ("root", "triads", "tetrads", "majmin", "sevenths", "mirex")])
+
+
+@query("a13_corpus_chord_scores")
+def _(c):
+    from cadenza.operators import evaluate as ev
+    return ev.corpus_chord_scores(_chord_scores(c)).selectExpr("songs", *[f"{m6(n)} as {n}_e6" for n in ("root", "majmin", "sevenths")])
+
+
+@query("a19_home_key")
+def _(c):
+    from cadenza.operators import evaluate as ev
+    return ev.home_key(_tonic_spans(c)).selectExpr("song_id", "key_idx", "cast(held as int) as held")
+
+
+@query("w3_top_intervals")
+def _(c):
+    from cadenza.operators import evaluate as ev
+    return ev.top_intervals(c.frames("estimate"), c.size).selectExpr("song_id", "idx", "harte", "cast(start as int) as start", "cast(end as int) as stop")
+
+
+@query("w21_alignment")
+def _(c):
+    from cadenza.operators import evaluate as ev
+    side = ["song_id", "seg as idx", "top.harte as harte", "top.root as root", "top.quality as quality"]
+    return ev.align_sequences(c.segments("reference").selectExpr(*side), c.segments("estimate").selectExpr(*side)).selectExpr(
+        "song_id", f"{m6('cost')} as cost_e6", "n_ref", "unmatched_ref", "array_join(ref_of_est, '-') as ref_of_est")
+
+
+@query("a18_expert_scores")
+def _(c):
+    """Expert numerals derived from the true tonic; ours from the given key."""
+    from cadenza.operators import evaluate as ev, resolve as rs
+    a = c.given_analysis()
+    links = rs.segment_links(a.events, a.keyed, th.roman_display("top.root", "top.quality", "top.bass", "key_idx")).select("song_id", "seg", "functions")
+    expert = c.view.where("q1 <> 'N'").selectExpr("song_id", "cast(start_beat as double) as start", "cast(start_beat + beats as double) as end",
+                                                  f"if(q1 = '7', 'V7/ii', {th.roman_numeral('root1', 'q1', 'tonic')}) as value")
+    return ev.expert_scores(a.keyed, expert, links)
+
+
+@query("t6_parameter_sweep")
+def parameter_sweep(c):
+    """Estimates of several corruption strengths scored at once, parameters as one more key."""
+    from cadenza.operators import evaluate as ev
+    v = c.view.selectExpr("*", "explode(array(2, 3, 5, 7)) as param")
+    est = v.selectExpr("song_id", "param", "cast(start_beat as double) as start", "cast(start_beat + beats as double) as end",
+                       "if(event_id % param = 0 and q1 <> 'N', root2, root1) as root", "if(event_id % param = 0 and q1 <> 'N', q2, q1) as quality")
+    ref = c.view.selectExpr("song_id", "cast(start_beat as double) as start", "cast(start_beat + beats as double) as end", "root1 as root", "q1 as quality")
+    j = ev.overlap_join(ref, est)
+    cmp_ = ev.chord_comparison("a", "b")
+    return seq.sql(f"""select b.param as param_id, {m6("sum(" + cmp_['majmin'] + " * w) / sum(if(" + cmp_['majmin'] + " is null, 0D, w))")} as majmin_e6,
+                       {m6("sum(" + cmp_['root'] + " * w) / sum(w)")} as root_e6 from {{j}} group by b.param""", j=j)
+
+
+@query("t5_best_parameter")
+def _(c):
+    from cadenza.operators import evaluate as ev
+    rows = parameter_sweep(c).selectExpr("param_id", "param_id = 2 as is_default", "majmin_e6 / 1e6D as objective", "root_e6 / 1e6D as local_key")
+    return ev.best_parameters(rows).selectExpr("param_id", f"{m6('objective')} as objective_e6")
+
+
+# ---------------------------------------------------------------- sources and sinks over texts derived from the corpus
+
+@query("s1_chart_frames")
+def _(c):
+    from cadenza.sources import text as tx
+    label = f"if(q1 = 'N', 'N', concat({th.note_name('root1')}, ':', q1))"
+    bars = seq.sql(f"""
+        with t as (select song_id, frame_idx, section, {label} as label from {{v}}),
+        b as (select song_id, cast(frame_idx div 2 as int) as b, concat(' | ', if(min(frame_idx) % 16 = 0, concat('[', min_by(section, frame_idx), '] '), ''),
+                 if(min(frame_idx) % 10 = 8, '%', concat(min_by(label, frame_idx), if(count(*) > 1, if(min(frame_idx) % 6 = 2, ' .', concat(' ', max_by(label, frame_idx))), '')))) as bar
+              from t group by song_id, frame_idx div 2)
+        select song_id, concat('# derived chart\n', array_join(transform(sort_array(collect_list(struct(b, bar))), x -> x.bar), ''), ' |') as text, 4 as beats_per_bar
+        from b group by song_id""", v=c.view)
+    frames, _ = tx.parse_charts(bars)
+    return frames.selectExpr("song_id", "frame_idx", "candidates[0].label as label", f"{m6('time')} as time_e6", f"{m6('duration')} as dur_e6", "bar", "section")
+
+
+@query("s2_label_lines")
+def _(c):
+    from cadenza.sources import text as tx
+    lines = c.view.selectExpr("song_id", "frame_idx as line_no", f"if(frame_idx % 9 = 4, '# note', if(frame_idx % 9 = 7, 'broken', concat(start_beat, '.0 \t', start_beat + beats, '.5 ', "
+                              f"if(q1 = 'N', 'N', concat({th.note_name('root1')}, ':', q1)), ' '))) as text")
+    good, bad = tx.parse_lab(lines)
+    return good.selectExpr("song_id", "line_no", "cast(start * 10 as int) as start_e1", "cast(end * 10 as int) as end_e1", "label").unionByName(
+        bad.selectExpr("song_id", "line_no", "-1 as start_e1", "-1 as end_e1", "text as label"))
+
+
+@query("s3_recognition_documents")
+def _(c):
+    from cadenza.sources import documents as docs
+    d = docs.recognition_documents(c.frames()).selectExpr("song_id", f"from_json(doc, '{docs.RECOGNITION.replace(chr(10), ' ')}') as d").selectExpr("song_id", "d.*")
+    frames, _ = docs.recognition_frames(d)
+    return frames.selectExpr("song_id", "frame_idx", "cast(time as int) as time", "section", "size(candidates) as n", "candidates[0].label as harte")
+
+
+@query("s4_annotations")
+def _(c):
+    from cadenza.sources import documents as docs
+    label = f"if(frame_idx % 11 = 3, 'bad label', if(q1 = 'N', 'N', concat({th.note_name('root1')}, ':', q1)))"
+    item = "struct(cast(bar + frame_idx / 1000.0D as double) as time, cast(beats as double) as duration, {} as value)"
+    d = seq.sql(f"""select song_id, array(struct('chord_harte' as namespace, transform(sort_array(collect_list(struct(frame_idx, {item.format(label)} as x))), z -> z.x) as data),
+                    struct('key_mode' as namespace, array(max_by({item.format("'C:major'")}, if(frame_idx = 20, 1, 0))) as data)) as annotations from {{v}} group by song_id""", v=c.view)
+    t = docs.annotation_tables(d, True)
+    return t["frames"].selectExpr("song_id", "frame_idx", "cast(time as int) as time", "candidates[0].label as label").unionByName(
+        t["keys"].selectExpr("song_id", "-1 as frame_idx", "cast(start as int) as time", "value as label"))
+
+
+@query("s7_gold_events")
+def _(c):
+    from cadenza.sources import documents as docs
+    d = seq.sql("""select song_id, 'chart' as kind, 4 as beats_per_bar, concat('[', array_join(transform(sort_array(collect_list(struct(frame_idx, if(frame_idx % 2 = 0,
+                     concat('{{"type":"x","bars":[', bar, ',', bar + 1, ']}}'), concat('{{"type":"y","start":', start_beat, ',"end":', start_beat + beats, '}}')) as j))), z -> z.j), ','), ']') as doc
+                   from {v} group by song_id""", v=c.view)
+    good, _ = docs.gold_events(d)
+    return good.selectExpr("song_id", "gold_id", "type", "cast(start as int) as start", "cast(end as int) as stop")
+
+
+@query("s8_pick_estimates")
+def _(c):
+    from cadenza.sources import documents as docs
+    refs = c.view.select("song_id").distinct()
+    cand = c.view.where("frame_idx < 3 and event_id % 2 = 0").selectExpr("song_id", "get(array('.lab', '.json', '.recognition.json'), frame_idx) as extension")
+    picked, skipped = docs.pick_estimates(refs, cand)
+    return picked.select("song_id", "extension").unionByName(skipped.selectExpr("song_id", "reason as extension"))
+
+
+@query("s9_paired_annotations")
+def _(c):
+    from cadenza.sources import documents as docs
+    chords = c.view.where("frame_idx = 0").selectExpr("song_id", "q1 as text")
+    both, missing = docs.pair_annotations(chords, c.view.where("frame_idx = 0 and event_id % 3 > 0").selectExpr("song_id", "section as text"))
+    return both.select("song_id", "split").unionByName(missing.selectExpr("song_id", "problem as split"))
+
+
+@query("s10_section_files")
+def _(c):
+    from cadenza.sources import documents as docs
+    files = c.view.where("frame_idx < 4 and event_id % 2 = 1").selectExpr("song_id as stem", "concat('d', frame_idx) as directory", "event_id as sections")
+    pri = files.select("directory").distinct().selectExpr("directory", "-cast(substring(directory, 2) as int) as priority")
+    return docs.section_files(files, pri).selectExpr("stem", "directory", "sections")
+
+
+@query("s11_newest_recognition")
+def _(c):
+    from cadenza.sources import documents as docs
+    return docs.newest_per_source(c.events.selectExpr("user_id as source_path", "unix_micros(cast(ts as timestamp)) as modified", "event_id as doc_id")).selectExpr(
+        "source_path", "doc_id")
+
+
+@query("k4_label_export")
+def _(c):
+    from cadenza.operators import report
+    return report.label_lines(c.segments().selectExpr("song_id", "seg", "start / 2 as start", "end / 2 as end", "top.harte as chord_harte"))
+
+
+# ---------------------------------------------------------------- meter: beat = half a second
+
+def _beat_times(c: Corpus) -> tuple[DataFrame, DataFrame, DataFrame]:
+    beats = c.view.selectExpr("song_id", "start_beat * 0.5D as at")
+    downs = c.view.where("start_beat % 4 = 0").selectExpr("song_id", "start_beat * 0.5D as at")
+    ends = seq.sql("select song_id, max(start_beat + beats) * 0.5D as duration from {v} group by song_id", v=c.view)
+    return beats, downs, ends
+
+
+def _tempo(c: Corpus) -> DataFrame:
+    from cadenza.operators import meter
+    beats, downs, _ = _beat_times(c)
+    return c.get("tempo", lambda: meter.tempo(beats, downs))
+
+
+def _bar_lines(c: Corpus) -> DataFrame:
+    from cadenza.operators import meter
+    return c.get("bar_lines", lambda: meter.repair_bars(_tempo(c), *_beat_times(c)))
+
+
+@query("a21_tempo")
+def _(c):
+    return _tempo(c).selectExpr("song_id", f"{m6('beat_period')} as beat_e6", f"{m6('bar_period')} as bar_e6", "beats_per_bar", "time_signature")
+
+
+@query("w11_bar_lines")
+def _(c):
+    return _bar_lines(c).selectExpr("song_id", "posexplode(bars) as (bar, at)").selectExpr("song_id", "bar", f"{m6('at')} as at_e6")
+
+
+@query("w12_beat_grid")
+def _(c):
+    from cadenza.operators import meter
+    return meter.beat_grid(_bar_lines(c), _tempo(c), _beat_times(c)[0]).selectExpr("song_id", "bar", "beat_in_bar", f"{m6('at')} as at_e6")
+
+
+@query("a23_tempo_stats")
+def _(c):
+    from cadenza.operators import meter
+    return meter.tempo_stats(_bar_lines(c)).selectExpr("song_id", "n_bars", f"{m6('tempo_cv')} as cv_e6", "size(irregular) as n_irregular")
+
+
+@query("w10_beat_numbering")
+def _(c):
+    from cadenza.operators import meter
+    return meter.number_beats(*_beat_times(c)).selectExpr("song_id", "cast(start * 2 as int) as start_e2", "cast(end * 2 as int) as end_e2", "bar", "beat_in_bar")
+
+
+# ---------------------------------------------------------------- decoding: vocabulary of 24 triads and no-chord
+
+def _vocab(c: Corpus) -> DataFrame:
+    """Vocabulary = the corpus's distinct chords reduced to triads, numbered, with no-chord first."""
+    from cadenza.operators import decode
+    return c.get("vocab", lambda: decode.vocabulary(seq.sql(f"""
+        select cast(row_number() over (order by minor, root) as int) as chord_idx, concat({th.note_name('root')}, if(minor, ':min', ':maj')) as label
+        from (select distinct root1 as root, explode(array(false, true)) as minor from {{v}} where root1 is not null)
+        union all select 0, 'N'""", v=c.view)))
+
+
+def _mass(c: Corpus) -> DataFrame:
+    """Per bar: chord masses of the frames that start in it."""
+    minor = "if({} in ('min', 'min7', 'dim', 'hdim7'), 12, 0)"
+    return c.view.selectExpr("song_id", "bar", "cast(start_beat as double) as time",
+                             f"coalesce(root1 + 1 + {minor.format('q1')}, 0) as i1", f"coalesce(root2 + 1 + {minor.format('q2')}, 0) as i2",
+                             "p1_permille / 1000.0D as p1", "p2_permille / 1000.0D as p2")
+
+
+def _bar_beats(c: Corpus) -> DataFrame:
+    return seq.sql("""select song_id, cast(row_number() over (partition by song_id order by bar) - 1 as int) as beat, bar, (bar - 1) * 4D as start, bar * 4D as end,
+                      cast(1 + (bar - 1) % 4 as int) as beat_in_bar, 4 as beats_per_bar from (select distinct song_id, bar from {v})""", v=c.view)
+
+
+def _observations(c: Corpus) -> DataFrame:
+    from cadenza.operators import decode
+    f = _mass(c).selectExpr("song_id", "time", "transform(sequence(0, 24), i -> ln(0.01D + if(i = i1, p1, 0D) + if(i = i2, p2, 0D))) as loglik")
+    return c.get("observations", lambda: decode.beat_observations(f, _bar_beats(c), _vocab(c), c.params))
+
+
+def _posteriors(c: Corpus) -> DataFrame:
+    from cadenza.operators import decode
+    return c.get("posteriors", lambda: decode.decode_beats(_observations(c), _bar_beats(c), decode.transition_table(_vocab(c), c.params), c.params))
+
+
+@query("a24_beat_observations")
+def _(c):
+    return _observations(c).selectExpr("song_id", "beat", "chord_idx", f"{m6('obs')} as obs_e6")
+
+
+@query("w18_metrical_cost")
+def _(c):
+    from cadenza.operators import decode
+    return _bar_beats(c).selectExpr("song_id", "beat", f"{m6(decode.metrical_cost('beat_in_bar', 'beats_per_bar', c.params))} as cost_e6")
+
+
+@query("w20_transitions")
+def _(c):
+    from cadenza.operators import decode
+    t = decode.transition_table(_vocab(c), c.params)
+    v = _vocab(c).select("chord_idx", "label")
+    return seq.sql(f"""select a.label as src, b.label as dst, {m6('t.score')} as score_e6 from {{t}} t join {{v}} a on a.chord_idx = t.src
+                       join {{v}} b on b.chord_idx = t.dst""", t=t, v=v)
+
+
+@query("w19_chord_decoding")
+def _(c):
+    return _posteriors(c).selectExpr("song_id", "beat", "path_idx", f"{m6('array_max(post)')} as top_e6")
+
+
+@query("t1_top_candidates")
+def _(c):
+    from cadenza.operators import decode
+    post = c.view.selectExpr("song_id", "frame_idx as beat", "transform(sequence(0, 24), i -> if(i = coalesce(root1 + 1, 0), p1_permille / 1000.0D, 0D) "
+                             "+ if(i = coalesce(root2 + 13, 0) and q2 is not null, p2_permille / 10000.0D, 0D)) as post")
+    return decode.top_candidates(post, _vocab(c), c.params).selectExpr("song_id", "beat", "rank", "label", f"{m6('prob')} as prob_e6")
+
+
+@query("t2_bass_notes")
+def _(c):
+    from cadenza.operators import decode
+    b = c.view.selectExpr("song_id", "frame_idx as beat", "transform(sequence(0, 12), i -> if(i = coalesce(root1 + 1, 0), p1_permille / 1000.0D, 0.01D)) as probs")
+    return decode.bass_notes(b).selectExpr("song_id", "beat", "bass_note", f"{m6('bass_prob')} as prob_e6")
+
+
+@query("b9_assembled_frames")
+def _(c):
+    from cadenza.operators import decode, report
+    top = decode.top_candidates(_posteriors(c), _vocab(c), c.params)
+    tempo = c.view.select("song_id").distinct().selectExpr("song_id", "1.0D as beat_period")
+    return decode.assemble_frames(_bar_beats(c), top, tempo, report.marker_sections(c.frames(), c.size)).selectExpr(
+        "song_id", "frame_idx", "cast(time as int) as time", "cast(beats as int) as beats", "section", "size(candidates) as n", "candidates[0].label as label")
+
+
+# ---------------------------------------------------------------- structure
+
+def _bars(c: Corpus) -> DataFrame:
+    from cadenza.operators import structure as st
+    minor = "if({} in ('min', 'min7', 'dim', 'hdim7'), 12, 0)"
+    b = c.view.selectExpr("song_id", "bar", "start_beat as beat", "start_beat * 0.5D as at",
+                          f"transform(sequence(0, 23), i -> if(i = root1 + {minor.format('q1')}, p1_permille / 1000.0D, 0D)) as identity0", "section", "p1_permille", "beats")
+    b = b.selectExpr("song_id", "bar", "beat", "at", "transform(identity0, x -> coalesce(x, 0D)) as identity", "array_repeat(0D, 12) as chroma",
+                     "array(p1_permille / 100.0D, cast(beats as double)) as timbre", "if(section = 'Chorus', -10D, -18D) as loud")
+    return c.get("bars", lambda: st.bar_features(b, 4, c.params))
+
+
+def _windows(c: Corpus) -> DataFrame:
+    from cadenza.operators import structure as st
+    return c.get("windows", lambda: st.windows(_bars(c), c.params))
+
+
+def _structure(c: Corpus) -> DataFrame:
+    from cadenza.operators import structure as st
+    return c.get("structure", lambda: st.analyse_structure(_bars(c), _beat_times(c)[2].withColumnRenamed("duration", "end_time"), c.params))
+
+
+@query("b1_chord_templates")
+def _(c):
+    from cadenza.functions import labels as lb
+    from cadenza.operators import structure as st
+    dim = lb.chord_dim(c.frames().selectExpr("explode(candidates.label) as label"))
+    return st.chord_templates(dim).selectExpr("label", "cast(aggregate(chroma, 0D, (a, x) -> a * 2 + x) as int) as chroma_bits",
+                                              "coalesce(cast(array_position(identity, 1D) - 1 as int), -1) as identity_idx")
+
+
+@query("a22_bar_features")
+def _(c):
+    return _bars(c).selectExpr("song_id", "bar_no", "bar", f"{m6('aggregate(harm, 0D, (a, x) -> a + x)')} as harm_e6", f"{m6('timbre[2]')} as loud_e6",
+                               f"{m6('timbre[0]')} as timbre_e6")
+
+
+@query("b2_repetition_band")
+def _(c):
+    from cadenza.operators import structure as st
+    r = st.repetition(_windows(c), range(1, 3), range(0, 12, 5))
+    return r.selectExpr("song_id", "shift", "i", "j", f"{m6('sim')} as sim_e6")
+
+
+@query("b3_timbre_scale")
+def _(c):
+    from cadenza.operators import structure as st
+    return st.timbre_scale(_bars(c)).selectExpr("song_id", f"{m6('sigma')} as sigma_e6")
+
+
+def _novelty(c: Corpus) -> DataFrame:
+    from cadenza.operators import structure as st
+    return c.get("novelty", lambda: st.novelty(_windows(c), c.params))
+
+
+@query("w13_novelty")
+def _(c):
+    return _novelty(c).selectExpr("song_id", "bar_no", f"{m6('novelty')} as novelty_e6")
+
+
+@query("w14_section_cuts")
+def _(c):
+    from cadenza.operators import structure as st
+    return st.segment_bars(_novelty(c), c.params).select("song_id", "sec", "start_bar", "end_bar")
+
+
+@query("b7_sections")
+def _(c):
+    return _structure(c).selectExpr("song_id", "sec", "start_bar", "end_bar", "cluster", "shift", "off", "label", f"{m6('similarity')} as sim_e6")
+
+
+@query("j7_snapped_sections")
+def _(c):
+    from cadenza.operators import report, structure as st
+    ext = report.marker_sections(c.frames(), c.size).selectExpr("song_id", "start * 0.5D + 0.3D as start", "end * 0.5D as end", "lower(label) as label")
+    return st.snap_sections(ext, _bars(c)).select("song_id", "sec", "start_bar", "end_bar", "label")
+
+
+@query("j17_aligned_repeats")
+def _(c):
+    from cadenza.operators import structure as st
+    return st.aligned_repeats(_structure(c), _windows(c), c.params)
+
+
+@query("b8_pooled_posteriors")
+def _(c):
+    from cadenza import params as P
+    from cadenza.operators import structure as st
+    p = P.with_overrides({"structure": {"pool_weight": 0.5}})
+    post = _posteriors(c).select("song_id", "beat", "post")
+    beat_bars = _bar_beats(c).join(_bars(c).select("song_id", "bar", "bar_no"), ["song_id", "bar"]).selectExpr("song_id", "beat", "bar_no", "0 as k")
+    return st.pool_posteriors(post, beat_bars, st.aligned_repeats(_structure(c), _windows(c), p), p).selectExpr("song_id", "beat", f"{m6('array_max(post)')} as top_e6")
+
+
+@query("a25_segmentation_agreement")
+def _(c):
+    from cadenza.operators import evaluate as ev, report
+    ours = _structure(c).selectExpr("song_id", "start", "end", "label")
+    marks = report.marker_sections(c.frames(), c.size).selectExpr("song_id", "start * 0.5D as start", "end * 0.5D as end", "lower(label) as label")
+    return ev.segmentation_agreement(marks, ours).selectExpr("song_id", f"{m6('agreement')} as agreement_e6")

@@ -517,3 +517,197 @@ oracle("r13_key_prior", "kept nav", f"""
   SELECT song_id, seg, key_idx, max(conf) * 15 AS bonus_e5 FROM (
     SELECT k.song_id, CAST(unnest(range(n.seg_first, n.seg_last + 1)) AS INT) AS seg, CAST(k.tonic AS INT) AS key_idx, k.conf
     FROM (SELECT *, unnest(runs) AS r1 FROM kept WHERE prior) k JOIN nav n ON n.song_id = k.song_id AND n.run = k.r1) GROUP BY song_id, seg, key_idx""")
+
+# ---------------------------------------------------------------- functions
+oracle("f1_label_dimension", "cand", f"""
+  SELECT DISTINCT harte AS label, harte, root, q AS quality, {CLS.format('q')} AS qclass, q IN ('7','maj7','min7','hdim7') AS has_seventh,
+         coalesce(len({TONES.format('q')}), 0) AS tones FROM cand""")
+oracle("f15_key_changes", "cf", f"""
+  SELECT song_id, frame_idx, 'whole step up' AS change, {KEYS}[tonic + 1] AS new_key FROM (
+    SELECT *, lag(tonic) OVER (PARTITION BY song_id ORDER BY frame_idx) AS b FROM cf) WHERE b <> tonic""")
+ORACLES["f14_song_split"] = """
+  SELECT song_id, CASE WHEN h % 100 < 60 THEN 'dev' ELSE 'test' END AS split, h AS hash FROM (
+    SELECT song_id, list_reduce(list_transform(range(1, 9), lambda i: CAST(instr('0123456789abcdef', substr(s, CAST(i AS INT), 1)) - 1 AS BIGINT)), lambda a, b: a * 16 + b) AS h
+    FROM (SELECT DISTINCT user_id AS song_id, sha256(CAST(user_id AS VARCHAR)) AS s FROM events))"""
+
+# ---------------------------------------------------------------- evaluation
+for _px, _n, _id in (("r_", "gold", "gold_id"), ("e_", "pred", "pred_id"), ("", "soft", "pred_id")):
+    cte(f"sp_{_n}", f"{_px}seg", f"SELECT song_id, seg AS {_id}, {CLS.format('q')} AS type, start, stop, harte AS label, (first_frame * 37 % 100) / 100.0 AS confidence "
+        f"FROM {_px}seg WHERE root IS NOT NULL")
+oracle("j4_overlaps", "r_seg e_seg", """
+  SELECT a.song_id, a.seg AS ref_seg, b.seg AS est_seg, CAST(least(a.stop, b.stop) - greatest(a.start, b.start) AS INT) AS w
+  FROM r_seg a JOIN e_seg b ON a.song_id = b.song_id AND a.start < b.stop AND b.start < a.stop""")
+oracle("j5_point_lookup", "r_seg e_seg", """
+  SELECT b.song_id, b.seg AS est_seg, a.seg AS ref_seg FROM e_seg b LEFT JOIN r_seg a
+    ON a.song_id = b.song_id AND a.start <= (b.start + b.stop) / 2.0 AND (b.start + b.stop) / 2.0 < a.stop""")
+oracle("j6_nearest_start", "r_seg e_seg", """
+  SELECT song_id, est_seg, ref_seg FROM (SELECT b.song_id, b.seg AS est_seg, a.seg AS ref_seg,
+    row_number() OVER (PARTITION BY b.song_id, b.seg ORDER BY abs(a.start - b.start - 0.5), a.seg) AS rn FROM e_seg b JOIN r_seg a ON a.song_id = b.song_id) WHERE rn = 1""")
+for _n in ("pred", "soft"):
+    cte(f"mc_{_n}", f"sp_gold sp_{_n}", f"""
+      SELECT song_id, type, gold_id, pred_id, confidence, q FROM (
+        SELECT g.song_id, g.type, g.gold_id, p.pred_id, p.confidence, (least(g.stop, p.stop) - greatest(g.start, p.start)) * 1.0 / least(g.stop - g.start, p.stop - p.start) AS q
+        FROM sp_gold g JOIN sp_{_n} p ON p.song_id = g.song_id AND p.type = g.type AND p.start < g.stop AND g.start < p.stop) WHERE q >= 0.5""")
+    cte(f"po_{_n}", f"mc_{_n}", f"""
+      SELECT *, row_number() OVER (PARTITION BY song_id, type ORDER BY confidence DESC, pred_id) AS rn FROM (
+        SELECT song_id, type, pred_id, max(confidence) AS confidence, list(gold_id ORDER BY q DESC, gold_id) AS golds FROM mc_{_n} GROUP BY song_id, type, pred_id)""")
+    cte(f"rec_{_n}", f"po_{_n}", f"""
+      SELECT song_id, type, rn, pred_id, golds[1] AS gold_id, [golds[1]] AS used FROM po_{_n} WHERE rn = 1
+      UNION ALL
+      SELECT r.song_id, r.type, p.rn, p.pred_id, list_filter(p.golds, lambda g: NOT list_contains(r.used, g))[1],
+             list_concat(r.used, list_filter(p.golds, lambda g: NOT list_contains(r.used, g))[1:1])
+      FROM rec_{_n} r JOIN po_{_n} p ON p.song_id = r.song_id AND p.type = r.type AND p.rn = r.rn + 1""")
+    cte(f"pairs_{_n}", f"rec_{_n}", f"SELECT song_id, type, gold_id, pred_id FROM rec_{_n} WHERE gold_id IS NOT NULL")
+oracle("j8_match_candidates", "mc_pred", f"SELECT song_id, gold_id, pred_id, {m6('q')} AS q_e6 FROM mc_pred")
+oracle("j9_greedy_matches", "pairs_pred", "SELECT song_id, gold_id, pred_id FROM pairs_pred")
+oracle("j10_missed_gold", "pairs_pred sp_gold", """
+  SELECT song_id, gold_id, type FROM sp_gold g WHERE NOT EXISTS (SELECT 1 FROM pairs_pred p WHERE p.song_id = g.song_id AND p.gold_id = g.gold_id)""")
+cte("esc", "pairs_pred sp_gold sp_pred", """
+  SELECT song_id, type, count(t) AS tp, count(g) AS n_gold, count(p) AS n_pred, count(h) AS hits FROM (
+    SELECT song_id, type, NULL AS t, 1 AS g, NULL AS p, NULL AS h FROM sp_gold UNION ALL SELECT song_id, type, NULL, NULL, 1, NULL FROM sp_pred
+    UNION ALL SELECT m.song_id, m.type, 1, NULL, NULL, CASE WHEN g.label = p.label THEN 1 END FROM pairs_pred m
+      JOIN sp_gold g ON g.song_id = m.song_id AND g.gold_id = m.gold_id JOIN sp_pred p ON p.song_id = m.song_id AND p.pred_id = m.pred_id)
+  GROUP BY GROUPING SETS ((song_id, type), (song_id))""")
+oracle("a11_event_scores", "esc", f"""
+  SELECT song_id, coalesce(type, 'all') AS type, tp, n_gold, n_pred,
+    {m6("CASE WHEN n_gold > 0 AND n_pred > 0 THEN CASE WHEN tp = 0 THEN 0 ELSE 2.0 * tp / (n_gold + n_pred) END END")} AS f1_e6,
+    {m6("CASE WHEN tp > 0 THEN hits * 1.0 / tp END")} AS acc_e6 FROM esc""")
+oracle("a12_corpus_event_scores", "esc", f"""
+  SELECT coalesce(type, 'all') AS type, count(*) AS songs, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(n_gold) AS BIGINT) AS n_gold, CAST(sum(n_pred) AS BIGINT) AS n_pred,
+    {m6('sum(tp) * 1.0 / nullif(sum(n_pred), 0)')} AS p_e6, {m6('sum(tp) * 1.0 / nullif(sum(n_gold), 0)')} AS r_e6 FROM esc GROUP BY type""")
+oracle("a14_error_attribution", "sp_gold sp_soft sp_pred pairs_soft pairs_pred", """
+  SELECT song_id, category, count(*) AS n FROM (
+    SELECT g.song_id, CASE WHEN o AND s THEN 'ok' WHEN o THEN 'recognition_miss' WHEN s THEN 'analysis_miss_but_system_hit' ELSE 'analysis_miss' END AS category
+    FROM (SELECT g.*, EXISTS (SELECT 1 FROM pairs_soft x WHERE x.song_id = g.song_id AND x.gold_id = g.gold_id) AS o,
+                 EXISTS (SELECT 1 FROM pairs_pred x WHERE x.song_id = g.song_id AND x.gold_id = g.gold_id) AS s FROM sp_gold g) g
+    UNION ALL
+    SELECT f.song_id, CASE WHEN EXISTS (SELECT 1 FROM sp_soft o WHERE o.song_id = f.song_id AND o.type = f.type
+        AND NOT EXISTS (SELECT 1 FROM pairs_soft x WHERE x.song_id = o.song_id AND x.pred_id = o.pred_id)
+        AND (least(o.stop, f.stop) - greatest(o.start, f.start)) * 1.0 / least(o.stop - o.start, f.stop - f.start) >= 0.5) THEN 'analysis_fp' ELSE 'recognition_fp' END
+    FROM sp_pred f WHERE NOT EXISTS (SELECT 1 FROM pairs_pred x WHERE x.song_id = f.song_id AND x.pred_id = f.pred_id)) GROUP BY song_id, category""")
+cte("tspan", "cf", """
+  SELECT song_id, tonic, min(start_beat) AS start, max(start_beat + beats) AS stop FROM (
+    SELECT *, sum(f) OVER (PARTITION BY song_id ORDER BY frame_idx) AS n FROM (
+      SELECT *, CASE WHEN lag(tonic) OVER (PARTITION BY song_id ORDER BY frame_idx) = tonic THEN 0 ELSE 1 END AS f FROM cf)) GROUP BY song_id, n, tonic""")
+oracle("a15_local_key_scores", "tspan seg", f"""
+  SELECT song_id, {m6('sum(w * CASE WHEN d = 0 THEN 1.0 WHEN d = 7 THEN 0.5 ELSE 0 END) / sum(w)')} AS w_e6, {m6('sum(CASE WHEN d = 0 THEN w ELSE 0 END) * 1.0 / sum(w)')} AS x_e6,
+         {m6('sum(CASE WHEN d = 0 THEN w ELSE 0 END) * 1.0 / sum(w)')} AS t_e6, CAST(sum(w) AS INT) AS duration
+  FROM (SELECT t.song_id, (t.song_id % 12 - t.tonic + 12) % 12 AS d, least(t.stop, s.stop) - greatest(t.start, s.start) AS w
+        FROM tspan t JOIN seg s ON s.song_id = t.song_id AND s.start < t.stop AND t.start < s.stop WHERE s.root IS NOT NULL) GROUP BY song_id""")
+oracle("a16_numeral_agreement", "r_seg e_seg", f"""
+  SELECT song_id, {m6('sum(CASE WHEN ar = br AND aq = bq THEN w ELSE 0 END) * 1.0 / sum(w)')} AS s_e6, {m6('sum(CASE WHEN ar = br THEN w ELSE 0 END) * 1.0 / sum(w)')} AS d_e6
+  FROM (SELECT a.song_id, a.root AS ar, b.root AS br, a.q AS aq, b.q AS bq, least(a.stop, b.stop) - greatest(a.start, b.start) AS w
+        FROM r_seg a JOIN e_seg b ON a.song_id = b.song_id AND a.start < b.stop AND b.start < a.stop WHERE a.root IS NOT NULL AND b.root IS NOT NULL) GROUP BY song_id""")
+_MM = lambda q: f"CASE WHEN {q} IN ('maj','maj7','7') THEN 'M' WHEN {q} IN ('min','min7') THEN 'm' WHEN {q} IN ('dim','hdim7') THEN 'd' ELSE 'N' END"
+_PCS = lambda r, q: f"list_transform({TONES.format(q)}, lambda i: (i + {r}) % 12)"
+_LEVEL = {
+    "root": "CASE WHEN ar IS NOT DISTINCT FROM br THEN 1 ELSE 0 END",
+    "triads": f"CASE WHEN ar IS NOT DISTINCT FROM br AND {_MM('aq')} = {_MM('bq')} THEN 1 ELSE 0 END",
+    "tetrads": "CASE WHEN ar IS NOT DISTINCT FROM br AND aq = bq THEN 1 ELSE 0 END",
+    "majmin": f"CASE WHEN {_MM('aq')} = 'd' THEN NULL WHEN ar IS NOT DISTINCT FROM br AND {_MM('aq')} = {_MM('bq')} THEN 1 ELSE 0 END",
+    "sevenths": "CASE WHEN aq IN ('dim','hdim7') THEN NULL WHEN ar IS NOT DISTINCT FROM br AND aq = bq THEN 1 ELSE 0 END",
+    "mirex": f"CASE WHEN ar IS NULL AND br IS NULL THEN 1 WHEN len(list_intersect({_PCS('ar', 'aq')}, {_PCS('br', 'bq')})) >= 3 THEN 1 ELSE 0 END",
+}
+cte("cpair", "cf", f"""
+  SELECT song_id, event_id, beats AS w, root1 AS ar, q1 AS aq, root2, q2, corrupt,
+         CASE WHEN corrupt THEN root2 ELSE root1 END AS br, CASE WHEN corrupt THEN q2 ELSE q1 END AS bq FROM cf""")
+_avg = lambda n: f"sum(CASE WHEN {n} IS NOT NULL THEN {n} * w END) * 1.0 / sum(CASE WHEN {n} IS NOT NULL THEN w END)"
+cte("clev", "cpair", f"SELECT *, {', '.join(f'{e} AS {n}' for n, e in _LEVEL.items())} FROM cpair")
+oracle("a17_chord_scores", "clev", f"SELECT song_id, CAST(sum(w) AS INT) AS duration, {', '.join(f'{m6(_avg(n))} AS {n}_e6' for n in _LEVEL)} FROM clev GROUP BY song_id")
+cte("csong", "clev", f"SELECT song_id, sum(w) AS d, {', '.join(f'{_avg(n)} AS {n}' for n in ('root', 'majmin', 'sevenths'))} FROM clev GROUP BY song_id")
+oracle("a13_corpus_chord_scores", "csong", "SELECT count(*) AS songs, " + ", ".join(f"{m6(f'sum({n} * d) / sum(d)')} AS {n}_e6" for n in ("root", "majmin", "sevenths")) + " FROM csong")
+oracle("a19_home_key", "tspan", """
+  SELECT song_id, tonic AS key_idx, held FROM (SELECT song_id, tonic, CAST(sum(stop - start) AS INT) AS held, min(start) AS seen FROM tspan GROUP BY song_id, tonic)
+  QUALIFY row_number() OVER (PARTITION BY song_id ORDER BY held DESC, seen) = 1""")
+oracle("w3_top_intervals", "e_cand", """
+  SELECT song_id, idx, min(harte) AS harte, min(start_beat) AS start, max(start_beat + beats) AS stop FROM (
+    SELECT *, CAST(sum(f) OVER (PARTITION BY song_id ORDER BY frame_idx) - 1 AS INT) AS idx FROM (
+      SELECT *, CASE WHEN lag(harte) OVER (PARTITION BY song_id ORDER BY frame_idx) = harte THEN 0 ELSE 1 END AS f FROM e_cand)) GROUP BY song_id, idx""")
+cte("sweep", "cf", f"""
+  SELECT param, {', '.join(f'{m6(_avg(n))} AS {n}_e6' for n in ('majmin', 'root'))} FROM (
+    SELECT *, {_LEVEL['majmin']} AS majmin, {_LEVEL['root']} AS root FROM (
+      SELECT p.param, beats AS w, root1 AS ar, q1 AS aq, CASE WHEN event_id % p.param = 0 AND q1 <> 'N' THEN root2 ELSE root1 END AS br,
+             CASE WHEN event_id % p.param = 0 AND q1 <> 'N' THEN q2 ELSE q1 END AS bq FROM cf, (SELECT unnest([2, 3, 5, 7]) AS param) p)) GROUP BY param""")
+oracle("t6_parameter_sweep", "sweep", "SELECT param AS param_id, majmin_e6, root_e6 FROM sweep")
+oracle("t5_best_parameter", "sweep", """
+  SELECT param AS param_id, majmin_e6 AS objective_e6 FROM sweep WHERE param <> 2 AND root_e6 >= (SELECT root_e6 - 10000 FROM sweep WHERE param = 2) ORDER BY majmin_e6 DESC, param LIMIT 1""")
+
+# ---------------------------------------------------------------- sources and sinks
+oracle("s1_chart_frames", "cf r_cand", f"""
+  SELECT song_id, CAST(row_number() OVER (PARTITION BY song_id ORDER BY bar, slot) - 1 AS INT) AS frame_idx, label, {m6('time')} AS time_e6, {m6('dur')} AS dur_e6, bar, section
+  FROM (SELECT b.song_id, CAST(b.b + 1 AS INT) AS bar, s.slot, CASE WHEN s.slot = 0 THEN src.l0 ELSE src.l1 END AS label,
+               b.b * 4 + s.slot * 4.0 / CASE WHEN src.two THEN 2 ELSE 1 END AS time, 4.0 / CASE WHEN src.two AND NOT src.dot THEN 2 ELSE 1 END AS dur, b.section
+        FROM (SELECT song_id, frame_idx // 2 AS b, min(frame_idx) % 10 = 8 AS pct,
+                     CASE WHEN CAST(floor((min(frame_idx) // 16 * 16) / 16) AS INT) % 2 = 0 THEN 'Verse' ELSE 'Chorus' END AS section
+              FROM cf GROUP BY song_id, frame_idx // 2) b
+        JOIN (SELECT song_id, frame_idx // 2 AS b, min(frame_idx) % 10 = 8 AS pct, arg_min(harte, frame_idx) AS l0, arg_max(harte, frame_idx) AS l1, count(*) > 1 AS two,
+                     count(*) > 1 AND min(frame_idx) % 6 = 2 AS dot FROM r_cand GROUP BY song_id, frame_idx // 2) src
+          ON src.song_id = b.song_id AND src.b = CASE WHEN b.pct THEN b.b - 1 ELSE b.b END
+        JOIN (SELECT unnest([0, 1]) AS slot) s ON s.slot = 0 OR (src.two AND NOT src.dot))""")
+oracle("s2_label_lines", "r_cand", """
+  SELECT song_id, frame_idx AS line_no, CASE WHEN frame_idx % 9 = 7 THEN -1 ELSE start_beat * 10 END AS start_e1,
+         CASE WHEN frame_idx % 9 = 7 THEN -1 ELSE (start_beat + beats) * 10 + 5 END AS end_e1, CASE WHEN frame_idx % 9 = 7 THEN 'broken' ELSE harte END AS label
+  FROM r_cand WHERE frame_idx % 9 <> 4""")
+oracle("s3_recognition_documents", "cand", """
+  SELECT song_id, frame_idx, min(start_beat) AS time, min(section) AS section, CAST(count(*) AS INT) AS n, arg_min(harte, pos) AS harte FROM cand GROUP BY song_id, frame_idx""")
+oracle("s4_annotations", "r_cand", """
+  SELECT song_id, frame_idx, start_beat AS time, CASE WHEN frame_idx % 11 = 3 THEN 'X' ELSE harte END AS label FROM r_cand
+  UNION ALL SELECT song_id, -1, start_beat, 'C:major' FROM r_cand WHERE frame_idx = 20""")
+oracle("s7_gold_events", "cf", """
+  SELECT song_id, frame_idx AS gold_id, CASE WHEN frame_idx % 2 = 0 THEN 'x' ELSE 'y' END AS type, CASE WHEN frame_idx % 2 = 0 THEN (bar - 1) * 4 ELSE start_beat END AS start,
+         CASE WHEN frame_idx % 2 = 0 THEN (bar + 1) * 4 ELSE start_beat + beats END AS stop FROM cf""")
+oracle("s8_pick_estimates", "cf", """
+  SELECT song_id, coalesce(arg_min(CASE WHEN ok THEN ['.lab', '.json', '.recognition.json'][frame_idx + 1] END, CASE WHEN ok THEN [2, 0, 1][frame_idx + 1] END), 'no estimate file') AS extension
+  FROM (SELECT *, frame_idx < 3 AND event_id % 2 = 0 AS ok FROM cf) GROUP BY song_id""")
+oracle("s10_section_files", "cf", """
+  SELECT song_id AS stem, 'd' || frame_idx AS directory, event_id AS sections FROM cf WHERE frame_idx < 4 AND event_id % 2 = 1
+  QUALIFY row_number() OVER (PARTITION BY song_id ORDER BY frame_idx DESC) = 1""")
+ORACLES["s11_newest_recognition"] = "SELECT user_id AS source_path, arg_max(event_id, ts) AS doc_id FROM events GROUP BY user_id"
+ORACLES["s9_paired_annotations"] = compose("""
+  SELECT c.song_id, CASE WHEN c.event_id % 3 > 0 THEN s.split ELSE 'no key annotation' END AS split FROM cf c JOIN (""" + ORACLES["f14_song_split"] + """) s ON s.song_id = c.song_id
+  WHERE c.frame_idx = 0""", "cf")
+oracle("k4_label_export", "seg", """
+  SELECT song_id, seg, printf('%.3f', start / 2.0) || chr(9) || printf('%.3f', stop / 2.0) || chr(9) || harte AS line FROM seg""")
+
+# ---------------------------------------------------------------- meter, decoding, structure
+cte("bt", "cf", "SELECT song_id, start_beat * 0.5 AS tm, start_beat % 4 = 0 AS down FROM cf")
+cte("bdur", "cf", "SELECT song_id, max(start_beat + beats) * 0.5 AS dur FROM cf GROUP BY song_id")
+oracle("w10_beat_numbering", "bt bdur", """
+  WITH e AS (SELECT song_id, tm, true AS beat, down FROM bt WHERE tm > 0 UNION ALL SELECT song_id, 0, false, false FROM bdur),
+  n AS (SELECT e.*, sum(CASE WHEN down THEN 1 ELSE 0 END) OVER (PARTITION BY song_id ORDER BY tm) AS bar FROM e)
+  SELECT n.song_id, CAST(tm * 2 AS INT) AS start_e2, CAST(coalesce(lead(tm) OVER (PARTITION BY n.song_id ORDER BY tm), d.dur) * 2 AS INT) AS end_e2,
+    CASE WHEN beat AND hd THEN CAST(bar AS INT) END AS bar,
+    CASE WHEN beat AND hd THEN CAST(sum(CASE WHEN beat THEN 1 ELSE 0 END) OVER (PARTITION BY n.song_id, bar ORDER BY tm) AS INT) END AS beat_in_bar
+  FROM n JOIN bdur d USING (song_id) JOIN (SELECT song_id, bool_or(down) AS hd FROM bt GROUP BY song_id) h USING (song_id)""".strip())
+oracle("w18_metrical_cost", "cf", """
+  SELECT song_id, CAST(row_number() OVER (PARTITION BY song_id ORDER BY bar) - 1 AS INT) AS beat, CASE WHEN bar % 4 = 1 THEN 0 ELSE 500000 END AS cost_e6
+  FROM (SELECT DISTINCT song_id, bar FROM cf)""")
+_IDX = lambda r, q: f"coalesce({r} + 1 + CASE WHEN {q} IN ('min','min7','dim','hdim7') THEN 12 ELSE 0 END, 0)"
+oracle("a24_beat_observations", "cf", f"""
+  SELECT song_id, beat, CAST(i AS INT) AS chord_idx, {m6('1.5 * avg(ln(0.01 + CASE WHEN i = i1 THEN p1 ELSE 0 END + CASE WHEN i = i2 THEN p2 ELSE 0 END))')} AS obs_e6 FROM (
+    SELECT song_id, CAST(dense_rank() OVER (PARTITION BY song_id ORDER BY bar) - 1 AS INT) AS beat, {_IDX('root1', 'q1')} AS i1, {_IDX('root2', 'q2')} AS i2,
+           p1_permille / 1000.0::DOUBLE AS p1, p2_permille / 1000.0::DOUBLE AS p2 FROM cf), (SELECT unnest(range(25)) AS i) GROUP BY song_id, beat, i""")
+cte("vocab", "cf", f"""
+  SELECT {NOTES}[root + 1] || ':' || m AS label, root, m FROM (SELECT DISTINCT root1 AS root, unnest(['maj', 'min']) AS m FROM cf WHERE root1 IS NOT NULL) UNION ALL SELECT 'N', NULL, 'N'""")
+oracle("w20_transitions", "vocab", f"""
+  SELECT a.label AS src, b.label AS dst, {m6("CASE WHEN a.label = b.label THEN 0 WHEN a.root IS NULL OR b.root IS NULL THEN -2.0 ELSE -1 + [-1.0,-1.6,-0.8,-1.0,-1.0,-0.3,-1.8,-0.7,-1.0,-0.9,-0.8,-1.5][(b.root - a.root + 12) % 12 + 1] END")} AS score_e6
+  FROM vocab a, vocab b""")
+oracle("t1_top_candidates", "cf", f"""
+  SELECT song_id, beat, CAST(row_number() OVER (PARTITION BY song_id, beat ORDER BY p DESC) - 1 AS INT) AS rank, label, {m6('p')} AS prob_e6 FROM (
+    SELECT song_id, frame_idx AS beat, CASE WHEN root1 IS NULL THEN 'N' ELSE {NOTES}[root1 + 1] || ':maj' END AS label, p1_permille / 1000.0::DOUBLE AS p FROM cf
+    UNION ALL SELECT song_id, frame_idx, {NOTES}[root2 + 1] || ':min', p2_permille / 10000.0::DOUBLE FROM cf WHERE q2 IS NOT NULL AND p2_permille >= 200)""")
+oracle("t2_bass_notes", "cf", f"SELECT song_id, frame_idx AS beat, {NOTES}[root1 + 1] AS bass_note, {m6('p1_permille / 1000.0::DOUBLE')} AS prob_e6 FROM cf")
+oracle("b1_chord_templates", "cand", f"""
+  SELECT DISTINCT harte AS label, CAST(coalesce(list_sum(list_transform({TONES.format('q')}, lambda i: pow(2, 11 - (root + i) % 12))), 0) AS INT) AS chroma_bits,
+         CASE WHEN root IS NULL THEN -1 ELSE root + CASE WHEN q IN ('min','min7','dim','hdim7') THEN 12 ELSE 0 END END AS identity_idx FROM cand""")
+oracle("a22_bar_features", "cf", f"""
+  WITH b AS (SELECT song_id, bar, CASE WHEN count(*) >= 4 THEN list_sum(list(p ORDER BY start_beat)[1:4]) ELSE sum(p) + (4 - count(*)) * arg_max(p, start_beat) END AS harm,
+                    avg(l) AS loud, avg(t) AS timbre
+             FROM (SELECT song_id, bar, start_beat, CASE WHEN root1 IS NULL THEN 0 ELSE p1_permille / 1000.0::DOUBLE END AS p, CASE WHEN section = 'Chorus' THEN -10.0 ELSE -18.0 END AS l,
+                          p1_permille / 100.0::DOUBLE AS t FROM cf) GROUP BY song_id, bar)
+  SELECT song_id, CAST(row_number() OVER (PARTITION BY song_id ORDER BY bar) - 1 AS INT) AS bar_no, bar, {m6('harm')} AS harm_e6,
+         {m6('(loud - avg(loud) OVER w) / (stddev_pop(loud) OVER w + 1e-6)')} AS loud_e6, {m6('(timbre - avg(timbre) OVER w) / (stddev_pop(timbre) OVER w + 1e-6)')} AS timbre_e6
+  FROM b WINDOW w AS (PARTITION BY song_id)""".strip())
+for _k in ("w10_beat_numbering", "a22_bar_features"):   # their final select carries its own CTEs
+    _head, _tail = ORACLES[_k].rsplit("\nWITH ", 1)
+    ORACLES[_k] = _head + ",\n" + _tail
