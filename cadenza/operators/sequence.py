@@ -18,9 +18,14 @@ BLOCK_ROWS = 4096
 
 
 def staging_dir(spark: SparkSession) -> str:
-    """Shared folder for staged tables: the one the cluster names, else one for this process."""
+    """Shared folder for staged tables: the one the cluster names; local sessions get their own."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        known = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if known.isDefined():
+            return known.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", path)
     return path

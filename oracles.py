@@ -711,3 +711,16 @@ oracle("a22_bar_features", "cf", f"""
 for _k in ("w10_beat_numbering", "a22_bar_features"):   # their final select carries its own CTEs
     _head, _tail = ORACLES[_k].rsplit("\nWITH ", 1)
     ORACLES[_k] = _head + ",\n" + _tail
+cte("slots", "cf", """
+  SELECT b.song_id, b.bar_no, s.k, b.xs[least(s.k, len(b.xs) - 1) + 1] AS x FROM (
+    SELECT song_id, CAST(row_number() OVER (PARTITION BY song_id ORDER BY bar) - 1 AS INT) AS bar_no, xs FROM (
+      SELECT song_id, bar, list(struct_pack(root := root1, minor := q1 IN ('min','min7','dim','hdim7'), p := CASE WHEN root1 IS NULL THEN 0 ELSE p1_permille / 1000.0::DOUBLE END) ORDER BY start_beat) AS xs
+      FROM cf GROUP BY song_id, bar)) b, (SELECT unnest(range(4)) AS k) s""")
+cte("wslots", "slots", """
+  SELECT song_id, bar_no, k, x FROM slots UNION ALL
+  SELECT a.song_id, a.bar_no, a.k + 4, coalesce(b.x, a.x) FROM slots a LEFT JOIN slots b ON b.song_id = a.song_id AND b.bar_no = a.bar_no + 1 AND b.k = a.k""")
+oracle("b2_repetition_band", "wslots", f"""
+  SELECT a.song_id, r.shift, a.bar_no AS i, b.bar_no AS j,
+         {m6("least(greatest(sum(CASE WHEN a.x.root = (b.x.root + r.shift) % 12 AND a.x.minor = b.x.minor THEN a.x.p * b.x.p ELSE 0 END) / (CASE WHEN sqrt(sum(a.x.p * a.x.p)) > 1e-9 THEN sqrt(sum(a.x.p * a.x.p)) ELSE 1 END * CASE WHEN sqrt(sum(b.x.p * b.x.p)) > 1e-9 THEN sqrt(sum(b.x.p * b.x.p)) ELSE 1 END), 0), 1)")} AS sim_e6
+  FROM wslots a JOIN wslots b ON b.song_id = a.song_id AND b.k = a.k AND b.bar_no IN (a.bar_no + 1, a.bar_no + 2), (SELECT unnest([0, 5, 10]) AS shift) r
+  GROUP BY a.song_id, r.shift, a.bar_no, b.bar_no""")
