@@ -91,7 +91,7 @@ for _kind, _px in (("soft", ""), ("ref", "r_"), ("est", "e_")):
       GROUP BY song_id, seg, harte""")
     cte(f"{_px}seg", f"{_px}cand {_px}fseg {_px}segc", f"""
       SELECT s.*, t.root, t.q, t.harte, t.prob
-      FROM (SELECT song_id, seg, min(start_beat) AS start, max(start_beat + beats) AS stop, sum(beats) AS beats,
+      FROM (SELECT song_id, seg, min(start_beat) AS start, max(start_beat + beats) AS stop, CAST(sum(beats) AS INT) AS beats,
                    min(section) AS section, min(bar) AS bar, min(frame_idx) AS first_frame, max(frame_idx) AS last_frame
             FROM {_px}cand JOIN {_px}fseg USING (song_id, frame_idx) WHERE pos = 0 GROUP BY song_id, seg) s
       JOIN (SELECT * FROM {_px}segc QUALIFY row_number() OVER (PARTITION BY song_id, seg ORDER BY prob DESC, o) = 1) t USING (song_id, seg)""")
@@ -100,7 +100,7 @@ for _kind, _px in (("soft", ""), ("ref", "r_"), ("est", "e_")):
       FROM (SELECT *, CASE WHEN seg > 0 AND lag(root) OVER w IS NOT DISTINCT FROM root THEN 0 ELSE 1 END AS fresh
             FROM {_px}seg WINDOW w AS (PARTITION BY song_id ORDER BY seg))""")
     cte(f"{_px}run", f"{_px}srun", f"""
-      SELECT song_id, run, min(root) AS root, sum(beats) AS beats, min(seg) AS seg_first, max(seg) AS seg_last,
+      SELECT song_id, run, min(root) AS root, CAST(sum(beats) AS INT) AS beats, min(seg) AS seg_first, max(seg) AS seg_last,
              CASE WHEN min(root) IS NULL THEN CASE WHEN sum(beats) < 1 THEN 'skip' ELSE 'block' END
                   WHEN sum(beats) < 0.5 THEN 'skip' ELSE 'use' END AS state
       FROM {_px}srun GROUP BY song_id, run""")
@@ -203,7 +203,7 @@ oracle("p5_segment_rows", "seg", f"""
          CASE WHEN root IS NULL THEN NULL ELSE len(list_filter({TONES.format('q')}, lambda i: NOT list_contains({MAJOR}, (root + i - song_id % 12 + 24) % 12))) = 0 END AS diatonic,
          {m4('prob')} AS conf_e4, prob < 0.6 AS low_confidence FROM seg""")
 oracle("p7_diatonic_share", "seg", f"""
-  SELECT song_id, count(*) AS segments, sum(beats) AS beats,
+  SELECT song_id, count(*) AS segments, CAST(sum(beats) AS INT) AS beats,
          {m6("sum(CASE WHEN len(list_filter(" + TONES.format('q') + ", lambda i: NOT list_contains(" + MAJOR + ", (root + i - song_id % 12 + 24) % 12))) = 0 THEN beats ELSE 0 END) / sum(beats)")} AS share_e6
   FROM seg WHERE root IS NOT NULL GROUP BY song_id""")
 oracle("p6_user_edits", "cf", f"""
