@@ -36,11 +36,11 @@ def overlap_join(a: DataFrame, b: DataFrame, width: float = BUCKET) -> DataFrame
 def point_lookup(points: DataFrame, intervals: DataFrame, width: float = BUCKET) -> DataFrame:
     """First interval (by start) that contains each point ``at``: struct columns ``p`` and ``i`` (null if none)."""
     return seq.sql(f"""
-        with x as (select struct(*) as p, song_id, cast(floor(at / {width}D) as bigint) as slot from {{p}}),
+        with x as (select struct(*) as p, song_id, monotonically_increasing_id() as id, cast(floor(at / {width}D) as bigint) as slot from {{p}}),
              y as (select struct(*) as i, song_id, explode(sequence(cast(floor(start / {width}D) as bigint),
                           cast(floor(end / {width}D) as bigint))) as slot from {{i}})
         select x.song_id, x.p, min_by(y.i, y.i.start) as i from x left join y on x.song_id = y.song_id and x.slot = y.slot
-             and y.i.start <= x.p.at and x.p.at < y.i.end group by x.song_id, x.p""", p=points, i=intervals)
+             and y.i.start <= x.p.at and x.p.at < y.i.end group by x.song_id, x.id, x.p""", p=points, i=intervals)
 
 
 def nearest(points: DataFrame, grid: DataFrame) -> DataFrame:
@@ -264,113 +264,119 @@ def expert_scores(keyed: DataFrame, numerals: DataFrame, functions: DataFrame) -
     """Agreement with expert numerals ``numerals(song_id, start, end, value)`` per song.
 
     Degree hits at the span's midpoint; applied dominants / leading-tone chords found and confirmed by
-    any overlap of our functional labels ``functions(song_id, seg, functions)``.
+    any overlap of our functional labels ``functions(song_id, seg, functions)``.  Every song with expert
+    numerals has a row, also without a hit.
     """
     from cadenza.functions import labels as lb
     spans = numerals.selectExpr("*", f"{lb.numeral_degree('value')} as degree", f"{lb.applied_target('value')} as target",
                                 "(start + end) / 2 as at")
     hits = point_lookup(spans.where("degree is not null").select("song_id", "start", "at", "degree"), keyed.selectExpr(
         "song_id", "start", "end", f"{th.degree('top.root', 'key_idx')} as degree"))
-    tails = "filter(functions, f -> f like 'V%/%' or f like 'vii%/%' or f like '♭V%/%' or f like '♭vii%/%')"
+    tails = "filter(functions, f -> f like 'V%/%' or f like 'vii%/%')"
     pred = seq.sql(f"""select k.song_id, k.start, k.end, {lb.numeral_degree("split_part(get(hit, 0), '/', 2)")} as target
                        from (select song_id, seg, {tails} as hit from {{f}}) f
                        join {{k}} k on k.song_id = f.song_id and k.seg = f.seg where size(hit) > 0""", f=functions, k=keyed)
-    gold = spans.where("target is not null").select("song_id", "start", "end", "target")
+    gold = seq.stage(spans.where("target is not null").selectExpr("song_id", "start", "end", "target", "monotonically_increasing_id() as span"))
     both = overlap_join(gold, pred)
     return seq.sql("""
         with h as (select song_id, count(*) as numeral_n, sum(if(p.degree = i.degree, 1, 0)) as numeral_hits
                    from {h} where i.degree is not null group by song_id),
         g as (select song_id, count(*) as gold from {g} group by song_id), p as (select song_id, count(*) as pred from {p} group by song_id),
-        r as (select song_id, count(distinct a.start) as tp_recall, count(distinct if(a.target = b.target, a.start, null)) as target_ok,
-                     count(distinct b.start) as tp_precision from {b} group by song_id)
-        select h.song_id, numeral_n, numeral_hits, coalesce(gold, 0) as applied_gold, coalesce(pred, 0) as applied_pred,
+        r as (select song_id, count(distinct a.span) as tp_recall, count(distinct if(a.target = b.target, a.span, null)) as target_ok,
+                     count(distinct b.start) as tp_precision from {b} group by song_id),
+        s as (select distinct song_id from {s})
+        select s.song_id, coalesce(numeral_n, 0) as numeral_n, coalesce(numeral_hits, 0) as numeral_hits, coalesce(gold, 0) as applied_gold, coalesce(pred, 0) as applied_pred,
                coalesce(tp_recall, 0) as applied_tp_recall, coalesce(tp_precision, 0) as applied_tp_precision,
                coalesce(target_ok, 0) as applied_target_ok
-        from h left join g on g.song_id = h.song_id left join p on p.song_id = h.song_id left join r on r.song_id = h.song_id""",
-                   h=hits, g=gold, p=pred, b=both)
+        from s left join h on h.song_id = s.song_id left join g on g.song_id = s.song_id
+        left join p on p.song_id = s.song_id left join r on r.song_id = s.song_id""", h=hits, g=gold, p=pred, b=both, s=numerals)
+
+
+def expert_summary(rows: DataFrame) -> DataFrame:
+    """Corpus roll-up of ``expert_scores``: degree accuracy, recall, precision and target agreement of applied chords."""
+    return seq.sql("""
+        select count(*) as songs, sum(numeral_hits) / nullif(sum(numeral_n), 0) as numeral_degree_acc,
+               sum(applied_gold) as applied_gold, sum(applied_pred) as applied_pred,
+               sum(applied_tp_recall) / nullif(sum(applied_gold), 0) as applied_recall,
+               sum(applied_tp_precision) / nullif(sum(applied_pred), 0) as applied_precision,
+               sum(applied_target_ok) / nullif(sum(applied_tp_recall), 0) as target_agreement from {r}""", r=rows)
 
 
 # ------------------------------------------------------------------------------ alignment
 
+def edit_steps(cost, gap: int) -> tuple[int, list[tuple[int | None, int | None]]]:
+    """Cheapest edit script between two sequences by dynamic programming over whole numbers.
+
+    ``cost[i, j]`` is what row i costs against column j.  Among equally cheap scripts a match comes before
+    a dropped row, that before an inserted column, seen from the end.
+    """
+    import numpy as np
+    n, m = cost.shape
+    columns = gap * np.arange(m + 1)
+    line = columns.copy()
+    came = np.full((n + 1, m + 1), 2, np.int8)  # 0 match, 1 dropped row, 2 inserted column
+    came[1:, 0] = 1
+    for i in range(1, n + 1):
+        match, drop = line[:-1] + cost[i - 1], line + gap
+        without = np.minimum(drop, np.concatenate([[drop[0]], match]))
+        # inserted columns move along the line: a running minimum once the columns' own cost is taken off
+        new = np.minimum.accumulate(without - columns) + columns
+        came[i, 1:] = np.where(match == new[1:], 0, np.where(drop[1:] == new[1:], 1, 2))
+        line = new
+    steps, i, j = [], n, m
+    while i or j:
+        kind = came[i, j]
+        i, j = i - (kind != 2), j - (kind != 1)
+        steps.append((int(i) if kind != 2 else None, int(j) if kind != 1 else None))
+    return int(line[-1]), steps[::-1]
+
+
 def align_sequences(reference: DataFrame, estimate: DataFrame, level: str = "chord") -> DataFrame:
     """Edit-distance alignment of two chord sequences per song: cost and the map estimate -> reference.
 
     Inputs ``(song_id, idx, harte, root, quality)``.  Substitution: equal 0, same root .3, else 1 at
-    level "chord"; 0 / 1 at "root", "majmin", "sevenths".  Gap 1.  The recursion needs a whole chart, so
-    it runs per song on the merged chord sequences (a chart is written text, a few hundred chords).
+    level "chord"; 0 / 1 at "root", "majmin", "sevenths".  Gap 1.  What a chord is at a level is one code,
+    made in SQL; the recursion over a song's codes runs in Arrow batches (a chart is written text, a few
+    hundred chords).  The map carries the last matched reference chord forward.
     """
     import numpy as np
     import pandas as pd
     key_type = reference.schema["song_id"].dataType.simpleString()
     masks = {q: th.mask(r["semis"]) for q, r in th.QUALITIES.items()}
-    vocab = {"majmin": {th.mask((0, 4, 7)), th.mask((0, 3, 7))},
-             "sevenths": {masks[q] for q in ("maj", "min", "maj7", "7", "min7")}}
-
-    def costs(a_h, a_r, a_q, b_h, b_r, b_q) -> np.ndarray:
-        eq_root = a_r[:, None] == b_r[None, :]
-        if level == "chord":
-            rooted = (a_r >= 0)[:, None] & eq_root
-            return np.where(a_h[:, None] == b_h[None, :], 0.0, np.where(rooted, 0.3, 1.0))
-        ma, mb = (np.array([masks.get(q, 0) for q in s]) for s in (a_q, b_q))
-        same = eq_root
-        if level != "root":
-            cut = 0xFF if level == "majmin" else 0xFFF
-            inside = np.array([(m & cut) in vocab[level] or r < 0 for m, r in zip(ma, a_r)])
-            same = eq_root & np.where(inside[:, None], (ma & cut)[:, None] == (mb & cut)[None, :], True)
-        return np.where(same, 0.0, 1.0)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        row = pdf.iloc[0]
-
-        def cols(x):
-            return (np.array([i["harte"] for i in x], dtype=object), np.array([-1 if i["root"] is None else i["root"] for i in x]),
-                    [i["quality"] for i in x])
-
-        C = costs(*cols(row["ref"]), *cols(row["est"]))
-        n, m = C.shape
-        D = np.zeros((n + 1, m + 1))
-        D[0] = np.arange(m + 1)
-        steps = np.arange(1, m + 1)
-        for i in range(1, n + 1):
-            best = np.minimum(D[i - 1, :-1] + C[i - 1], D[i - 1, 1:] + 1)
-            # left-to-right insertions as a running minimum of (cost - column)
-            D[i, 0] = i
-            D[i, 1:] = np.minimum.accumulate(np.minimum(best - steps, np.concatenate([[i], best[:-1] - steps[:-1]]))) + steps
-        i, j, path = n, m, []
-        while i or j:
-            if i and j and abs(D[i, j] - D[i - 1, j - 1] - C[i - 1, j - 1]) < 1e-9:
-                i, j = i - 1, j - 1
-                path.append((i, j))
-            elif i and abs(D[i, j] - D[i - 1, j] - 1) < 1e-9:
-                i -= 1
-                path.append((i, None))
-            else:
-                j -= 1
-                path.append((None, j))
-        out, last, unmatched = [None] * m, None, 0
-        for a, b in reversed(path):
-            last = a if a is not None else last
-            if b is None:
-                unmatched += 1
-            else:
-                out[b] = last
-        first = next((x for x in out if x is not None), None)
-        return pd.DataFrame({"song_id": [row["song_id"]], "cost": [float(D[n, m])], "n_ref": [n], "unmatched_ref": [unmatched],
-                             "ref_of_est": [[first if x is None else x for x in out]]})
+    vocab = {"majmin": [th.mask((0, 4, 7)), th.mask((0, 3, 7))], "sevenths": [masks[q] for q in ("maj", "min", "maj7", "7", "min7")]}
+    cut = {"majmin": 0xFF, "sevenths": 0xFFF}.get(level, 0)
+    shape = f"coalesce({th.lookup({q: m & cut for q, m in masks.items()}, 'quality')}, 0)" if cut else "0"
+    code = "harte" if level == "chord" else f"cast({shape} as string)"
+    judged = f"(root is null or {shape} in ({', '.join(map(str, vocab[level]))}))" if cut else "false"
 
     def packed(name: str) -> str:
-        return (f"select song_id, transform(sort_array(collect_list(struct(idx, harte, root, quality))), x -> struct("
-                f"x.harte as harte, x.root as root, x.quality as quality)) as {name} from {{{name}}} group by song_id")
+        return (f"select song_id, sort_array(collect_list(struct(idx, coalesce(root, -1) as root, {code} as code, {judged} as judged))) as {name} "
+                f"from {{{name}}} group by song_id")
 
-    pairs = seq.sql(f"with r as ({packed('ref')}), e as ({packed('est')}) select r.song_id, r.ref, e.est from r join e on e.song_id = r.song_id",
-                    ref=reference, est=estimate)
+    def tenths(a: list, b: list) -> np.ndarray:
+        (ra, ca, ja), (rb, cb, _) = [[np.array([x[k] for x in side], dtype=object) for k in ("root", "code", "judged")] for side in (a, b)]
+        root, same = ra[:, None] == rb[None, :], ca[:, None] == cb[None, :]
+        if level == "chord":
+            return np.where(same, 0, np.where(root & (ra >= 0)[:, None].astype(bool), 3, 10))
+        # outside the level's vocabulary the root alone decides
+        return np.where(root & (same | ~ja.astype(bool)[:, None]), 0, 10)
 
-    def each(batches):
+    def run(batches):
         for pdf in batches:
-            for i in range(len(pdf)):
-                yield run(pdf.iloc[i:i + 1])
+            out = [(row.song_id, len(row.ref), *edit_steps(tenths(row.ref, row.est), 10)) for row in pdf.itertuples()]
+            yield pd.DataFrame([(s, cost / 10, n, [{"ref": a, "est": b} for a, b in steps]) for s, n, cost, steps in out],
+                               columns=["song_id", "cost", "n_ref", "steps"])
 
-    return pairs.mapInPandas(each, f"song_id {key_type}, cost double, n_ref int, unmatched_ref int, ref_of_est array<int>")
+    pairs = seq.sql(f"with r as ({packed('ref')}), e as ({packed('est')}) select r.song_id, r.ref, e.est from r join e on e.song_id = r.song_id",
+                    ref=reference, est=estimate)
+    aligned = pairs.mapInPandas(run, f"song_id {key_type}, cost double, n_ref int, steps array<struct<ref:int,est:int>>")
+    return seq.sql("""
+        with x as (select song_id, cost, n_ref, posexplode(steps) as (k, s) from {a}),
+        c as (select *, last(s.ref, true) over (partition by song_id order by k rows between unbounded preceding and current row) as carried,
+                     first(s.ref, true) over (partition by song_id order by k rows between unbounded preceding and unbounded following) as head from x)
+        select song_id, first(cost) as cost, first(n_ref) as n_ref, cast(sum(if(s.est is null, 1, 0)) as int) as unmatched_ref,
+               transform(sort_array(collect_list(if(s.est is null, null, struct(s.est, coalesce(carried, head) as ref)))), z -> z.ref) as ref_of_est
+        from c group by song_id""", a=aligned)
 
 
 # ------------------------------------------------------------------------------ sweeps

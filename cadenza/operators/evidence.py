@@ -45,6 +45,15 @@ def segments_with_keys(segments: DataFrame, keys: DataFrame) -> DataFrame:
                       join {k} k on k.song_id = s.song_id and k.seg = s.seg""", s=segments, k=keys)
 
 
+def class_masses(candidates: DataFrame, classes: tuple[str, ...], least: float = 0.0) -> DataFrame:
+    """Per (segment, root): probability, mass of the chord classes and its share; roots under ``least`` are left out."""
+    named = ", ".join(f"'{c}'" for c in classes)
+    return seq.sql(f"""
+        select *, mass / prob as share from (
+            select song_id, seg, root, sum(prob) as prob, sum(if(qclass in ({named}), prob, 0D)) as mass
+            from {{c}} where root is not null group by song_id, seg, root) where prob >= {least}D""", c=candidates)
+
+
 def root_masses(keyed: DataFrame, runs: DataFrame, params: dict) -> DataFrame:
     """Per (segment, root): probability, mass by chord class and by rule weight."""
     p = params

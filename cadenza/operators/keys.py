@@ -54,6 +54,26 @@ def leading_tone(params: dict) -> str:
     return f", array({dim}) as dim"
 
 
+def before_cadence(parts: DataFrame, params: dict, size: int | None = None) -> DataFrame:
+    """Adds ``prev_v``: per root, the dominant mass of the segment before (dominants and a share of major chords)."""
+    if size is not None:
+        parts = seq.stage(parts)
+    cadence = f"transform(sequence(0, 11), i -> dom[i] + {params['key']['cadence_triad_factor']}D * maj[i])"
+    return seq.neighbour(parts.selectExpr("*", f"{cadence} as v"), "seg", "v", "prev_v", size)
+
+
+def boundary_segments(parts: DataFrame) -> DataFrame:
+    """First and last segment of every song that holds a rooted chord."""
+    return seq.sql("""select song_id, min(if(rooted = 1, seg, null)) as first_seg, max(if(rooted = 1, seg, null)) as last_seg
+                      from {p} group by song_id""", p=parts)
+
+
+def key_weight(params: dict) -> str:
+    """Weight of a segment's evidence by its length in beats."""
+    k = params["key"]
+    return f"least(greatest(beats / {k['beats_per_weight_unit']}D, {k['weight_min']}D), {k['weight_max']}D)"
+
+
 def emissions(segments: DataFrame, params: dict, size: int | None = None, exempt: DataFrame | None = None,
               prior: DataFrame | None = None) -> DataFrame:
     """Log evidence of the 24 keys per segment: ``(song_id, seg, beats, emission ARRAY<DOUBLE>)``.
@@ -61,15 +81,11 @@ def emissions(segments: DataFrame, params: dict, size: int | None = None, exempt
     ``exempt(song_id, seg)``: segments without boundary bonus.  ``prior(song_id, seg, key_idx, bonus)``.
     """
     k = params["key"]
-    parts = emission_parts(segments, params)
-    if size is not None:
-        parts = seq.stage(parts)
-    cadence = f"transform(sequence(0, 11), i -> dom[i] + {k['cadence_triad_factor']}D * maj[i])"
-    parts = seq.neighbour(parts.selectExpr("*", f"{cadence} as v"), "seg", "v", "prev_v", size)
+    parts = before_cadence(emission_parts(segments, params), params, size)
     ends = []
     if k["boundary_tonic_bonus"]:
         ends = {"both": ["first_seg", "last_seg"], "first": ["first_seg"], "last": ["last_seg"]}[k["boundary_positions"]]
-    weight = f"least(greatest(beats / {k['beats_per_weight_unit']}D, {k['weight_min']}D), {k['weight_max']}D)"
+    weight = key_weight(params)
     exprs = []
     for i in range(K):
         r, minor = i % 12, i >= 12
@@ -83,16 +99,14 @@ def emissions(segments: DataFrame, params: dict, size: int | None = None, exempt
         body = (f"{weight} * ({e}) + {k['cadence_bonus']}D * coalesce(prev_v[{(r + 7) % 12}], 0D) * {ton}")
         exprs.append(f"if(rooted = 1, {body}, 0D) + if(at_end, {k['boundary_tonic_bonus']}D * {ton}, 0D)")
     at_end = " or ".join(f"p.seg = e.{c}" for c in ends) or "false"
-    tables = {"p": parts}
+    tables = {"p": parts, "e": boundary_segments(parts)}
     not_exempt = ""
     if exempt is not None:
         tables["x"] = exempt
         not_exempt = "left join (select distinct song_id, seg, true as hit from {x}) x on x.song_id = p.song_id and x.seg = p.seg"
         at_end = f"({at_end}) and x.hit is null"
     out = seq.sql(f"""
-        with e as (select song_id, min(if(rooted = 1, seg, null)) as first_seg, max(if(rooted = 1, seg, null)) as last_seg
-                   from {{p}} group by song_id),
-             m as (select p.*, coalesce({at_end}, false) as at_end from {{p}} p join e on e.song_id = p.song_id {not_exempt})
+        with m as (select p.*, coalesce({at_end}, false) as at_end from {{p}} p join {{e}} e on e.song_id = p.song_id {not_exempt})
         select song_id, seg, beats, rooted, array({', '.join(exprs)}) as emission from m""", **tables)
     if prior is None:
         return out
@@ -438,6 +452,11 @@ def segment_keys(segments: DataFrame, params: dict, size: int | None = None, exe
 
     ``given(song_id, key_idx)`` fixes the key of its songs with probability 1.
     """
+    if given is not None:
+        # songs with a told key need no emissions and no decoding
+        told = given.where("key_idx is not null")
+        rest = seq.stage(segments.join(told, "song_id", "left_anti"))
+        return segment_keys(rest, params, size, exempt, prior).unionByName(given_segment_keys(segments, told))
     e = seq.stage(emissions(segments, params, size, exempt, prior))
     path = seq.stage(decode_keys(e, params, size))
     marked = seq.stage(path_regions(e.select("song_id", "seg", "beats", "emission"), path, size))
@@ -446,11 +465,10 @@ def segment_keys(segments: DataFrame, params: dict, size: int | None = None, exe
         select song_id, region, first(path_idx) as key_idx, sum(beats) as beats, array({esum}) as esum
         from {{m}} group by song_id, region""", m=marked)
     merged = merge_short_regions(regions, params)
-    out = seq.sql("""
+    return seq.sql("""
         select m.song_id, m.seg, r.merged_idx as key_idx, m.post[r.merged_idx] as key_prob, m.post, false as given
         from {m} m join {r} r on r.song_id = m.song_id and r.region = m.region""",
                   m=marked, r=merged.select("song_id", "region", "merged_idx"))
-    return out if given is None else override_keys(out, given)
 
 
 def given_segment_keys(segments: DataFrame, given: DataFrame) -> DataFrame:
@@ -461,14 +479,6 @@ def given_segment_keys(segments: DataFrame, given: DataFrame) -> DataFrame:
         from {{s}} s join {{g}} g on g.song_id = s.song_id""", s=segments, g=given)
 
 
-def override_keys(keys: DataFrame, given: DataFrame) -> DataFrame:
-    return seq.sql(f"""
-        select k.song_id, k.seg, coalesce(g.key_idx, k.key_idx) as key_idx, if(g.key_idx is null, k.key_prob, 1D) as key_prob,
-               if(g.key_idx is null, k.post, transform(sequence(0, {K - 1}), i -> if(i = g.key_idx, 1D, 0D))) as post,
-               g.key_idx is not null as given
-        from {{k}} k left join {{g}} g on g.song_id = k.song_id""", k=keys, g=given)
-
-
 def key_regions(segments: DataFrame, keys: DataFrame, size: int | None = None) -> DataFrame:
     """Maximal stretches of one key: span, segment range and mean key probability."""
     j = seq.sql("""select s.song_id, s.seg, s.start, s.end, s.beats, k.key_idx, k.key_prob

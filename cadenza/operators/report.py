@@ -11,10 +11,10 @@ def marker_sections(frames: DataFrame, size: int | None = None) -> DataFrame:
     """Sections from frame markers: consecutive marked frames with the same label."""
     f = frames.where("section is not null and section <> ''").selectExpr(
         "song_id", "frame_idx", "time", "duration", "section")
-    if size is None:
-        f = f.selectExpr("*", "cast(row_number() over (partition by song_id order by frame_idx) - 1 as int) as i")
-    else:
-        f = f.selectExpr("*", "frame_idx as i")
+    # marked frames are numbered anew, as frames without a section leave gaps
+    f = seq.running_sum(f.selectExpr("*", "1 as one"), "frame_idx", "one", "at", size).selectExpr("*", "cast(at - 1 as int) as i").drop("one", "at")
+    if size is not None:
+        f = seq.stage(f)
     m = seq.islands(f, "i", "p.section = section", "struct(section)", "sec", size)
     return seq.sql("""select song_id, sec, first(section) as label, min(time) as start, max(time + duration) as end
                       from {m} group by song_id, sec""", m=m)
@@ -34,24 +34,27 @@ def bar_lines(frames: DataFrame, segments: DataFrame) -> DataFrame:
 
 
 def bar_numerals(bars: DataFrame, segment_rows: DataFrame, sections: DataFrame, params: dict) -> DataFrame:
-    """Numerals sounding in every bar of every section; equal neighbours inside a bar collapse."""
+    """Numerals sounding in every bar of every section; equal neighbours inside a bar collapse.
+
+    A bar that crosses a section border lists, for each of the two sections, only segments that reach into it."""
     from cadenza.operators.evaluate import overlap_join
     least = params["report"]["min_overlap"]
     segs = segment_rows.selectExpr("song_id", "start", "end", "seg", "chord",
                                    "coalesce(display, if(chord_harte = 'N', 'N', '?')) as numeral")
-    j = overlap_join(bars, segs)
+    held = overlap_join(sections.select("song_id", "start", "end", "sec"), segs).selectExpr(
+        "song_id", "a.sec as sec", "b.start as start", "b.end as end", "b.seg as seg", "b.numeral as numeral", "b.chord as chord")
+    inside = overlap_join(bars, sections).selectExpr("song_id", "a.bar_no as bar_no", "b.sec as sec")
     per_bar = seq.sql(f"""
-        with x as (select song_id, a.bar_no as bar_no, a.start as start, a.end as end, b.seg as seg, b.numeral as numeral, b.chord as chord
+        with x as (select song_id, b.sec as sec, a.bar_no as bar_no, b.seg as seg, b.numeral as numeral, b.chord as chord
                    from {{j}} where w >= {least}D * (a.end - a.start)),
-        d as (select *, lag(numeral) over (partition by song_id, bar_no order by seg) as before from x)
-        select song_id, bar_no, array_join(transform(sort_array(collect_list(struct(seg, numeral))), z -> z.numeral), ' ') as numerals,
+        d as (select *, lag(numeral) over (partition by song_id, sec, bar_no order by seg) as before from x)
+        select song_id, sec, bar_no, array_join(transform(sort_array(collect_list(struct(seg, numeral))), z -> z.numeral), ' ') as numerals,
                array_join(transform(sort_array(collect_list(struct(seg, chord))), z -> z.chord), ' ') as chords
-        from d where before is null or before <> numeral group by song_id, bar_no""", j=j)
-    inside = overlap_join(bars, sections)
+        from d where before is null or before <> numeral group by song_id, sec, bar_no""", j=overlap_join(bars, held))
     return seq.sql("""
-        select i.song_id, i.b.sec as sec, i.a.bar_no as bar_no, coalesce(p.numerals, '—') as numerals, coalesce(p.chords, '—') as chords,
-               cast(row_number() over (partition by i.song_id, i.b.sec order by i.a.bar_no) - 1 as int) as pos
-        from {i} i left join {p} p on p.song_id = i.song_id and p.bar_no = i.a.bar_no""", i=inside, p=per_bar)
+        select i.song_id, i.sec, i.bar_no, coalesce(p.numerals, '—') as numerals, coalesce(p.chords, '—') as chords,
+               cast(row_number() over (partition by i.song_id, i.sec order by i.bar_no) - 1 as int) as pos
+        from {i} i left join {p} p on p.song_id = i.song_id and p.sec = i.sec and p.bar_no = i.bar_no""", i=inside, p=per_bar)
 
 
 def loops(bar_rows: DataFrame) -> DataFrame:

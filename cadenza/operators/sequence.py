@@ -15,19 +15,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 BLOCK_ROWS = 4096
+_LOCAL: list[str] = []  # folder of a local session that names none
 
 
 def staging_dir(spark: SparkSession) -> str:
     """Shared folder for staged tables: the one the cluster names; local sessions get their own."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if known.isDefined():
-            return known.get()
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.conf.get("spark.master", "").startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        path = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", path)
+        if not _LOCAL:
+            _LOCAL.append(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        path = _LOCAL[0]
     return path
 
 
@@ -73,7 +72,7 @@ def neighbour(df: DataFrame, idx: str, value: str, name: str, size: int | None,
 
 
 def running_sum(df: DataFrame, idx: str, value: str, name: str, size: int | None) -> DataFrame:
-    """Inclusive running sum along a densely numbered sequence."""
+    """Inclusive running sum along a sequence; numbers may be missing, a block carries all blocks before it."""
     over = f"order by {idx} rows between unbounded preceding and current row"
     if size is None:
         return df.selectExpr("*", f"sum({value}) over (partition by song_id {over}) as {name}")
@@ -81,11 +80,9 @@ def running_sum(df: DataFrame, idx: str, value: str, name: str, size: int | None
     return sql(f"""
         with r as (select *, cast({idx} div {size} as int) as blk from {{df}}),
              w as (select *, sum({value}) over (partition by song_id, blk {over}) as inside from r),
-             t as (select song_id, blk, sum({value}) as total, count(*) as n from r group by song_id, blk),
-             c as (select song_id, blk + 1 as blk, before from (
-                     select *, sum(total) over (partition by song_id order by blk
-                                                rows between unbounded preceding and current row) as before from t)
-                   where n = {size})
+             t as (select song_id, blk, sum({value}) as total from r group by song_id, blk),
+             c as (select song_id, blk, sum(total) over (partition by song_id order by blk
+                                                         rows between unbounded preceding and 1 preceding) as before from t)
         select {cols}, r.inside + coalesce(c.before, 0) as {name}
         from w r left join c on c.song_id = r.song_id and c.blk = r.blk""", df=df)
 

@@ -40,9 +40,13 @@ def prepare(frames: DataFrame, params: dict, size: int | None) -> tuple[DataFram
     return segments, runs
 
 
-def analyze(frames: DataFrame, params: dict | None = None, given: DataFrame | None = None, size: int | None = None,
+def analyze(frames: DataFrame, params: dict | None = None, given: DataFrame | None = None, size: int | str | None = "measured",
             borrowed: list[dict] | None = None, progressions: list[dict] | None = None) -> Analysis:
-    """Analyse every song.  ``given(song_id, key_idx)`` fixes keys; a null key_idx leaves the song estimated."""
+    """Analyse every song.  ``given(song_id, key_idx)`` fixes keys; a null key_idx leaves the song estimated.
+
+    ``size`` is the block length for long songs, None for no blocks; by default the longest song decides."""
+    if size == "measured":
+        size = seq.block_size(frames)
     p = params or P.with_overrides()
     entries = P.borrowed_entries() if borrowed is None else borrowed
     idioms = P.progression_entries() if progressions is None else progressions

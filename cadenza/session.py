@@ -20,8 +20,7 @@ def local_session(cores: int | None = None, app: str = "cadenza") -> SparkSessio
              .config("spark.sql.session.timeZone", "UTC")
              .config("spark.driver.memory", "16g")
              .config("spark.ui.enabled", "false")
+             .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
              .getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return spark

@@ -6,6 +6,7 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cadenza import params as P
 from cadenza import theory as th
@@ -147,14 +148,13 @@ def _(c):
 
 @query("p3_key_weight")
 def _(c):
-    return c.segments().selectExpr("song_id", "seg", f"{m6('least(greatest(beats / 4D, 0.25D), 2D)')} as w_e6")
+    return c.segments().selectExpr("song_id", "seg", f"{m6(ky.key_weight(c.params))} as w_e6")
 
 
 @query("p4_likely_roots")
 def _(c):
-    return seq.sql(f"""select song_id, seg, root, {m6('sum(prob)')} as prob_e6 from {{c}} where root is not null
-                       group by song_id, seg, root having sum(prob) >= {c.params['general']['min_root_prob']}""",
-                   c=sg.seg_candidates(c.segments()))
+    likely = evd.class_masses(sg.seg_candidates(c.segments()), ("maj",), c.params["general"]["min_root_prob"])
+    return likely.selectExpr("song_id", "seg", "root", f"{m6('prob')} as prob_e6")
 
 
 @query("p5_segment_rows")
@@ -184,9 +184,8 @@ def _(c):
 
 @query("a3_soft_mass")
 def _(c):
-    return seq.sql(f"""select song_id, seg, root, {m6("sum(if(qclass in ('maj', 'dom'), prob, 0D))")} as mass_e6,
-                       {m6("sum(if(qclass in ('maj', 'dom'), prob, 0D)) / sum(prob)")} as cond_e6
-                       from {{c}} where root is not null group by song_id, seg, root""", c=sg.seg_candidates(c.segments()))
+    return evd.class_masses(sg.seg_candidates(c.segments()), ("maj", "dom")).selectExpr(
+        "song_id", "seg", "root", f"{m6('mass')} as mass_e6", f"{m6('share')} as cond_e6")
 
 
 @query("a4_run_evidence")
@@ -299,7 +298,7 @@ def _(c):
 
 @query("w7_key_posteriors")
 def _(c):
-    return _path(c).selectExpr("song_id", "seg", "posexplode(post) as (key_idx, p)").where("p >= 0.01").selectExpr(
+    return _path(c).selectExpr("song_id", "seg", "posexplode(post) as (key_idx, p)").selectExpr(
         "song_id", "seg", "key_idx", f"{e4(th.rounded('p'))} as p_e4")
 
 
@@ -310,7 +309,7 @@ def _(c):
 
 @query("t4_alternative_keys")
 def _(c):
-    return ky.global_keys(c.segments(), _path_keys(c), c.params).where("rank between 1 and 3").selectExpr("song_id", "rank", f"{e4(th.rounded('prob'))} as p_e4")
+    return ky.global_keys(c.segments(), _path_keys(c), c.params).where("rank between 1 and 3").selectExpr("song_id", "rank", "key_idx", f"{e4(th.rounded('prob'))} as p_e4")
 
 
 @query("a7_ambiguity")
@@ -326,17 +325,14 @@ def _(c):
 
 @query("w4_cadence_bonus")
 def _(c):
-    f = c.params["key"]["cadence_triad_factor"]
-    parts = ky.emission_parts(c.segments(), c.params).selectExpr("*", f"transform(sequence(0, 11), i -> dom[i] + {f}D * maj[i]) as v")
-    n = seq.neighbour(seq.stage(parts) if c.size else parts, "seg", "v", "prev_v", c.size)
+    n = ky.before_cadence(ky.emission_parts(c.segments(), c.params), c.params, c.size)
     return n.selectExpr("song_id", "seg", "posexplode(concat(maj, min)) as (key_idx, ton)", "prev_v").selectExpr(
         "song_id", "seg", "key_idx", "prev_v[(key_idx + 7) % 12] * ton as b").where("b > 0").selectExpr("song_id", "seg", "key_idx", f"{m6('b')} as bonus_e6")
 
 
 @query("w5_boundary_segments")
 def _(c):
-    return c.segments().where("top.root is not null").groupBy("song_id").agg({"seg": "min"}).withColumnRenamed("min(seg)", "first_seg").join(
-        c.segments().where("top.root is not null").groupBy("song_id").agg({"seg": "max"}).withColumnRenamed("max(seg)", "last_seg"), "song_id")
+    return ky.boundary_segments(c.segments().selectExpr("song_id", "seg", "if(top.root is null, 0, 1) as rooted")).where("first_seg is not null")
 
 
 @query("r9_modulations")
@@ -677,7 +673,7 @@ def _(c):
 def _(c):
     from cadenza.sources import documents as docs
     refs = c.view.select("song_id").distinct()
-    cand = c.view.where("frame_idx < 3 and event_id % 2 = 0").selectExpr("song_id", "get(array('.lab', '.json', '.recognition.json'), frame_idx) as extension")
+    cand = c.view.where("event_id % 2 = 0").selectExpr("song_id", "get(array('.lab', '.json', '.recognition.json'), frame_idx % 3) as extension").where("song_id % 5 <> 3")
     picked, skipped = docs.pick_estimates(refs, cand)
     return picked.select("song_id", "extension").unionByName(skipped.selectExpr("song_id", "reason as extension"))
 
@@ -685,15 +681,15 @@ def _(c):
 @query("s9_paired_annotations")
 def _(c):
     from cadenza.sources import documents as docs
-    chords = c.view.where("frame_idx = 0").selectExpr("song_id", "q1 as text")
-    both, missing = docs.pair_annotations(chords, c.view.where("frame_idx = 0 and event_id % 3 > 0").selectExpr("song_id", "section as text"))
+    songs = c.view.groupBy("song_id").agg(F.concat_ws(" ", F.sort_array(F.collect_list("q1"))).alias("text"), F.sum("event_id").alias("ids"))
+    both, missing = docs.pair_annotations(songs.select("song_id", "text"), songs.where("ids % 3 > 0").select("song_id", "text"))
     return both.select("song_id", "split").unionByName(missing.selectExpr("song_id", "problem as split"))
 
 
 @query("s10_section_files")
 def _(c):
     from cadenza.sources import documents as docs
-    files = c.view.where("frame_idx < 4 and event_id % 2 = 1").selectExpr("song_id as stem", "concat('d', frame_idx) as directory", "event_id as sections")
+    files = c.view.groupBy(F.col("song_id").alias("stem"), F.expr("concat('d', event_id % 4)").alias("directory")).agg(F.max("event_id").alias("sections"))
     pri = files.select("directory").distinct().selectExpr("directory", "-cast(substring(directory, 2) as int) as priority")
     return docs.section_files(files, pri).selectExpr("stem", "directory", "sections")
 
@@ -883,7 +879,7 @@ def _(c):
 @query("b2_repetition_band")
 def _(c):
     from cadenza.operators import structure as st
-    r = st.repetition(_windows(c), range(1, 3), range(0, 12, 5))
+    r = st.repetition(_windows(c), range(1, 3), range(12))
     return r.selectExpr("song_id", "shift", "i", "j", f"{m6('sim')} as sim_e6")
 
 

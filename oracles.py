@@ -400,7 +400,7 @@ cte("post", "rec_alpha rec_beta", f"""
     SELECT a.song_id, a.seg, list_transform(range(24), lambda k: a.a[k + 1] + b.b[k + 1]) AS g
     FROM rec_alpha a JOIN rec_beta b ON b.song_id = a.song_id AND b.seg = a.seg))""")
 oracle("w7_key_posteriors", "post", f"""
-  SELECT song_id, seg, CAST(k AS INT) AS key_idx, {m4('p[k + 1]')} AS p_e4 FROM post, (SELECT unnest(range(24)) AS k) WHERE p[k + 1] >= 0.01""")
+  SELECT song_id, seg, CAST(k AS INT) AS key_idx, {m4('p[k + 1]')} AS p_e4 FROM post, (SELECT unnest(range(24)) AS k)""")
 cte("gmass", "post seg", """
   SELECT song_id, k, sum(p[k + 1] * beats) / sum(beats) AS m, sum(beats) AS beats FROM post JOIN seg USING (song_id, seg), (SELECT unnest(range(24)) AS k)
   WHERE root IS NOT NULL GROUP BY song_id, k""")
@@ -408,7 +408,7 @@ oracle("a6_global_key", "gmass", f"""
   SELECT song_id, CAST(rank AS INT) AS rank, CAST(k AS INT) AS key_idx, {m4('m')} AS p_e4 FROM (
     SELECT *, row_number() OVER (PARTITION BY song_id ORDER BY m DESC, k) - 1 AS rank FROM gmass) WHERE rank < 1""")
 oracle("t4_alternative_keys", "gmass", f"""
-  SELECT song_id, CAST(rank AS INT) AS rank, {m4('m')} AS p_e4 FROM (
+  SELECT song_id, CAST(rank AS INT) AS rank, CAST(k AS INT) AS key_idx, {m4('m')} AS p_e4 FROM (
     SELECT *, row_number() OVER (PARTITION BY song_id ORDER BY m DESC, k) - 1 AS rank FROM gmass) WHERE rank BETWEEN 1 AND 3""")
 oracle("a7_ambiguity", "post seg", """
   SELECT song_id, sum(CASE WHEN h[2] >= 0.75 * h[1] THEN beats ELSE 0 END) * 1.0 / sum(beats) > 0.5 AS ambiguous
@@ -657,15 +657,15 @@ oracle("s7_gold_events", "cf", """
   SELECT song_id, frame_idx AS gold_id, CASE WHEN frame_idx % 2 = 0 THEN 'x' ELSE 'y' END AS type, CASE WHEN frame_idx % 2 = 0 THEN (bar - 1) * 4 ELSE start_beat END AS start,
          CASE WHEN frame_idx % 2 = 0 THEN (bar + 1) * 4 ELSE start_beat + beats END AS stop FROM cf""")
 oracle("s8_pick_estimates", "cf", """
-  SELECT song_id, coalesce(arg_min(CASE WHEN ok THEN ['.lab', '.json', '.recognition.json'][frame_idx + 1] END, CASE WHEN ok THEN [2, 0, 1][frame_idx + 1] END), 'no estimate file') AS extension
-  FROM (SELECT *, frame_idx < 3 AND event_id % 2 = 0 AS ok FROM cf) GROUP BY song_id""")
+  SELECT song_id, coalesce(arg_min(CASE WHEN ok THEN ['.lab', '.json', '.recognition.json'][frame_idx % 3 + 1] END, CASE WHEN ok THEN [2, 0, 1][frame_idx % 3 + 1] END), 'no estimate file') AS extension
+  FROM (SELECT *, event_id % 2 = 0 AND song_id % 5 <> 3 AS ok FROM cf) GROUP BY song_id""")
 oracle("s10_section_files", "cf", """
-  SELECT song_id AS stem, 'd' || frame_idx AS directory, event_id AS sections FROM cf WHERE frame_idx < 4 AND event_id % 2 = 1
-  QUALIFY row_number() OVER (PARTITION BY song_id ORDER BY frame_idx DESC) = 1""")
+  SELECT song_id AS stem, 'd' || max(event_id % 4) AS directory, max(event_id) FILTER (event_id % 4 = top) AS sections
+  FROM (SELECT *, max(event_id % 4) OVER (PARTITION BY song_id) AS top FROM cf) GROUP BY song_id""")
 ORACLES["s11_newest_recognition"] = "SELECT user_id AS source_path, arg_max(event_id, ts) AS doc_id FROM events GROUP BY user_id"
 ORACLES["s9_paired_annotations"] = compose("""
-  SELECT c.song_id, CASE WHEN c.event_id % 3 > 0 THEN s.split ELSE 'no key annotation' END AS split FROM cf c JOIN (""" + ORACLES["f14_song_split"] + """) s ON s.song_id = c.song_id
-  WHERE c.frame_idx = 0""", "cf")
+  SELECT c.song_id, CASE WHEN c.ids % 3 > 0 THEN s.split ELSE 'no key annotation' END AS split
+  FROM (SELECT song_id, sum(event_id) AS ids FROM cf GROUP BY song_id) c JOIN (""" + ORACLES["f14_song_split"] + """) s ON s.song_id = c.song_id""", "cf")
 oracle("k4_label_export", "seg", """
   SELECT song_id, seg, printf('%.3f', start / 2.0) || chr(9) || printf('%.3f', stop / 2.0) || chr(9) || harte AS line FROM seg""")
 
@@ -722,5 +722,5 @@ cte("wslots", "slots", """
 oracle("b2_repetition_band", "wslots", f"""
   SELECT a.song_id, r.shift, a.bar_no AS i, b.bar_no AS j,
          {m6("least(greatest(sum(CASE WHEN a.x.root = (b.x.root + r.shift) % 12 AND a.x.minor = b.x.minor THEN a.x.p * b.x.p ELSE 0 END) / (CASE WHEN sqrt(sum(a.x.p * a.x.p)) > 1e-9 THEN sqrt(sum(a.x.p * a.x.p)) ELSE 1 END * CASE WHEN sqrt(sum(b.x.p * b.x.p)) > 1e-9 THEN sqrt(sum(b.x.p * b.x.p)) ELSE 1 END), 0), 1)")} AS sim_e6
-  FROM wslots a JOIN wslots b ON b.song_id = a.song_id AND b.k = a.k AND b.bar_no IN (a.bar_no + 1, a.bar_no + 2), (SELECT unnest([0, 5, 10]) AS shift) r
+  FROM wslots a JOIN wslots b ON b.song_id = a.song_id AND b.k = a.k AND b.bar_no IN (a.bar_no + 1, a.bar_no + 2), (SELECT CAST(unnest(range(12)) AS INT) AS shift) r
   GROUP BY a.song_id, r.shift, a.bar_no, b.bar_no""")
