@@ -144,50 +144,46 @@ class FmIndex:
         first = self.before[symbols]
         return first + self.transform.rank(symbols, low), first + self.transform.rank(symbols, high)
 
-    def repeated(self, lengths: np.ndarray, window: int) -> list[list[tuple[int, int]]]:
-        """Per piece, ranges (from, to) of window starts whose windows have two places or more.
-
-        A first search runs from a piece's end leftwards as far as the match keeps two places: all windows inside are
-        repeated. The windows before it are searched from left to right; a search that fails at a word rules out all
-        windows up to that word."""
-        found: list[list[tuple[int, int]]] = [[] for _ in lengths]
-        state = {"piece": np.arange(len(lengths)), "at": lengths - 1, "stop": np.zeros(len(lengths), np.int64), "low": np.zeros(len(lengths), np.int64)}
-        state["high"] = np.full(len(lengths), len(self.text), np.int64)
-        windows = lengths - window + 1
-        open_until = windows.copy()  # windows from here on are settled
-        first = np.ones(len(lengths), bool)
-        while len(state["piece"]):
-            piece, at = state["piece"], state["at"]
-            low, high = self.extend(self.text[self.start[piece] + at], state["low"], state["high"])
+    def matched(self, piece: np.ndarray, at: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """Leftmost place to which each match, starting at word ``at`` of its piece, keeps two places; never past ``stop``.
+
+        All searches take their steps together; one that has lost its second place drops out."""
+        reached = at + 1
+        going = np.arange(len(piece))
+        low, high = np.zeros(len(piece), np.int64), np.full(len(piece), len(self.text), np.int64)
+        at = at.copy()
+        while len(going):
+            low, high = self.extend(self.text[self.start[piece] + at], low, high)
             alive = self.weight[high] - self.weight[low] >= 2
-            done = ~alive | (at == state["stop"])
-            state |= {"low": low, "high": high, "at": at - 1}
-            if not done.any():
-                continue
-            again: list[tuple[int, int]] = []
-            for i in np.flatnonzero(done):
-                p, j = int(piece[i]), int(at[i])
-                if first[p]:
-                    first[p] = False
-                    reached = j if alive[i] else j + 1
-                    if reached < windows[p]:
-                        found[p].append((reached, int(windows[p])))
-                        open_until[p] = reached
-                    k = 0
-                elif alive[i]:
-                    found[p].append((j, j + 1))
-                    k = j + 1
-                else:
-                    k = j + 1
-                if k < open_until[p]:
-                    again.append((p, k))
-            go = ~done
-            state = {name: values[go] for name, values in state.items()}
-            if again:
-                p, k = np.array(again, np.int64).T
-                more = {"piece": p, "at": k + window - 1, "stop": k, "low": np.zeros(len(p), np.int64), "high": np.full(len(p), len(self.text), np.int64)}
-                state = {name: np.concatenate([values, more[name]]) for name, values in state.items()}
-        return found
+            reached[going[alive]] = at[alive]
+            alive &= at > stop
+            going, piece, at, stop, low, high = (x[alive] for x in (going, piece, at, stop, low, high))
+            at = at - 1
+        return reached
+
+    def repeated(self, lengths: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ranges (piece, from, to) of window starts whose windows have two places or more.
+
+        A first search runs from each piece's end leftwards as far as the match keeps two places: all windows inside are
+        repeated. The windows before it are then searched one by one, all at once."""
+        pieces = np.arange(len(lengths))
+        windows = lengths - window + 1
+        reached = self.matched(pieces, lengths - 1, np.zeros(len(lengths), np.int64))
+        settled = np.minimum(reached, windows)  # windows from here on are repeated
+        which = np.repeat(pieces, settled)
+        first = np.arange(len(which)) - np.repeat(np.cumsum(settled) - settled, settled)
+        again = self.matched(which, first + window - 1, first) == first
+        which, first = np.concatenate([which[again], pieces]), np.concatenate([first[again], settled])
+        last = np.concatenate([first[: int(again.sum())] + 1, windows])
+        order = np.lexsort((first, which))
+        order = order[last[order] > first[order]]
+        which, first, last = which[order], first[order], last[order]
+        # neighbouring ranges of a piece become one
+        new = np.ones(len(which), bool)
+        new[1:] = (which[1:] != which[:-1]) | (first[1:] != last[:-1])
+        starts = np.flatnonzero(new)
+        ends = np.append(starts[1:], len(which)) - 1
+        return which[starts], first[starts], last[ends] if len(ends) else last
 
 
 # -- the steps -------------------------------------------------------------------------------------------------------------
@@ -305,8 +301,9 @@ def repeated_windows(docs: DataFrame, window: int = 35, hot: int = HOT) -> DataF
             rows.setdefault(row[:3], row[3:])
         pieces = [np.array([names.setdefault(w, len(names)) for w in words.split()], np.int64) for _, words in rows.values()]
         lengths = np.array([len(p) for p in pieces], np.int64)
-        ranges = FmIndex(pieces, np.array([n for n, _ in rows.values()], np.int64), len(names)).repeated(lengths, window)
-        out = [(m, c, offset + a, offset + b) for (m, c, offset), found in zip(rows, ranges) for a, b in found]
+        which, first, last = FmIndex(pieces, np.array([n for n, _ in rows.values()], np.int64), len(names)).repeated(lengths, window)
+        keys = list(rows)
+        out = [(*keys[p][:2], keys[p][2] + a, keys[p][2] + b) for p, a, b in zip(which.tolist(), first.tolist(), last.tolist())]
         m, c, a, b = zip(*out) if out else ((), (), (), ())
         return pa.table({"minimizer": pa.array(m, pa.int64()), "content": pa.array(c, pa.binary()), "first": pa.array(a, pa.int32()), "last": pa.array(b, pa.int32())})
 
