@@ -14,6 +14,7 @@ import pyarrow as pa
 import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _local: list[str] = []
 
@@ -80,6 +81,16 @@ class RowNumbers:
         return range(first, first + n)
 
 
+def set_aside(docs: DataFrame, reserved: set[str]) -> DataFrame:
+    """The table with columns of reserved names out of the way; put_back undoes it."""
+    return docs.withColumnsRenamed({c: f"in:{c}" for c in docs.columns if c in reserved})
+
+
+def put_back(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The named columns of the table as it was before set_aside."""
+    return df.select(*[F.col(f"`in:{c}`").alias(c) if f"in:{c}" in df.columns else F.col(f"`{c}`") for c in columns])
+
+
 def map_texts(docs: DataFrame, columns: list[str], work: Callable[[Iterator[dict]], Iterator[dict]], schema: str, text: str = "text") -> DataFrame:
     """mapInArrow over the named columns: work sees Arrow batches as dicts of columns and yields dicts of columns.
 

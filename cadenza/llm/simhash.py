@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RowNumbers, Scratch, map_texts, text_bytes
+from .common import RowNumbers, Scratch, map_texts, put_back, set_aside, text_bytes
 
 SEED = 42
 SAMPLE = 65_536  # fingerprints that shape a tree, at most
@@ -51,7 +51,7 @@ def fingerprint(text: bytes, width: int) -> int:
 def fingerprints(docs: DataFrame, width: int = 4, keep: list[str] | None = None) -> DataFrame:
     """row (tells repeated rows apart), the columns named in keep (doc_id), and fp, the fingerprint as a signed long."""
     keep = keep or ["doc_id"]
-    names = list(dict.fromkeys([*keep, "text"]))
+    names = [f"`{c}`" for c in dict.fromkeys([*keep, "text"])]
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
 
     def work(parts: Iterator[dict]) -> Iterator[dict]:
@@ -170,7 +170,7 @@ def local_groups(fps: DataFrame, n: int, bits: int, blocks: int) -> DataFrame:
     share = max(1, -(-n // SAMPLE))
     rows = fps.where(F.pmod(F.xxhash64("_fp"), F.lit(share)) == 0).limit(2 * SAMPLE).collect()  # about SAMPLE rows
     sample = np.sort(np.array([r[0] for r in rows] or [0], np.int64)).view(np.uint64)
-    radius, per_row = bits // blocks, n / max(1, len(sample))
+    radius, per_row = bits // blocks, max(1, n) / len(sample)
     trees = [Tree(shift, width, radius, sample, max(16, int(SHARD / per_row)), per_row) for shift, width in ranges(blocks)]
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,8 +242,9 @@ def near_duplicates(docs: DataFrame, width: int = 4, bits: int = 4, blocks: int
 def keep_one(docs: DataFrame, width: int = 4, bits: int = 4, blocks: int = 3) -> DataFrame:
     """One document of each group: that with the smallest doc_id (null last); columns as they came."""
     scratch = Scratch(docs.sparkSession)
+    columns, docs = docs.columns, set_aside(docs, {"_row", "_fp", "root", "node"})
     prints = scratch.stage(fingerprints(docs, width, docs.columns), "prints")
     grouped = group(prints.select("_row", "doc_id", "_fp"), bits, blocks)
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))
     kept = grouped.groupBy("root").agg(first.alias("first")).select(F.col("first._row").alias("_row"))
-    return prints.join(kept, "_row", "left_semi").select(*docs.columns)
+    return put_back(prints.join(kept, "_row", "left_semi"), columns)

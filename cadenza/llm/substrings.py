@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, map_texts, text_bytes
+from .common import Scratch, map_texts, set_aside, text_bytes
 
 CELLS = 27  # bits of a minimizer that choose its flag
 LONGEST = 256  # windows in a run
@@ -318,11 +318,13 @@ def repeated_windows(docs: DataFrame, window: int = 35, hot: int = HOT) -> DataF
 def remove_repeats(docs: DataFrame, window: int = 35, hot: int = HOT, spaced: bool = False) -> DataFrame:
     """All columns of docs, with text cut down to the kept words, and n_words, n_removed, kept_sha256.
 
-    Kept words are joined by one space, or with spaced keep the white space that stood before each of them."""
+    Kept words are joined by one space, or with spaced keep the white space that stood before each of them. Columns of docs
+    that clash with names used here come back as ``in:`` and their name (common.put_back)."""
     import re
 
     ranges = repeated_windows(docs, window, hot)
-    names = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept_sha256")]
+    docs = set_aside(docs, {"tkey", "ranges", "n_words", "n_removed", "kept_sha256"})
+    names = docs.columns
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     keyed = docs.withColumn("tkey", F.xxhash64("text"))
     joined = keyed.join(ranges, _same_document(keyed, ranges), "left").select(*[keyed[f"`{c}`"] for c in names], "ranges")
