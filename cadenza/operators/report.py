@@ -108,9 +108,14 @@ def section_report(frames: DataFrame, segment_rows: DataFrame, events: DataFrame
 # ------------------------------------------------------------------------------ documents and summaries
 
 def corpus_summary(segment_rows: DataFrame, global_keys: DataFrame, regions: DataFrame, events: DataFrame, progressions: DataFrame,
-                   songs: DataFrame) -> DataFrame:
-    """One row per song: key, regions, share of low-confidence time, event and progression counts; failed songs keep an error row."""
+                   songs: DataFrame, meters: DataFrame | None = None) -> DataFrame:
+    """One row per song: key, regions, share of low-confidence time, event and progression counts; failed songs keep an error row.
+
+    ``meters(song_id, bpm, time_signature, n_bars, tempo_cv, irregular)`` adds tempo, meter and bars where they are known.
+    """
     from cadenza import theory as th
+    if meters is None:
+        meters = songs.where("false").selectExpr("song_id", "0D as bpm", "'' as time_signature", "0 as n_bars", "0D as tempo_cv", "array(0) as irregular")
     return seq.sql(f"""
         with s as (select song_id, count(*) as segments, sum(end - start) as time, sum(if(low_confidence, end - start, 0D)) as low
                    from {{s}} where chord_harte not in ('N', 'X') group by song_id),
@@ -122,10 +127,11 @@ def corpus_summary(segment_rows: DataFrame, global_keys: DataFrame, regions: Dat
               from (select song_id, name, count(*) as n from {{p}} group by song_id, name) group by song_id)
         select a.song_id, {th.key_name('g.key_idx')} as global_key, g.prob as key_p, g.ambiguous, transform(r.regions, k -> {th.key_name('k')}) as key_regions,
                s.segments, round(s.low / s.time, 3) as low_conf_time, coalesce(e.events, map()) as events, coalesce(p.progressions, map()) as progressions,
-               if(g.song_id is null, 'no analysis', null) as error
+               round(m.bpm, 2) as bpm, m.time_signature as meter, m.n_bars as bars, round(m.tempo_cv, 4) as tempo_cv,
+               cast(size(m.irregular) as int) as irregular_bars, if(g.song_id is null, 'no analysis', null) as error
         from {{a}} a left join g on g.song_id = a.song_id left join s on s.song_id = a.song_id left join r on r.song_id = a.song_id
-        left join e on e.song_id = a.song_id left join p on p.song_id = a.song_id""",
-                   s=segment_rows, g=global_keys, r=regions, e=events, p=progressions, a=songs)
+        left join e on e.song_id = a.song_id left join p on p.song_id = a.song_id left join {{m}} m on m.song_id = a.song_id""",
+                   s=segment_rows, g=global_keys, r=regions, e=events, p=progressions, a=songs, m=meters)
 
 
 def label_lines(segment_rows: DataFrame) -> DataFrame:

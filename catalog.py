@@ -410,7 +410,9 @@ def _(c):
 def _(c):
     from cadenza.operators import report
     a = c.analysis()
-    return report.corpus_summary(an.segment_output(a), a.global_keys, a.regions, a.events, a.progressions, c.view.select("song_id").distinct())
+    from cadenza.operators import meter
+    meters = _tempo(c).select("song_id", "bpm", "time_signature").join(meter.tempo_stats(_bar_lines(c)), "song_id")
+    return report.corpus_summary(an.segment_output(a), a.global_keys, a.regions, a.events, a.progressions, c.view.select("song_id").distinct(), meters)
 
 
 @query("k1_analysis_documents")
@@ -516,13 +518,16 @@ def _(c):
     return s.selectExpr("coalesce(type, 'all') as type", "songs", "tp", "n_gold", "n_pred", f"{m6('precision')} as p_e6", f"{m6('recall')} as r_e6")
 
 
-@query("a14_error_attribution")
-def _(c):
+def _attribution(c: Corpus) -> DataFrame:
     from cadenza.operators import evaluate as ev
     gold, oracle, system = _spans(c, "reference", "gold_id"), _spans(c, "soft", "pred_id"), _spans(c, "estimate", "pred_id")
     om, sm = _pairs(c, "soft"), _pairs(c)
-    rows = ev.attribute_errors(gold, om, sm, ev.false_positives(oracle, om), ev.false_positives(system, sm), c.params)
-    return rows.groupBy("song_id", "category").count().selectExpr("song_id", "category", "count as n")
+    return ev.attribute_errors(gold, om, sm, ev.false_positives(oracle, om), ev.false_positives(system, sm), c.params)
+
+
+@query("a14_error_attribution")
+def _(c):
+    return _attribution(c).groupBy("song_id", "category").count().selectExpr("song_id", "category", "count as n")
 
 
 @query("a15_local_key_scores")
@@ -560,6 +565,23 @@ def _(c):
     return ev.corpus_chord_scores(_chord_scores(c)).selectExpr("songs", *[f"{m6(n)} as {n}_e6" for n in ("root", "majmin", "sevenths")])
 
 
+@query("k3_evaluation_report")
+def _(c):
+    from cadenza.operators import evaluate as ev
+    side = ["song_id", "seg as idx", "top.harte as harte", "top.root as root", "top.quality as quality"]
+    errors = {level: ev.align_sequences(c.segments("reference").selectExpr(*side), c.segments("estimate").selectExpr(*side), level)
+              for level in ("root", "majmin", "sevenths")}
+    report = ev.evaluation_report(_chord_scores(c), errors, ev.numeral_agreement(c.keyed("reference"), c.keyed("estimate")),
+                                  ev.local_key_scores(c.keyed(), _tonic_spans(c)), _attribution(c))
+    return report.selectExpr("measure", f"{m6('value')} as value_e6")
+
+
+@query("k7_expert_summary")
+def _(c):
+    from cadenza.operators import evaluate as ev
+    return ev.expert_summary(_expert_scores(c))
+
+
 @query("a19_home_key")
 def _(c):
     from cadenza.operators import evaluate as ev
@@ -580,8 +602,7 @@ def _(c):
         "song_id", f"{m6('cost')} as cost_e6", "n_ref", "unmatched_ref", "array_join(ref_of_est, '-') as ref_of_est")
 
 
-@query("a18_expert_scores")
-def _(c):
+def _expert_scores(c: Corpus) -> DataFrame:
     """Expert numerals derived from the true tonic; ours from the given key."""
     from cadenza.operators import evaluate as ev, resolve as rs
     a = c.given_analysis()
@@ -591,6 +612,11 @@ def _(c):
     return ev.expert_scores(a.keyed, expert, links)
 
 
+@query("a18_expert_scores")
+def _(c):
+    return _expert_scores(c)
+
+
 @query("t6_parameter_sweep")
 def parameter_sweep(c):
     """Estimates of several corruption strengths scored at once, parameters as one more key."""

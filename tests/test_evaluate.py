@@ -124,3 +124,50 @@ def test_overlap_join_buckets(spark, width):
     a = spark.createDataFrame([("s", 0.0, 10.0, 1), ("s", 10.0, 30.0, 2)], "song_id string, start double, end double, n int")
     b = spark.createDataFrame([("s", 5.0, 12.0, 7), ("s", 29.5, 31.0, 8), ("t", 0.0, 9.0, 9)], "song_id string, start double, end double, n int")
     assert {(r.a.n, r.b.n, r.w) for r in ev.overlap_join(a, b, width).collect()} == {(1, 7, 5.0), (2, 7, 2.0), (2, 8, .5)}
+
+
+def test_expert_scores_keep_every_song(spark):
+    """A song whose chord is none keeps its row; a flat seventh over a degree is no applied dominant; equal spans count twice."""
+    top = "struct<root:int>"
+    keyed = spark.createDataFrame([("a", 0, 0.0, 4.0, (7,), 0), ("b", 0, 0.0, 4.0, (None,), 0)],
+                                  f"song_id string, seg int, start double, end double, top {top}, key_idx int")
+    gold = spark.createDataFrame([("a", 0.0, 4.0, "V7/ii"), ("a", 0.0, 4.0, "V/ii"), ("b", 0.0, 4.0, "V7/ii")], "song_id string, start double, end double, value string")
+    links = spark.createDataFrame([("a", 0, ["V7/ii"]), ("b", 0, ["♭VII7/IV"])], "song_id string, seg int, functions array<string>")
+    rows = {r.song_id: r.asDict() for r in ev.expert_scores(keyed, gold, links).collect()}
+    assert (rows["a"]["applied_gold"], rows["a"]["applied_pred"], rows["a"]["applied_tp_recall"], rows["a"]["applied_target_ok"]) == (2, 1, 2, 2)
+    assert (rows["b"]["numeral_n"], rows["b"]["applied_gold"], rows["b"]["applied_pred"]) == (0, 1, 0)
+    total = ev.expert_summary(ev.expert_scores(keyed, gold, links)).first()
+    assert total.songs == 2 and total.applied_gold == 3 and abs(total.applied_recall - 2 / 3) < 1e-12 and total.applied_precision == 1.0
+
+
+def test_equal_points_are_all_kept(spark):
+    points = spark.createDataFrame([("a", 1.0), ("a", 1.0), ("a", 9.0)], "song_id string, at double")
+    spans = spark.createDataFrame([("a", 0.0, 2.0, "x")], "song_id string, start double, end double, label string")
+    assert sorted(str(r.i and r.i.label) for r in ev.point_lookup(points, spans).collect()) == ["None", "x", "x"]
+
+
+def test_edit_script_is_cheapest():
+    import numpy as np
+    rng = np.random.default_rng(0)
+    for _ in range(100):
+        cost = rng.choice([0, 3, 10], size=rng.integers(1, 8, 2))
+        n, m = cost.shape
+        best = np.zeros((n + 1, m + 1), int)
+        best[0], best[:, 0] = 10 * np.arange(m + 1), 10 * np.arange(n + 1)
+        for i in range(n):
+            for j in range(m):
+                best[i + 1, j + 1] = min(best[i, j] + cost[i, j], best[i, j + 1] + 10, best[i + 1, j] + 10)
+        total, steps = ev.edit_steps(cost, 10)
+        assert total == best[n, m] == sum(10 if a is None or b is None else cost[a, b] for a, b in steps)
+        assert [a for a, _ in steps if a is not None] == list(range(n)) and [b for _, b in steps if b is not None] == list(range(m))
+
+
+def test_report_weighs_each_measure(spark):
+    chords = spark.createDataFrame([("a", *([1.0] * 7), 3.0), ("b", *([0.0] * 7), 1.0)], "song_id string, " + ", ".join(f"{n} double" for n in ev.LEVELS) + ", duration double")
+    aligned = spark.createDataFrame([("a", 1.0, 10), ("b", 3.0, 10)], "song_id string, cost double, n_ref int")
+    numerals = spark.createDataFrame([("a", 1.0, 1.0), ("b", 0.0, 0.5)], "song_id string, strict double, degree double")
+    keys = spark.createDataFrame([("a", 1.0, 1.0, 1.0, 1.0), ("b", 0.5, 0.0, 0.0, 3.0)], "song_id string, weighted double, exact double, tonic double, duration double")
+    errors = spark.createDataFrame([("a", "missed"), ("b", "missed"), ("b", "key")], "song_id string, category string")
+    got = {r.measure: r.value for r in ev.evaluation_report(chords, {"root": aligned}, numerals, keys, errors).collect()}
+    assert got == {"songs": 2.0, "chord root": 0.75, "chord majmin": 0.75, "chord sevenths": 0.75, "chord mirex": 0.75, "symbol error root": 0.2, "numeral agreement": 0.5,
+                   "numeral degree agreement": 0.75, "local key weighted": 0.625, "local key exact": 0.25, "local key tonic": 0.25, "errors missed": 2.0, "errors key": 1.0}
