@@ -27,11 +27,9 @@ TAIL = 1e-9
 #: Transformed statistics and the least standard deviation of each.
 VECTOR = {
     "word_length": ("ln(word_chars / n_words)", 0.12),
-    "symbols": ("sqrt(n_symbols / n_words)", 0.12),
-    "dup_lines": ("sqrt(n_dup_lines / n_lines)", 0.12),
-    "repeats": ("sqrt(n_repeat_words / n_words)", 0.09),
+    "signs": ("sqrt((n_symbols + n_marks) / n_words)", 0.13),
+    "repeats": ("sqrt(greatest(n_repeat_words / n_words, n_dup_lines / n_lines))", 0.1),
     "capitals": ("sqrt(n_capitals / word_chars)", 0.09),
-    "marks": ("sqrt(n_marks / n_words)", 0.15),
 }
 D = len(VECTOR)
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -150,8 +148,7 @@ def judge(docs: DataFrame) -> DataFrame:
     for step in range(STEPS + 1):
         near = _with_distance(slim.join(estimates.select("cell"), "cell", "left_semi"), estimates)
         kept = _concentrate(near, SUPPORT) if step < STEPS else _concentrate(near, None, chi2_quantile(0.025, D))
-        previous, estimates = estimates, scratch.stage(kept, "mcd")
-        scratch.drop(previous)
+        estimates = scratch.stage(kept, "mcd")  # one short row per group
     judged = _with_distance(rows.join(cells, ["_lang", "_source"], "left"), estimates)
     kept = ~F.col("base_failed") & (F.coalesce("d2", F.lit(0.0)) <= chi2_quantile(TAIL, D))
     return judged.select(*[F.col(f"`in:{c}`").alias(f"in:{c}") if c in clash else F.col(f"`{c}`") for c in docs.columns], *STATS, "base_failed", F.col("d2").alias("distance"), kept.alias("kept"))
