@@ -46,12 +46,15 @@ class Scratch:
     ``drop`` removes tables that no result reads any more; what a lazy result still reads stays in the shared folder,
     which its owner clears."""
 
+    live: list[str] = []  # folders written in this session and not dropped
+
     def __init__(self, spark: SparkSession):
         self.spark = spark
 
     def stage(self, df: DataFrame, name: str) -> DataFrame:
         path = new_folder(self.spark, name)
         df.write.parquet(path)
+        Scratch.live.append(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._staged_at = path
         return out
@@ -65,6 +68,7 @@ class Scratch:
 def remove_folder(uri: str) -> None:
     fs, path = file_system(uri)
     fs.delete_dir_contents(path, missing_dir_ok=True)
+    Scratch.live[:] = [x for x in Scratch.live if x != uri]
 
 
 class RowNumbers:
