@@ -27,8 +27,8 @@ from .common import Scratch, map_texts
 
 SAMPLE = 20_000
 TREES = 10
-LEAF = 256  # vectors a leaf is meant to hold
-TAKE = 12_000  # vectors a query looks at, over all trees
+LEAF = 512  # vectors a leaf is meant to hold
+SHARE = 0.9  # leaf entries a query looks at, over all trees, as a share of the vectors; recall holds at any size
 GROUP = 20_000  # vectors of a leaf that go to one task
 
 
@@ -107,7 +107,7 @@ class Forest:
                     stack += [(self.children[node][0], rows[~right]), (self.children[node][1], rows[right])]
         return out
 
-    def search(self, x: np.ndarray, sizes: np.ndarray, take: int) -> list[int]:
+    def search(self, x: np.ndarray, sizes: np.ndarray, take: float) -> list[int]:
         """Leaves for one query, best margin first over all trees, until they hold ``take`` vectors."""
         margin = self.normal @ x - np.array(self.limits) if len(self.limits) else np.zeros(0)
         queue = [(-np.inf, root) for root in self.roots]
@@ -125,7 +125,7 @@ class Forest:
         return found
 
 
-def nearest(table: DataFrame, queries: DataFrame, k: int = 5, trees: int = TREES, leaf: int = LEAF, take: int = TAKE) -> DataFrame:
+def nearest(table: DataFrame, queries: DataFrame, k: int = 5, trees: int = TREES, leaf: int = LEAF, share: float = SHARE) -> DataFrame:
     """query_id, rank, vec_id, score: the k rows of table found nearest to each row of queries (vec_id, embedding)."""
     scratch = Scratch(table.sparkSession)
     empty = table.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -139,8 +139,8 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 5, trees: int = TREES
     # of equal vectors the smallest ids; the window's limit is applied before its shuffle
     place = F.row_number().over(Window.partitionBy("vec").orderBy("vec_id"))
     rows = scratch.stage(whole.withColumn("place", place).where(F.col("place") <= k + 1).drop("place"), "classes")
-    share = max(1, -(-n // SAMPLE))
-    picked = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(share)) == 0).select("vec").limit(2 * SAMPLE).collect()
+    every = max(1, -(-n // SAMPLE))
+    picked = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(every)) == 0).select("vec").limit(2 * SAMPLE).collect()
     if not picked:
         picked = rows.select("vec").limit(SAMPLE).collect()
     sample = unit(np.frombuffer(b"".join(sorted(bytes(r[0]) for r in picked)), np.float64).reshape(len(picked), -1))
@@ -158,6 +158,7 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 5, trees: int = TREES
     for r in placed.groupBy("leaf").count().collect():  # one row per leaf, a number the sample bounds
         sizes[r["leaf"]] = r["count"]
     salts = np.maximum(1, -(-sizes // GROUP))
+    take = share * sizes.sum() / trees
 
     def probe(parts: Iterator[dict]) -> Iterator[dict]:
         for part in parts:

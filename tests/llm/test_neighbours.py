@@ -45,7 +45,7 @@ def test_recall_with_copies(spark, monkeypatch):
     x[::3] = x[0]
     rows = [(k, [float(v) for v in r], 0) for k, r in enumerate(x.astype(np.float32))]
     df = spark.createDataFrame(rows, SCHEMA)
-    got = found(neighbours.nearest(df, df.where("vec_id % 50 = 0"), k=5, take=900, leaf=40))
+    got = found(neighbours.nearest(df, df.where("vec_id % 50 = 0"), k=5, share=0.5, leaf=40))
     expected = brute(rows, range(0, 2400, 50), 5)
     assert set(got) == set(expected)
     hits = sum(len({v for v, _ in got[q]} & {v for v, _ in expected[q]}) for q in expected)
