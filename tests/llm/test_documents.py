@@ -9,7 +9,7 @@ import pytest
 import xxhash
 
 import corpus_pipeline
-from cadenza.llm import licenses, packing, quality, simhash, substrings
+from cadenza.llm import licenses, packing, quality, shingles, simhash, substrings
 from cadenza.llm.queries import tokenizer_path
 from tests.llm.cases import SCHEMA, documents, frame, prose
 
@@ -253,3 +253,51 @@ def test_stages_take_an_empty_table(spark):
         docs = stage(spark, docs, "")
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
     assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() == 0
+
+
+# -- similar documents ----------------------------------------------------------------------------------------------------
+
+
+def plain_similar(rows):
+    """Group (smallest index) of each row by five-word shingles of similarity 0.8 or more."""
+    words = [[re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in words_of(r[1])] for r in rows]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for w in words]
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if x == old else x for x in label]
+    return label
+
+
+def edited(text, seed, n):
+    """The text with n words replaced."""
+    words = text.split()
+    for k in np.random.default_rng(seed).choice(len(words), n, replace=False):
+        words[k] = f"new{seed}x{k}"
+    return " ".join(words)
+
+
+@pytest.mark.parametrize("most,rounds", [(shingles.OPEN, shingles.ROUNDS), (0, 3)])
+def test_similar_documents_keep_one(spark, monkeypatch, most, rounds):
+    """Edited copies on both sides of 0.8, chains, a hot group, and documents that only share a long passage."""
+    monkeypatch.setattr(shingles, "OPEN", most)
+    monkeypatch.setattr(shingles, "ROUNDS", rounds)
+    rows = documents() + [(1000 + k, prose(1000 + k, 200), "en", "a", 0) for k in range(20)]
+    rows += [(2000 + 10 * k + n, edited(prose(1000 + k, 200), k * 10 + n, n), "en", "a", 0) for k in range(20) for n in (1, 3, 4, 5, 7)]
+    rows += [(3000 + k, edited(prose(5, 120), k, k % 3), "en", "a", 0) for k in range(80)]
+    rows += [(4000 + k, f"{prose(6, 90)} {prose(4000 + k, 60)}", "en", "a", 0) for k in range(30)]
+    groups = plain_similar(rows)
+    assert len(set(groups)) < len(rows) - 60
+    kept = shingles.keep_one(frame(spark, rows)).collect()
+    expected = [min((r[0] is None, r[0] or 0) for r, g in zip(rows, groups) if g == group) for group in sorted(set(groups))]
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept) == sorted(expected) and kept[0].row == "mine"
+    assert {4000 + k for k in range(30)} <= {r.doc_id for r in kept}
+    assert shingles.keep_one(frame(spark, [])).count() == 0
+
+
+def test_pipeline_drops_edited_copies(spark):
+    """Six words changed leave a similarity over 0.8 and more than four bits."""
+    docs = spark.createDataFrame([(1, prose(1, 300), "en", "a", 0), (2, edited(prose(1, 300), 2, 6), "en", "a", 0), (3, prose(3, 300), "en", "a", 0)], SCHEMA)
+    assert sorted(r.doc_id for r in corpus_pipeline.simhash_near_dedup(spark, docs, "").collect()) == [1, 3]
