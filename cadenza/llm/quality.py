@@ -23,7 +23,7 @@ SPACE = r"[\x20\x09-\x0D]"
 SUPPORT = 0.75
 LEAST = 40
 STEPS = 3
-TAIL = 1e-9
+TAIL = 1e-5
 #: Transformed statistics and the least standard deviation of each.
 VECTOR = {
     "word_length": ("ln(word_chars / n_words)", 0.12),

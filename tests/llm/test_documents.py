@@ -192,6 +192,13 @@ def test_outliers_of_a_source_are_rejected(spark):
     assert good == set(range(300)) | {3000}
 
 
+def test_junk_signs_are_outliers(spark):
+    """Six symbols in ten words are no prose."""
+    rows = [(k, prose(k, 100 + k % 90), "en", "a", 0) for k in range(200)]
+    rows += [(1000 + k, " ".join(w + "#" * (j % 10 < 6) for j, w in enumerate(prose(k, 100).split())), "en", "a", 0) for k in range(10)]
+    assert {r.doc_id for r in quality.keep_good(spark.createDataFrame(rows, SCHEMA)).collect()} == set(range(200))
+
+
 def test_determinant_estimates_match_numpy(spark):
     """One group, one concentration step from known distances: mean and covariance of the nearest share."""
     rng = np.random.default_rng(2)
