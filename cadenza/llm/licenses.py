@@ -2,8 +2,8 @@
 
 One scan hashes every k-gram of every whole text. A join with the templates' grams (a few thousand rows, broadcast; the
 size is checked) gives hits; each votes for a template's diagonal, the document position less the template position.
-Votes are summed by document, template and diagonal before any shuffle, diagonals that lie close and stand side by side
-are merged into one span (inserted or missing words shift the diagonal), and a span counts when enough different template
+Votes are summed by document, template and diagonal before any shuffle, diagonals that differ by a few words are merged
+into one span (inserted or missing words shift the diagonal), whatever single hits lie between them in the text, and a span counts when enough different template
 positions agree, in order and with a second, independent hash of the gram.
 
 Fixed phrases are templates whose every gram must stand on one diagonal: that is a place of the phrase.
@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from .common import RowNumbers, map_texts, text_bytes
 
 K = 2
-SLACK = 6  # diagonals and words between neighbours of one span
+SLACK = 6  # diagonals between neighbours of one span
+LONG = 20  # grams from which a template's single hits hold no span together; they count in a span beside them
 MOST_GRAMS = 50_000
 #: Word characters are all but these; A-Z become a-z.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else 32 if c < 0x30 or 0x3A <= c <= 0x60 or 0x7B <= c <= 0x7F else c for c in range(256))
@@ -107,13 +108,19 @@ def scan(docs: DataFrame, templates: list[tuple[str, float, str]] = TEMPLATES, p
     diagonals = votes.groupBy(*keys, (F.col("pos") - F.col("at")).alias("diagonal")).agg(
         F.first("base").alias("base"), F.first("label").alias("label"), F.first("least").alias("least"), F.first("grams").alias("grams"),
         F.collect_set("at").alias("ats"), F.min("pos").alias("first"), F.max("pos").alias("last"))
-    # neighbouring diagonals of a template whose places are close belong to one span
-    order = Window.partitionBy(*keys).orderBy("first", "diagonal")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    apart = (F.abs(F.col("diagonal") - F.lag("diagonal").over(order)) > SLACK) | (F.col("first") > F.max("last").over(before) + K + SLACK)
-    spans = diagonals.withColumn("new", F.when(F.col("base") | F.coalesce(apart, F.lit(True)), 1).otherwise(0)).withColumn("span", F.sum("new").over(order))
+    # neighbouring diagonals of a template belong to one span; its places are as close as the template is long
+    order = Window.partitionBy(*keys).orderBy("diagonal")
+    strong = F.when(F.col("base") | (F.size("ats") > 1) | (F.col("grams") < LONG), F.col("diagonal"))
+    before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
+    spans = diagonals.withColumn("strong", strong).withColumns({
+        "behind": F.coalesce(F.col("diagonal") - F.max("strong").over(before) <= SLACK, F.lit(False)) & ~F.col("base"),
+        "ahead": F.coalesce(F.min("strong").over(after) - F.col("diagonal") <= SLACK, F.lit(False))})
+    spans = spans.withColumn("upto", F.sum(F.expr("if(strong is not null and not behind, 1, 0)")).over(order))
+    spans = spans.withColumn("alone", F.row_number().over(order))
+    spans = spans.withColumn("span", F.expr("case when strong is not null or behind then upto when ahead then upto + 1 else -alone end"))
     spans = spans.groupBy(*keys, "span", "base", "label", "least", "grams").agg(
-        F.array_distinct(F.flatten(F.collect_list("ats"))).alias("ats"), F.min("first").alias("first"), F.max("last").alias("last"))
+        F.array_distinct(F.flatten(F.collect_list("ats"))).alias("ats"), 
+        F.expr("coalesce(min(first) filter (where strong is not null), min(first)) as first"), F.expr("coalesce(max(last) filter (where strong is not null), max(last)) as last"))
     spans = spans.withColumn("coverage", F.size("ats") / F.col("grams"))  # share of the template's grams that agree
     good = spans.where("template = -1 or coverage >= least")
     span = F.struct("label", "base", F.col("first").cast("long").alias("first"), (F.col("last") + K - 1).cast("long").alias("last"), "coverage")

@@ -163,6 +163,26 @@ def test_license_scan(spark):
     assert licenses.summary(licenses.scan(frame(spark, []))).count() == 0
 
 
+def test_lightly_edited_notices(spark):
+    """One word inserted at every place, two and three inserted or missing, alone and in prose full of the notices' word pairs."""
+    rows, labels = [], {}
+    filler = " ".join(f"w{k} of the software w{k} this software w{k} the license" for k in range(150))
+    for t, name in ((1, "mit"), (3, "apache"), (5, "gpl"), (6, "bsd")):
+        words = [w.decode() for w in licenses.words_of(licenses.TEMPLATES[t][2].encode())]
+        n = len(words)
+        cuts = [[k] for k in range(1, n)] + [[n // 2 - k, n // 2 + k] for k in (1, 4, 7)] + [[n // 4, n // 2, 3 * n // 4]]
+        for at in cuts:
+            more = [w for k, w in enumerate(words) for w in ([f"new{k}"] if k in at else []) + [w]]
+            less = [w for k, w in enumerate(words) if k not in at]
+            for text in (" ".join(more), " ".join(less), f"{filler} {' '.join(more)} {filler}"):
+                labels[len(rows)] = name
+                rows.append((len(rows), text, "en", "a", 0))
+    rows.append((-1, filler, "en", "a", 0))
+    got = {r.doc_id: r for r in licenses.summary(licenses.scan(spark.createDataFrame(rows, SCHEMA))).collect()}
+    assert got[-1].labels == ""
+    assert {k: name for k, name in labels.items() if name not in got[k].labels.split(",") or got[k].score < 0.8} == {}
+
+
 # -- quality rules --------------------------------------------------------------------------------------------------------
 
 
