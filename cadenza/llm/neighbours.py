@@ -10,8 +10,9 @@ Equal vectors are one class: of a class only the k + 1 smallest vec_ids can be i
 the query itself drops out), and equal queries are searched once. Both are exact. Large leaves are salted.
 
 Defined cases: vectors that are null or zero, or hold null or non-finite components, take no part, as query or candidate;
-nor do those whose length is not the commonest one, as no cosine is defined between lengths. A repeated vec_id is another
-candidate with the same id; a query drops every candidate of its own id."""
+nor do those whose length is not the commonest one, as no cosine is defined between lengths. Rows with the same vec_id and
+vector are one row, as query and as candidate. Rows with one vec_id and other vectors are queries of their own, each with
+its own ranks; as candidates they are one id, with the score of the nearest. A query drops every candidate of its own id."""
 
 from __future__ import annotations
 
@@ -129,13 +130,13 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 5, trees: int = TREES
     """query_id, rank, vec_id, score: the k rows of table found nearest to each row of queries (vec_id, embedding)."""
     scratch = Scratch(table.sparkSession)
     empty = table.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    whole = scratch.stage(valid_vectors(table), "vectors")
+    whole = scratch.stage(valid_vectors(table).distinct(), "vectors")
     lengths = whole.groupBy(F.length("vec").alias("l")).count().orderBy(F.desc("count"), "l").head()
     if lengths is None:
         return empty
     length, n = lengths
     whole = whole.where(F.length("vec") == length)
-    asked = scratch.stage(valid_vectors(queries).where(F.length("vec") == length), "queries")
+    asked = scratch.stage(valid_vectors(queries).where(F.length("vec") == length).distinct(), "queries")
     # of equal vectors the smallest ids; the window's limit is applied before its shuffle
     place = F.row_number().over(Window.partitionBy("vec").orderBy("vec_id"))
     rows = scratch.stage(whole.withColumn("place", place).where(F.col("place") <= k + 1).drop("place"), "classes")
@@ -184,14 +185,19 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 5, trees: int = TREES
         if left.num_rows and right.num_rows:
             q, c = matrix(left.column("vec")), matrix(right.column("vec"))
             names = right.column("vec_id").to_numpy()
+            repeated = len(np.unique(names)) < len(names)
             norm_q, norm_c = np.sqrt((q * q).sum(axis=1)), np.sqrt((c * c).sum(axis=1))
             uq, uc = q / norm_q[:, None], c / norm_c[:, None]
             for at in range(0, len(q), 256):
                 near = uq[at : at + 256] @ uc.T
                 for i, row in enumerate(near, at):
-                    best = np.flatnonzero(row >= np.partition(row, -(k + 1))[-(k + 1)] - 1e-9) if len(row) > k + 1 else np.arange(len(row))
+                    # a repeated id takes one place only, so no row may be left out before
+                    best = np.arange(len(row)) if repeated else np.flatnonzero(row >= np.partition(row, -(k + 1))[-(k + 1)] - 1e-9) if len(row) > k + 1 else np.arange(len(row))
                     exact = (c[best] * q[i]).sum(axis=1) / (norm_c[best] * norm_q[i])
-                    order = np.lexsort((names[best], -exact))[: k + 1]
+                    order = np.lexsort((names[best], -exact))
+                    if repeated:
+                        order = order[np.sort(np.unique(names[best][order], return_index=True)[1])]
+                    order = order[: k + 1]
                     queried += [i] * len(order)
                     ids.append(names[best][order])
                     scores.append(exact[order])
@@ -205,5 +211,5 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 5, trees: int = TREES
     found = found.withColumn("at", F.row_number().over(best)).where(F.col("at") <= k + 1)
     found = scratch.stage(found.drop("at"), "found")
     own = asked.withColumnRenamed("vec_id", "query_id").join(found, "vec").where("query_id <> vec_id")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    rank = F.row_number().over(Window.partitionBy("query_id", "vec").orderBy(F.desc("score"), "vec_id"))
     return own.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

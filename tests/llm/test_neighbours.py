@@ -53,3 +53,13 @@ def test_recall_with_copies(spark, monkeypatch):
     exact = {q: dict(v) for q, v in brute(rows, range(0, 2400, 50), 2399).items()}
     assert all(abs(exact[q][v] - s) < 1e-12 for q, found_ in got.items() for v, s in found_)
     assert [v for v, _ in got[0]] == [3, 6, 9, 12, 15]
+
+
+def test_repeated_ids(spark):
+    """Equal rows count once; one id with two vectors is two queries, and one candidate that crowds out no other."""
+    rows = [(k, [1.0, 0.1 * k], 0) for k in range(1, 9)] + [(0, [1.0, 0.0], 0)] * 3 + [(0, [0.1, 1.0], 0)]
+    rows += [(1, [1.0, 0.001 * k], 0) for k in range(20)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = sorted((r.query_id, r["rank"], r.vec_id) for r in neighbours.nearest(df, df.where("vec_id = 0"), k=5).collect())
+    near, far = [1, 2, 3, 4, 5], [8, 7, 6, 5, 4]
+    assert got == sorted((0, k + 1, v) for ids in (near, far) for k, v in enumerate(ids))
