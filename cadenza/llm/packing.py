@@ -245,6 +245,7 @@ def plan_bins(counts: dict[int, int], capacity: int, nodes: int = 20_000, width:
         if branch:
             if not lengths:
                 fewest, best = sum(b for b, _ in taken), list(taken)
+                back()
                 branch = False
                 continue
             largest = lengths[-1]

@@ -189,3 +189,12 @@ def test_unigram_model_is_rebuilt(tmp_path):
     path.write_bytes(proto.SerializeToString())
     sentencepiece.SentencePieceProcessor(model_file=str(path))
     assert sentencepieces.parity(str(path), ["abc", "ab bc", "cab abca", "", "a  b"]) == []
+
+
+def test_search_goes_on_after_a_better_packing(monkeypatch):
+    """From a bad incumbent and with the worst fillings first, improved packings lead on to the best one."""
+    fillings = packing.fillings
+    monkeypatch.setattr(packing, "best_fit", lambda counts, capacity: [(1, (x,)) for x, n in counts.items() for _ in range(n)])
+    monkeypatch.setattr(packing, "fillings", lambda *a: [*fillings(*a), ()][::-1])
+    counts = {6: 2, 5: 2, 4: 2, 3: 2, 2: 1}
+    assert sum(n for n, _ in packing.plan_bins(counts, 10)) == 4 == packing.lower_bound(counts, 10)
