@@ -1,6 +1,7 @@
 """Registered queries of this subpackage and their DuckDB SQL.
 
-SQL is given where it can state the result over whole tables: conversations and repeated windows. The other results rest
+SQL is given where it can state the result over whole tables: conversations, repeated windows, the hash trees, the divergences
+and the groups by shingles. The other results rest
 on a tokenizer, a 64-bit hash, a search or a fitted model that SQL does not have; tests/llm holds them against brute force."""
 
 from __future__ import annotations
@@ -8,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, html_text, idfiles, licenses, neighbours, packing, quality, sentencepieces, simhash, substrings
+from . import chat, divergence, html_text, idfiles, licenses, merkle, minhash, neighbours, packing, quality, sentencepieces, simhash, substrings
 
 TOKENIZER = "word_bpe_49k.json"
 PIECES = "piece_bpe_32k.model"
@@ -71,10 +72,25 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.encode_texts(_table(spark, sf_dir, "documents"), tokenizer_path(PIECES), with_ids=False)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.proofs(_table(spark, sf_dir, "documents"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"), least_docs=30, top=50)
+
+
+def op13_minhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), width=2, num=80, den=100)
+
+
 QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_chat_formatting, op3_nearest_neighbours, op4_simhash_groups, op5_html_main_text,
-    op6_repeated_windows, op7_id_files, op8_license_scan, op9_quality_rules, op10_sentencepiece)}
+    op6_repeated_windows, op7_id_files, op8_license_scan, op9_quality_rules, op10_sentencepiece, op11_merkle_manifest, op12_source_divergence, op13_minhash_groups)}
 
 ORACLES: dict[str, str] = {
     "op2_chat_formatting": chat.SQL.format(turns=f"(select conv_id, turn, role, text from conversations union all values (-1, 0, 'user', '{CONTROL}'), (-1, 1, 'assistant', '{CONTROL}'))"),
     "op6_repeated_windows": substrings.SQL,
+    "op11_merkle_manifest": merkle.SQL,
+    "op12_source_divergence": divergence.SQL,
+    "op13_minhash_groups": minhash.SQL,
 }

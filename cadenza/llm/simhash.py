@@ -206,7 +206,9 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     while True:
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(state) == known:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            out = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            out._staged_at = edges._staged_at
+            return out
         known = tuple(state)
         previous = edges
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
