@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 
 from cadenza import theory as th
 from cadenza.operators import sequence as seq
+from cadenza.operators.alignment import align_sequences  # noqa: F401
 
 BUCKET = 64.0
 
@@ -206,17 +207,24 @@ def chord_comparison(a: str, b: str) -> dict[str, str]:
     }
 
 
-LEVELS = ["root", "thirds", "triads", "tetrads", "majmin", "sevenths", "mirex"]
+COMPARED = ["root", "thirds", "triads", "tetrads", "majmin", "sevenths", "mirex"]
+LEVELS = [*COMPARED, "seg"]
 
 
 def chord_scores(reference: DataFrame, estimate: DataFrame) -> DataFrame:
-    """Duration-weighted chord scores per song over overlapping reference and estimate intervals."""
+    """Duration-weighted chord scores per song over overlapping reference and estimate intervals, and the segmentation score.
+
+    Intervals come merged, as ``top_intervals`` gives them.
+    """
+    from cadenza.operators.segmentation import segmentation_score
     j = overlap_join(reference.select("song_id", "start", "end", "root", "quality"),
                      estimate.select("song_id", "start", "end", "root", "quality"))
     cmp_ = chord_comparison("a", "b")
     j = j.selectExpr("song_id", "w", *[f"{e} as {n}" for n, e in cmp_.items()])
-    aggs = ", ".join(f"sum({n} * w) / nullif(sum(if({n} is null, 0D, w)), 0D) as {n}" for n in LEVELS)
-    return seq.sql(f"select song_id, {aggs}, sum(w) as duration from {{j}} group by song_id", j=j)
+    aggs = ", ".join(f"sum({n} * w) / nullif(sum(if({n} is null, 0D, w)), 0D) as {n}" for n in COMPARED)
+    scores = seq.sql(f"select song_id, {aggs}, sum(w) as duration from {{j}} group by song_id", j=j)
+    named = [df.selectExpr("song_id", "start", "end", "cast(null as string) as label") for df in (reference, estimate)]
+    return seq.sql("select s.*, g.seg from {s} s left join {g} g on g.song_id = s.song_id", s=scores, g=segmentation_score(*named))
 
 
 def corpus_chord_scores(scores: DataFrame) -> DataFrame:
@@ -302,83 +310,6 @@ def expert_summary(rows: DataFrame) -> DataFrame:
                sum(applied_target_ok) / nullif(sum(applied_tp_recall), 0) as target_agreement from {r}""", r=rows)
 
 
-# ------------------------------------------------------------------------------ alignment
-
-def edit_steps(cost, gap: int) -> tuple[int, list[tuple[int | None, int | None]]]:
-    """Cheapest edit script between two sequences by dynamic programming over whole numbers.
-
-    ``cost[i, j]`` is what row i costs against column j.  Among equally cheap scripts a match comes before
-    a dropped row, that before an inserted column, seen from the end.
-    """
-    import numpy as np
-    n, m = cost.shape
-    columns = gap * np.arange(m + 1)
-    line = columns.copy()
-    came = np.full((n + 1, m + 1), 2, np.int8)  # 0 match, 1 dropped row, 2 inserted column
-    came[1:, 0] = 1
-    for i in range(1, n + 1):
-        match, drop = line[:-1] + cost[i - 1], line + gap
-        without = np.minimum(drop, np.concatenate([[drop[0]], match]))
-        # inserted columns move along the line: a running minimum once the columns' own cost is taken off
-        new = np.minimum.accumulate(without - columns) + columns
-        came[i, 1:] = np.where(match == new[1:], 0, np.where(drop[1:] == new[1:], 1, 2))
-        line = new
-    steps, i, j = [], n, m
-    while i or j:
-        kind = came[i, j]
-        i, j = i - (kind != 2), j - (kind != 1)
-        steps.append((int(i) if kind != 2 else None, int(j) if kind != 1 else None))
-    return int(line[-1]), steps[::-1]
-
-
-def align_sequences(reference: DataFrame, estimate: DataFrame, level: str = "chord") -> DataFrame:
-    """Edit-distance alignment of two chord sequences per song: cost and the map estimate -> reference.
-
-    Inputs ``(song_id, idx, harte, root, quality)``.  Substitution: equal 0, same root .3, else 1 at
-    level "chord"; 0 / 1 at "root", "majmin", "sevenths".  Gap 1.  What a chord is at a level is one code,
-    made in SQL; the recursion over a song's codes runs in Arrow batches (a chart is written text, a few
-    hundred chords).  The map carries the last matched reference chord forward.
-    """
-    import numpy as np
-    import pandas as pd
-    key_type = reference.schema["song_id"].dataType.simpleString()
-    masks = {q: th.mask(r["semis"]) for q, r in th.QUALITIES.items()}
-    vocab = {"majmin": [th.mask((0, 4, 7)), th.mask((0, 3, 7))], "sevenths": [masks[q] for q in ("maj", "min", "maj7", "7", "min7")]}
-    cut = {"majmin": 0xFF, "sevenths": 0xFFF}.get(level, 0)
-    shape = f"coalesce({th.lookup({q: m & cut for q, m in masks.items()}, 'quality')}, 0)" if cut else "0"
-    code = "harte" if level == "chord" else f"cast({shape} as string)"
-    judged = f"(root is null or {shape} in ({', '.join(map(str, vocab[level]))}))" if cut else "false"
-
-    def packed(name: str) -> str:
-        return (f"select song_id, sort_array(collect_list(struct(idx, coalesce(root, -1) as root, {code} as code, {judged} as judged))) as {name} "
-                f"from {{{name}}} group by song_id")
-
-    def tenths(a: list, b: list) -> np.ndarray:
-        (ra, ca, ja), (rb, cb, _) = [[np.array([x[k] for x in side], dtype=object) for k in ("root", "code", "judged")] for side in (a, b)]
-        root, same = ra[:, None] == rb[None, :], ca[:, None] == cb[None, :]
-        if level == "chord":
-            return np.where(same, 0, np.where(root & (ra >= 0)[:, None].astype(bool), 3, 10))
-        # outside the level's vocabulary the root alone decides
-        return np.where(root & (same | ~ja.astype(bool)[:, None]), 0, 10)
-
-    def run(batches):
-        for pdf in batches:
-            out = [(row.song_id, len(row.ref), *edit_steps(tenths(row.ref, row.est), 10)) for row in pdf.itertuples()]
-            yield pd.DataFrame([(s, cost / 10, n, [{"ref": a, "est": b} for a, b in steps]) for s, n, cost, steps in out],
-                               columns=["song_id", "cost", "n_ref", "steps"])
-
-    pairs = seq.sql(f"with r as ({packed('ref')}), e as ({packed('est')}) select r.song_id, r.ref, e.est from r join e on e.song_id = r.song_id",
-                    ref=reference, est=estimate)
-    aligned = pairs.mapInPandas(run, f"song_id {key_type}, cost double, n_ref int, steps array<struct<ref:int,est:int>>")
-    return seq.sql("""
-        with x as (select song_id, cost, n_ref, posexplode(steps) as (k, s) from {a}),
-        c as (select *, last(s.ref, true) over (partition by song_id order by k rows between unbounded preceding and current row) as carried,
-                     first(s.ref, true) over (partition by song_id order by k rows between unbounded preceding and unbounded following) as head from x)
-        select song_id, first(cost) as cost, first(n_ref) as n_ref, cast(sum(if(s.est is null, 1, 0)) as int) as unmatched_ref,
-               transform(sort_array(collect_list(if(s.est is null, null, struct(s.est, coalesce(carried, head) as ref)))), z -> z.ref) as ref_of_est
-        from c group by song_id""", a=aligned)
-
-
 # ------------------------------------------------------------------------------ corpus report
 
 def evaluation_report(chords: DataFrame, errors: dict[str, DataFrame], numerals: DataFrame, local_keys: DataFrame,
@@ -392,7 +323,7 @@ def evaluation_report(chords: DataFrame, errors: dict[str, DataFrame], numerals:
         pairs = ", ".join(f"'{name}', cast({value} as double)" for name, value in columns.items())
         return df.selectExpr(f"stack({len(columns)}, {pairs}) as (measure, value)")
 
-    out = rows(corpus_chord_scores(chords), {"songs": "songs"} | {f"chord {n}": n for n in ("root", "majmin", "sevenths", "mirex")})
+    out = rows(corpus_chord_scores(chords), {"songs": "songs"} | {f"chord {n}": n for n in ("root", "majmin", "sevenths", "mirex", "seg")})
     for level, aligned in errors.items():
         rate = aligned.selectExpr("sum(cost) / nullif(sum(n_ref), 0) as x")
         out = out.unionByName(rows(rate, {f"symbol error {level}": "x"}))

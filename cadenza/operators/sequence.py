@@ -95,3 +95,51 @@ def islands(df: DataFrame, idx: str, same: str, prev: str, island: str, size: in
         marked = stage(marked)
     return running_sum(marked, idx, "starts", island, size).selectExpr(
         *df.columns, f"cast({island} - 1 as int) as {island}")
+
+
+def orbit(nodes: DataFrame, size: int = BLOCK_ROWS) -> DataFrame:
+    """The nodes that are reached from the first one of each song by following ``succ``: ``(song_id, idx)``.
+
+    ``nodes(song_id, idx, succ)``, written; ``succ`` is a larger idx of the song or null. A block of nodes is a function from the node
+    by which it is entered to the node by which it is left; only nodes that some block is left by stay for the next round, which
+    follows the same way over far fewer nodes. Then every block that is passed marks its own nodes. No task holds more
+    than one block.
+    """
+    import pandas as pd
+    kind = nodes.schema["song_id"].dataType.simpleString()
+    ids = f"song_id {kind}, idx bigint"
+    n = nodes.count()
+    ranked = stage(sql(f"""select song_id, cast(idx as bigint) as idx, cast(succ as bigint) as succ, cast((row_number() over (partition by song_id order by idx) - 1) div {size} as int) as blk,
+                                  idx = min(idx) over (partition by song_id) as head from {{n}}""", n=nodes))
+
+    def walk(idx: list[int], succ: dict, at: int) -> list[int]:
+        inside, out = set(idx), []
+        while at in inside:
+            out.append(at)
+            at = succ[at]
+        return out
+
+    def leave(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("idx", ascending=False)
+        end, left = int(pdf["idx"].iloc[0]), {}
+        for i, s in zip(pdf["idx"], pdf["succ"]):
+            s = None if pd.isna(s) else int(s)
+            left[int(i)] = left[s] if s is not None and s <= end else s
+        return pd.DataFrame({"song_id": pdf["song_id"].iloc[0], "idx": list(left), "succ": pd.array(list(left.values()), "Int64"), "head": pdf["head"].to_numpy()})
+
+    def mark(pdf: pd.DataFrame) -> pd.DataFrame:
+        succ = {int(i): -1 if pd.isna(s) else int(s) for i, s in zip(pdf["idx"], pdf["succ"])}
+        return pd.DataFrame({"song_id": pdf["song_id"].iloc[0], "idx": walk(list(succ), succ, int(pdf["entry"].iloc[0]))}, columns=["song_id", "idx"])
+
+    if ranked.where("blk > 0").isEmpty():
+        entered = ranked.where("head").selectExpr("song_id", "blk", "idx as entry")
+    else:
+        left = stage(ranked.groupBy("song_id", "blk").applyInPandas(leave, f"{ids}, succ bigint, head boolean"))
+        fewer = stage(sql("""select l.song_id, l.idx, l.succ from {l} l left semi join (
+                               select song_id, idx from {l} where head union select song_id, succ from {l} where succ is not null) k
+                             on k.song_id = l.song_id and k.idx = l.idx""", l=left))
+        passed = orbit(fewer, size if fewer.count() < n else 2 * size)
+        entered = sql("""select r.song_id, r.blk, min(r.idx) as entry from {r} r join {p} p on p.song_id = r.song_id and p.idx = r.idx
+                         group by r.song_id, r.blk""", r=ranked, p=passed)
+    marked = ranked.join(entered, ["song_id", "blk"])
+    return marked.groupBy("song_id", "blk").applyInPandas(mark, ids)

@@ -556,13 +556,13 @@ def _chord_scores(c: Corpus) -> DataFrame:
 
 @query("a17_chord_scores")
 def _(c):
-    return _chord_scores(c).selectExpr("song_id", "cast(duration as int) as duration", *[f"{m6(n)} as {n}_e6" for n in ("root", "triads", "tetrads", "majmin", "sevenths", "mirex")])
+    return _chord_scores(c).selectExpr("song_id", "cast(duration as int) as duration", *[f"{m6(n)} as {n}_e6" for n in ("root", "triads", "tetrads", "majmin", "sevenths", "mirex", "seg")])
 
 
 @query("a13_corpus_chord_scores")
 def _(c):
     from cadenza.operators import evaluate as ev
-    return ev.corpus_chord_scores(_chord_scores(c)).selectExpr("songs", *[f"{m6(n)} as {n}_e6" for n in ("root", "majmin", "sevenths")])
+    return ev.corpus_chord_scores(_chord_scores(c)).selectExpr("songs", *[f"{m6(n)} as {n}_e6" for n in ("root", "majmin", "sevenths", "seg")])
 
 
 @query("k3_evaluation_report")
@@ -602,6 +602,40 @@ def _(c):
         "song_id", f"{m6('cost')} as cost_e6", "n_ref", "unmatched_ref", "array_join(ref_of_est, '-') as ref_of_est")
 
 
+def _chart(c: Corpus) -> tuple[DataFrame, DataFrame]:
+    from cadenza.operators import charts
+    if "chart_map" not in c.tables:
+        costs, mapped = charts.chart_map(c.segments("reference"), c.segments("estimate"))
+        c.tables["chart_costs"], c.tables["chart_map"] = seq.stage(costs), mapped
+    return c.tables["chart_costs"], c.tables["chart_map"]
+
+
+@query("a17_chart_scores")
+def _(c):
+    from cadenza.operators import charts
+    costs, mapped = _chart(c)
+    return charts.aligned_scores(c.segments("reference"), c.segments("estimate"), mapped, costs).selectExpr(
+        "song_id", "cast(duration as int) as duration", f"{m6('cost')} as cost_e6", "n_ref", "unmatched_ref",
+        *[f"{m6(n)} as {n}_e6" for n in ("root", "triads", "tetrads", "majmin", "sevenths", "mirex")])
+
+
+@query("a16_chart_numerals")
+def _(c):
+    from cadenza.operators import charts
+    return charts.chart_numeral_agreement(c.keyed("reference"), c.keyed("estimate"), _chart(c)[1]).selectExpr(
+        "song_id", f"{m6('strict')} as s_e6", f"{m6('degree')} as d_e6", "cast(duration as int) as duration")
+
+
+@query("u2_chart_spans")
+def _(c):
+    """Every three neighbouring segments as an event, in chart time; those that end on no chord as modulations."""
+    from cadenza.operators import charts
+    e = c.segments("estimate")
+    events = seq.sql("""select song_id, seg as event_no, if(lead(top.root, 2) over w is null, 'modulation', 'span') as type, array(seg, seg + 1, seg + 2) as segs
+                        from {e} window w as (partition by song_id order by seg)""", e=e)
+    return charts.chart_spans(events, _chart(c)[1], c.segments("reference")).selectExpr("song_id", "event_no", "type", "cast(start as int) as start", "cast(end as int) as stop")
+
+
 def _expert_scores(c: Corpus) -> DataFrame:
     """Expert numerals derived from the true tonic; ours from the given key."""
     from cadenza.operators import evaluate as ev, resolve as rs
@@ -959,6 +993,30 @@ def _(c):
     return st.pool_posteriors(post, beat_bars, st.aligned_repeats(_structure(c), _windows(c), p), p).selectExpr("song_id", "beat", f"{m6('array_max(post)')} as top_e6")
 
 
+def _segmentations(c: Corpus) -> tuple[DataFrame, DataFrame]:
+    """Marked sections and stretches of one tonic with chords of one corruption, both in half seconds a beat."""
+    from cadenza.operators import report
+    marks = report.marker_sections(c.frames(), c.size).selectExpr("song_id", "start * 0.5D as start", "end * 0.5D as end", "lower(label) as label")
+    i = seq.islands(c.view.selectExpr("song_id", "frame_idx", "start_beat", "beats", "corrupt or event_id % 7 < 4 as odd"), "frame_idx", "p.odd = odd", "struct(odd)", "n", c.size)
+    ours = seq.sql("""select song_id, min(start_beat) * 0.5D + 0.25D as start, max(start_beat + beats) * 0.5D + 0.25D as end, if(first(odd), 'verse', 'chorus') as label
+                      from {i} group by song_id, n""", i=i)
+    return marks, ours
+
+
+@query("a25_boundary_scores")
+def _(c):
+    from cadenza.operators import segmentation as sgm
+    out = [sgm.boundary_scores(*_segmentations(c), window).selectExpr("song_id", f"{int(window * 10)} as window_e1", "n_ref", "n_est", "matched", f"{m6('f')} as f_e6")
+           for window in (3.0, 0.5)]
+    return out[0].unionByName(out[1])
+
+
+@query("a25_pairwise_scores")
+def _(c):
+    from cadenza.operators import segmentation as sgm
+    return sgm.pairwise_scores(*_segmentations(c)).selectExpr("song_id", "frames", f"{m6('precision')} as p_e6", f"{m6('recall')} as r_e6", f"{m6('f')} as f_e6")
+
+
 @query("a25_segmentation_agreement")
 def _(c):
     from cadenza.operators import evaluate as ev, report

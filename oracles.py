@@ -613,9 +613,107 @@ cte("cpair", "cf", f"""
          CASE WHEN corrupt THEN root2 ELSE root1 END AS br, CASE WHEN corrupt THEN q2 ELSE q1 END AS bq FROM cf""")
 _avg = lambda n: f"sum(CASE WHEN {n} IS NOT NULL THEN {n} * w END) * 1.0 / sum(CASE WHEN {n} IS NOT NULL THEN w END)"
 cte("clev", "cpair", f"SELECT *, {', '.join(f'{e} AS {n}' for n, e in _LEVEL.items())} FROM cpair")
-oracle("a17_chord_scores", "clev", f"SELECT song_id, CAST(sum(w) AS INT) AS duration, {', '.join(f'{m6(_avg(n))} AS {n}_e6' for n in _LEVEL)} FROM clev GROUP BY song_id")
-cte("csong", "clev", f"SELECT song_id, sum(w) AS d, {', '.join(f'{_avg(n)} AS {n}' for n in ('root', 'majmin', 'sevenths'))} FROM clev GROUP BY song_id")
-oracle("a13_corpus_chord_scores", "csong", "SELECT count(*) AS songs, " + ", ".join(f"{m6(f'sum({n} * d) / sum(d)')} AS {n}_e6" for n in ("root", "majmin", "sevenths")) + " FROM csong")
+for _px in ("r_", "e_"):
+    cte(f"{_px}iv", f"{_px}cand", f"""
+      SELECT song_id, idx, min(start_beat) AS start, max(start_beat + beats) AS stop FROM (
+        SELECT *, CAST(sum(f) OVER (PARTITION BY song_id ORDER BY frame_idx) - 1 AS INT) AS idx FROM (
+          SELECT *, CASE WHEN lag(harte) OVER (PARTITION BY song_id ORDER BY frame_idx) = harte THEN 0 ELSE 1 END AS f FROM {_px}cand)) GROUP BY song_id, idx""")
+cte("ivpair", "r_iv e_iv", """
+  SELECT a.song_id, a.idx AS i, b.idx AS j, least(a.stop, b.stop) - greatest(a.start, b.start) AS w
+  FROM r_iv a JOIN e_iv b ON b.song_id = a.song_id AND a.start < b.stop AND b.start < a.stop""")
+cte("segscore", "ivpair", """
+  SELECT song_id, least(sum(w) FILTER (side = 0), sum(w) FILTER (side = 1)) * 1.0 / any_value(total) AS seg
+  FROM (SELECT song_id, 0 AS side, max(w) AS w FROM ivpair GROUP BY song_id, i UNION ALL SELECT song_id, 1, max(w) FROM ivpair GROUP BY song_id, j)
+  JOIN (SELECT song_id, sum(w) AS total FROM ivpair GROUP BY song_id) USING (song_id) GROUP BY song_id""")
+oracle("a17_chord_scores", "clev segscore", f"SELECT song_id, CAST(sum(w) AS INT) AS duration, {', '.join(f'{m6(_avg(n))} AS {n}_e6' for n in _LEVEL)}, {m6('any_value(seg)')} AS seg_e6 FROM clev JOIN segscore USING (song_id) GROUP BY song_id")
+cte("csong", "clev segscore", f"SELECT song_id, sum(w) AS d, {', '.join(f'{_avg(n)} AS {n}' for n in ('root', 'majmin', 'sevenths', 'mirex'))}, any_value(seg) AS seg FROM clev JOIN segscore USING (song_id) GROUP BY song_id")
+oracle("a13_corpus_chord_scores", "csong", "SELECT count(*) AS songs, " + ", ".join(f"{m6(f'sum({n} * d) / sum(d)')} AS {n}_e6" for n in ("root", "majmin", "sevenths", "seg")) + " FROM csong")
+
+
+def alignment(name: str, cost: str) -> str:
+    """CTEs of the whole table of edit costs, one anti-diagonal after another, and of the script back from its end.
+
+    ``cost`` compares chords ``a`` (reference) and ``b`` (estimate) in tenths. A cell (i, j) of diagonal d = i + j holds its
+    value v, the value w left of it and how it was reached (0 match, 1 dropped reference chord, 2 inserted estimate).
+    """
+    cte(f"{name}_size", "r_seg e_seg", """
+      SELECT * FROM (SELECT song_id, count(*) AS n FROM r_seg GROUP BY song_id) JOIN (SELECT song_id, count(*) AS m FROM e_seg GROUP BY song_id) USING (song_id)""")
+    cte(f"{name}_dp", f"{name}_size r_seg e_seg", f"""
+      SELECT song_id, n, m, 0::BIGINT AS d, 0::BIGINT AS i, 0::BIGINT AS v, NULL::BIGINT AS w, 2::BIGINT AS came FROM {name}_size
+      UNION ALL
+      SELECT song_id, any_value(n), any_value(m), any_value(d) + 1, x.i, min(x.v), max(x.w), arg_min(x.k, x.v * 4 + x.k) FROM (
+        SELECT t.song_id, n, m, d, unnest([{{'i': t.i, 'k': 2::BIGINT, 'v': t.v + 10, 'w': t.v}}, {{'i': t.i + 1, 'k': 1::BIGINT, 'v': t.v + 10, 'w': NULL}},
+               {{'i': t.i + 1, 'k': 0::BIGINT, 'v': t.w + {cost}, 'w': NULL}}]) AS x
+        FROM {name}_dp t LEFT JOIN r_seg a ON a.song_id = t.song_id AND a.seg = t.i LEFT JOIN e_seg b ON b.song_id = t.song_id AND b.seg = t.d - t.i - 1)
+      WHERE x.i <= n AND d + 1 - x.i <= m AND x.v IS NOT NULL GROUP BY song_id, x.i""")
+    cte(f"{name}_end", f"{name}_dp", f"SELECT song_id, n, m, v AS tenths FROM {name}_dp WHERE i = n AND d = n + m")
+    cte(f"{name}_tr", f"{name}_end {name}_dp", f"""
+      SELECT song_id, n AS i, m AS j, NULL::BIGINT AS ref, NULL::BIGINT AS est FROM {name}_end
+      UNION ALL
+      SELECT t.song_id, t.i - CASE WHEN p.came <> 2 THEN 1 ELSE 0 END, t.j - CASE WHEN p.came <> 1 THEN 1 ELSE 0 END,
+             CASE WHEN p.came <> 2 THEN t.i - 1 END, CASE WHEN p.came <> 1 THEN t.j - 1 END
+      FROM {name}_tr t JOIN {name}_dp p ON p.song_id = t.song_id AND p.d = t.i + t.j AND p.i = t.i WHERE t.i > 0 OR t.j > 0""")
+    cte(f"{name}_map", f"{name}_tr", f"""
+      SELECT song_id, est, coalesce(ref, first_value(ref IGNORE NULLS) OVER (PARTITION BY song_id ORDER BY est ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS ref FROM (
+        SELECT song_id, est, last_value(ref IGNORE NULLS) OVER (PARTITION BY song_id ORDER BY i + j) AS ref FROM {name}_tr WHERE ref IS NOT NULL OR est IS NOT NULL)
+      WHERE est IS NOT NULL""")
+    return name
+
+
+alignment("al", "CASE WHEN a.harte = b.harte THEN 0 WHEN a.root = b.root THEN 3 ELSE 10 END")
+oracle("w21_alignment", "al_end al_tr al_map", f"""
+  SELECT e.song_id, {m6('tenths / 10.0::DOUBLE')} AS cost_e6, CAST(n AS INT) AS n_ref, CAST(u AS INT) AS unmatched_ref, refs AS ref_of_est
+  FROM al_end e JOIN (SELECT song_id, count(*) FILTER (ref IS NOT NULL AND est IS NULL) AS u FROM al_tr GROUP BY song_id) USING (song_id)
+  JOIN (SELECT song_id, string_agg(ref::VARCHAR, '-' ORDER BY est) AS refs FROM al_map GROUP BY song_id) USING (song_id)""")
+
+cte("alpair", "al_map r_seg e_seg", """
+  SELECT m.song_id, m.est, e.stop - e.start AS w, r.root AS ar, r.q AS aq, e.root AS br, e.q AS bq
+  FROM al_map m JOIN e_seg e ON e.song_id = m.song_id AND e.seg = m.est JOIN r_seg r ON r.song_id = m.song_id AND r.seg = m.ref""")
+oracle("a17_chart_scores", "alpair al_end al_tr", f"""
+  SELECT song_id, duration, {m6('tenths / 10.0::DOUBLE')} AS cost_e6, CAST(n AS INT) AS n_ref, CAST(u AS INT) AS unmatched_ref, {', '.join(f'{n}_e6' for n in _LEVEL)}
+  FROM (SELECT song_id, CAST(sum(w) AS INT) AS duration, {', '.join(f'{m6(_avg(n))} AS {n}_e6' for n in _LEVEL)}
+        FROM (SELECT *, {', '.join(f'{e} AS {n}' for n, e in _LEVEL.items())} FROM alpair) GROUP BY song_id)
+  JOIN al_end USING (song_id) JOIN (SELECT song_id, count(*) FILTER (ref IS NOT NULL AND est IS NULL) AS u FROM al_tr GROUP BY song_id) USING (song_id)""")
+oracle("a16_chart_numerals", "alpair", f"""
+  SELECT song_id, {m6('sum(CASE WHEN ar = br AND aq = bq THEN w ELSE 0 END) * 1.0 / sum(w)')} AS s_e6, {m6('sum(CASE WHEN ar = br THEN w ELSE 0 END) * 1.0 / sum(w)')} AS d_e6, CAST(sum(w) AS INT) AS duration
+  FROM alpair WHERE br IS NOT NULL GROUP BY song_id""")
+oracle("u2_chart_spans", "al_map r_seg e_seg", """
+  SELECT song_id, event_no, type, CASE WHEN type = 'modulation' THEN point ELSE start END AS start, CASE WHEN type = 'modulation' THEN point ELSE stop END AS stop FROM (
+    SELECT a.song_id, a.seg AS event_no, CASE WHEN arg_max(CASE WHEN c.seg = a.seg + 2 AND c.root IS NOT NULL THEN 1 ELSE 0 END, c.seg) = 1 THEN 'span' ELSE 'modulation' END AS type,
+           min(r.start) AS start, max(r.stop) AS stop, arg_max(r.start, c.seg) AS point
+    FROM e_seg a JOIN e_seg c ON c.song_id = a.song_id AND c.seg BETWEEN a.seg AND a.seg + 2 JOIN al_map m ON m.song_id = c.song_id AND m.est = c.seg
+    JOIN r_seg r ON r.song_id = m.song_id AND r.seg = m.ref GROUP BY a.song_id, a.seg)""")
+
+# ---------------------------------------------------------------- two segmentations
+cte("marks", "cf", """
+  SELECT song_id, min(start_beat) * 0.5::DOUBLE AS start, max(start_beat + beats) * 0.5::DOUBLE AS stop, lower(min(section)) AS label FROM (
+    SELECT *, sum(f) OVER (PARTITION BY song_id ORDER BY frame_idx) AS grp FROM (
+      SELECT *, CASE WHEN lag(section) OVER (PARTITION BY song_id ORDER BY frame_idx) = section THEN 0 ELSE 1 END AS f FROM cf)) GROUP BY song_id, grp""")
+cte("odds", "cf", """
+  SELECT song_id, min(start_beat) * 0.5::DOUBLE + 0.25 AS start, max(start_beat + beats) * 0.5::DOUBLE + 0.25 AS stop, CASE WHEN bool_or(odd) THEN 'verse' ELSE 'chorus' END AS label FROM (
+    SELECT *, sum(f) OVER (PARTITION BY song_id ORDER BY frame_idx) AS grp FROM (
+      SELECT *, CASE WHEN lag(odd) OVER (PARTITION BY song_id ORDER BY frame_idx) = odd THEN 0 ELSE 1 END AS f FROM (SELECT *, corrupt OR event_id % 7 < 4 AS odd FROM cf))) GROUP BY song_id, grp""")
+for _side, _t in (("rb", "marks"), ("eb", "odds")):
+    cte(_side, _t, f"SELECT song_id, t AS at, row_number() OVER (PARTITION BY song_id ORDER BY t) AS k FROM (SELECT DISTINCT song_id, unnest([start, stop]) AS t FROM {_t})")
+# two pointers over the sorted boundaries: match when in reach, else pass the earlier one
+cte("hits", "rb eb", """
+  SELECT song_id, win, 1::BIGINT AS i, 1::BIGINT AS j, 0::BIGINT AS hit FROM (SELECT DISTINCT song_id FROM rb), (SELECT unnest([3.0, 0.5]) AS win)
+  UNION ALL
+  SELECT h.song_id, h.win, h.i + CASE WHEN abs(r.at - e.at) <= h.win OR r.at < e.at THEN 1 ELSE 0 END, h.j + CASE WHEN abs(r.at - e.at) <= h.win OR r.at >= e.at THEN 1 ELSE 0 END,
+         CASE WHEN abs(r.at - e.at) <= h.win THEN 1 ELSE 0 END
+  FROM hits h JOIN rb r ON r.song_id = h.song_id AND r.k = h.i JOIN eb e ON e.song_id = h.song_id AND e.k = h.j""")
+oracle("a25_boundary_scores", "hits rb eb", f"""
+  SELECT song_id, CAST(win * 10 AS INT) AS window_e1, n_ref, n_est, CAST(matched AS BIGINT) AS matched, {m6('CASE WHEN matched > 0 THEN 2.0::DOUBLE * matched / (n_ref + n_est) ELSE 0 END')} AS f_e6
+  FROM (SELECT song_id, win, sum(hit) AS matched FROM hits GROUP BY song_id, win)
+  JOIN (SELECT song_id, count(*) AS n_ref FROM rb GROUP BY song_id) USING (song_id) JOIN (SELECT song_id, count(*) AS n_est FROM eb GROUP BY song_id) USING (song_id)""")
+cte("sframes", "marks odds", """
+  SELECT f.song_id, m.label AS la, o.label AS lb FROM (SELECT song_id, unnest(range(CAST(floor(max(stop) / 0.1::DOUBLE) AS BIGINT))) * 0.1::DOUBLE AS t FROM marks GROUP BY song_id) f
+  JOIN marks m ON m.song_id = f.song_id AND m.start <= f.t AND f.t < m.stop LEFT JOIN odds o ON o.song_id = f.song_id AND o.start <= f.t AND f.t < o.stop""")
+oracle("a25_pairwise_scores", "sframes", f"""
+  SELECT song_id, CAST(frames AS BIGINT) AS frames, {m6('s / e')} AS p_e6, {m6('s / r')} AS r_e6, {m6('2 * (s / e) * (s / r) / (s / e + s / r)')} AS f_e6
+  FROM (SELECT song_id, sum(n) AS frames, sum(n * (n - 1) / 2)::DOUBLE AS s FROM (SELECT song_id, la, lb, count(*) AS n FROM sframes GROUP BY ALL) GROUP BY song_id)
+  JOIN (SELECT song_id, sum(n * (n - 1) / 2)::DOUBLE AS r FROM (SELECT song_id, la, count(*) AS n FROM sframes GROUP BY ALL) GROUP BY song_id) USING (song_id)
+  JOIN (SELECT song_id, sum(n * (n - 1) / 2)::DOUBLE AS e FROM (SELECT song_id, lb, count(*) AS n FROM sframes GROUP BY ALL) GROUP BY song_id) USING (song_id)""")
 oracle("a19_home_key", "tspan", """
   SELECT song_id, tonic AS key_idx, held FROM (SELECT song_id, tonic, CAST(sum(stop - start) AS INT) AS held, min(start) AS seen FROM tspan GROUP BY song_id, tonic)
   QUALIFY row_number() OVER (PARTITION BY song_id ORDER BY held DESC, seen) = 1""")
@@ -724,3 +822,11 @@ oracle("b2_repetition_band", "wslots", f"""
          {m6("least(greatest(sum(CASE WHEN a.x.root = (b.x.root + r.shift) % 12 AND a.x.minor = b.x.minor THEN a.x.p * b.x.p ELSE 0 END) / (CASE WHEN sqrt(sum(a.x.p * a.x.p)) > 1e-9 THEN sqrt(sum(a.x.p * a.x.p)) ELSE 1 END * CASE WHEN sqrt(sum(b.x.p * b.x.p)) > 1e-9 THEN sqrt(sum(b.x.p * b.x.p)) ELSE 1 END), 0), 1)")} AS sim_e6
   FROM wslots a JOIN wslots b ON b.song_id = a.song_id AND b.k = a.k AND b.bar_no IN (a.bar_no + 1, a.bar_no + 2), (SELECT CAST(unnest(range(12)) AS INT) AS shift) r
   GROUP BY a.song_id, r.shift, a.bar_no, b.bar_no""")
+
+cte("tvec", "cf", """
+  SELECT song_id, bar, [(a - avg(a) OVER w) / (stddev_pop(a) OVER w + 1e-6), (b - avg(b) OVER w) / (stddev_pop(b) OVER w + 1e-6), (l - avg(l) OVER w) / (stddev_pop(l) OVER w + 1e-6)] AS t
+  FROM (SELECT song_id, bar, avg(p1_permille / 100.0::DOUBLE) AS a, avg(beats::DOUBLE) AS b, avg(CASE WHEN section = 'Chorus' THEN -10.0::DOUBLE ELSE -18.0 END) AS l FROM cf GROUP BY song_id, bar)
+  WINDOW w AS (PARTITION BY song_id)""")
+oracle("b3_timbre_scale", "tvec", f"""
+  SELECT song_id, {m6('coalesce(median(d) FILTER (d > 0), 1)')} AS sigma_e6
+  FROM (SELECT a.song_id, sqrt(pow(a.t[1] - b.t[1], 2) + pow(a.t[2] - b.t[2], 2) + pow(a.t[3] - b.t[3], 2)) AS d FROM tvec a JOIN tvec b ON b.song_id = a.song_id AND a.bar <= b.bar) GROUP BY song_id""")

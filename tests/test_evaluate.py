@@ -148,6 +148,7 @@ def test_equal_points_are_all_kept(spark):
 
 def test_edit_script_is_cheapest():
     import numpy as np
+    from cadenza.operators import alignment
     rng = np.random.default_rng(0)
     for _ in range(100):
         cost = rng.choice([0, 3, 10], size=rng.integers(1, 8, 2))
@@ -157,17 +158,20 @@ def test_edit_script_is_cheapest():
         for i in range(n):
             for j in range(m):
                 best[i + 1, j + 1] = min(best[i, j] + cost[i, j], best[i, j + 1] + 10, best[i + 1, j] + 10)
-        total, steps = ev.edit_steps(cost, 10)
-        assert total == best[n, m] == sum(10 if a is None or b is None else cost[a, b] for a, b in steps)
-        assert [a for a, _ in steps if a is not None] == list(range(n)) and [b for _, b in steps if b is not None] == list(range(m))
+        out = alignment.sweep(cost, best[0], best[1:, 0], trace=True)
+        assert (out["bottom"] == best[n]).all() and (out["right"] == best[1:, m]).all()
+        steps = alignment.trace_tile(out["came"], n, m)
+        i, j, kind = steps[-1]
+        rest = best[i - (kind != 2), j - (kind != 1)]  # what the script cost before it entered the table
+        assert best[n, m] == rest + sum(cost[i - 1, j - 1] if kind == 0 else 10 for i, j, kind in steps)
 
 
 def test_report_weighs_each_measure(spark):
-    chords = spark.createDataFrame([("a", *([1.0] * 7), 3.0), ("b", *([0.0] * 7), 1.0)], "song_id string, " + ", ".join(f"{n} double" for n in ev.LEVELS) + ", duration double")
+    chords = spark.createDataFrame([("a", *([1.0] * 8), 3.0), ("b", *([0.0] * 8), 1.0)], "song_id string, " + ", ".join(f"{n} double" for n in ev.LEVELS) + ", duration double")
     aligned = spark.createDataFrame([("a", 1.0, 10), ("b", 3.0, 10)], "song_id string, cost double, n_ref int")
     numerals = spark.createDataFrame([("a", 1.0, 1.0), ("b", 0.0, 0.5)], "song_id string, strict double, degree double")
     keys = spark.createDataFrame([("a", 1.0, 1.0, 1.0, 1.0), ("b", 0.5, 0.0, 0.0, 3.0)], "song_id string, weighted double, exact double, tonic double, duration double")
     errors = spark.createDataFrame([("a", "missed"), ("b", "missed"), ("b", "key")], "song_id string, category string")
     got = {r.measure: r.value for r in ev.evaluation_report(chords, {"root": aligned}, numerals, keys, errors).collect()}
-    assert got == {"songs": 2.0, "chord root": 0.75, "chord majmin": 0.75, "chord sevenths": 0.75, "chord mirex": 0.75, "symbol error root": 0.2, "numeral agreement": 0.5,
+    assert got == {"songs": 2.0, "chord root": 0.75, "chord majmin": 0.75, "chord sevenths": 0.75, "chord mirex": 0.75, "chord seg": 0.75, "symbol error root": 0.2, "numeral agreement": 0.5,
                    "numeral degree agreement": 0.75, "local key weighted": 0.625, "local key exact": 0.25, "local key tonic": 0.25, "errors missed": 2.0, "errors key": 1.0}
