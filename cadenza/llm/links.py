@@ -6,8 +6,8 @@ parity of its members there, so two bitmaps differ in at most as many bits as th
 allows at most (1 - s) / (1 + s) of both sizes to differ. The screen loses no pair. What passes is decided on both whole sets.
 
 Large buckets do not become pairs: in each round the nodes of a bucket are compared with one pivot, the links are made
-components, and buckets that lie in one component are closed. Rounds with other pivots follow while many pairs are open. The
-rest is decided pair by pair: small buckets by a self-join, large ones in blocks of BLOCK nodes, where only pairs that
+components, and buckets that lie in one component are closed. Rounds with other pivots follow while many pairs are open and
+rounds close most of them. The rest is decided pair by pair: small buckets by a self-join, large ones in blocks of BLOCK nodes, where only pairs that
 pass the screen leave a task.
 
 Bitmaps and texts of candidate nodes are a table bucketed by node, so that rounds move pairs and the texts of pairs, never
@@ -25,10 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, new_folder, remove_folder
-from .simhash import components
+from .simhash import _join
 
 OPEN = 20  # open pairs for each row of a bucket, at most, before they are decided one by one
-ROUNDS = 5
+ROUNDS = 5  # at most; a round that leaves over half of the open pairs is the last
 SMALL = 64  # nodes of a bucket that a self-join handles
 BLOCK = 1024
 COARSE = 256  # bits of the first screen within a block
@@ -174,52 +174,87 @@ def block_pairs(rows: DataFrame, nodes: DataFrame, measure: Measure) -> DataFram
     return keyed.groupBy("h", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
-def similar_nodes(candidates: DataFrame, texts: DataFrame, measure: Measure, scratch: Scratch) -> DataFrame:
-    """node, root for all nodes that are similar to another one; written.
+EDGES = 1 << 20  # links that one task makes components of
 
-    candidates: (h, node, n), written; texts: (node, n, bits, packed), of which candidates of shared buckets are taken."""
-    open_rows = scratch.stage(shared(candidates).withColumn("root", F.col("node")), "open")
-    count = open_rows.count()
-    wanted = open_rows.select("node").distinct()
-    nodes, name = by_node(texts.join(wanted, "node", "left_semi"), scratch)
+
+def contracted(edges: DataFrame, tasks: int) -> DataFrame:
+    """Edges (u, v) from every node to the smallest node of its component among the edges (u, v) of one task."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches, pa.schema([("u", pa.int64()), ("v", pa.int64())]))
+        names, at = np.unique(np.concatenate([table.column(c).to_numpy() for c in "uv"]), return_inverse=True)
+        label = _join(np.arange(len(names)), at[: len(table)], at[len(table) :])
+        other = np.flatnonzero(label != np.arange(len(names)))
+        yield from pa.table({"u": names[other], "v": names[label[other]]}).to_batches(max_chunksize=100_000)
+
+    return edges.repartition(tasks).mapInArrow(work, "u long, v long")
+
+
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """Edges (u, v) from every node of the edges (a, b) to its component's smallest node, without the roots; written.
+
+    Tasks contract EDGES links each; what they leave is joined by large- and small-star steps until every edge leads to a root."""
+    edges = scratch.stage(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    tasks = max(1, -(-edges.count() // EDGES))
+    previous, edges = edges, scratch.stage(contracted(edges, tasks), "edges")
+    scratch.drop(previous)
+    while tasks > 1:
+        inner = edges.join(edges.select(F.col("v").alias("x")).distinct(), F.col("u") == F.col("x"), "left_semi")
+        if inner.isEmpty() and edges.groupBy("u").count().where("count > 1").isEmpty():
+            break
+        previous = edges
+        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = scratch.stage(large, "edges")
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u")
+        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        edges = scratch.stage(small, "edges")
+        scratch.drop(previous, large)
+    return edges
+
+
+def similar_nodes(candidates: DataFrame, texts: DataFrame, measure: Measure, scratch: Scratch, only_shared: bool = False) -> DataFrame:
+    """node, root for all nodes that are similar to another one, but the roots; written.
+
+    candidates: (h, node, n), written; texts: (node, n, bits, packed), of which candidates of shared buckets are taken. With
+    only_shared, candidates are of shared buckets already and texts of no other nodes."""
+    found = candidates if only_shared else shared(candidates)
+    open_rows = scratch.stage(found.withColumn("root", F.col("node")), "open")
+    nodes, name = by_node(texts if only_shared else texts.join(open_rows.select("node").distinct(), "node", "left_semi"), scratch)
     pair = [F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")]
     near = f"root <> other_root and {measure.sizes_fit('n', 'other_n')}"
     other = [F.col("node").alias("other"), F.col("n").alias("other_n"), F.col("root").alias("other_root")]
-    roots, split = None, None
+    roots = None
 
     def take(pairs: DataFrame) -> None:
         """Decides pairs and makes the links components with what was known."""
         nonlocal roots
         found = scratch.stage(decided(pairs, nodes, measure), "links")
-        edges = found if roots is None else found.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        edges = found if roots is None else found.unionByName(roots.select(F.col("u").alias("a"), F.col("v").alias("b")))
         known, roots = roots, components(edges, scratch)
         scratch.drop(found, *([known] if known is not None else []))
 
+    rows, left = open_rows.count(), None
     for turn in range(ROUNDS):
         pivot = F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "n", "root")).alias("p")
         pivots = open_rows.groupBy("h").agg(pivot).select("h", F.col("p.node").alias("other"), F.col("p.n").alias("other_n"), F.col("p.root").alias("other_root"))
-        pairs = open_rows.join(pivots, "h").where(near).select(*pair).distinct()
-        take(screened(pairs, nodes, measure))
-        known = roots.select("node", F.col("root").alias("known"))
-        labelled = open_rows.join(known, "node", "left").select("h", "node", "n", F.coalesce("known", "root").alias("root"))
-        labelled = scratch.stage(labelled, "labelled")
-        if split is not None:
-            scratch.drop(split)
+        take(screened(open_rows.join(pivots, "h").where(near).select(*pair).distinct(), nodes, measure))
+        labelled = open_rows.select("h", "node", "n", "root").join(roots.select(F.col("u").alias("node"), F.col("v").alias("known")), "node", "left")
+        labelled = scratch.stage(labelled.select("h", "node", "n", F.coalesce("known", "root").alias("root")), "labelled")
         split = labelled.groupBy("h", "root").count().groupBy("h").agg(F.sum("count").alias("c"), F.sum(F.col("count") * F.col("count")).alias("cc"))
-        split = scratch.stage(split.where("c * c > cc"), "split")
-        left = split.agg(F.sum(F.expr("cast(c as double) * c - cc") / 2)).first()[0] or 0
-        before, open_rows = open_rows, scratch.stage(labelled.join(split, "h", "left_semi"), "open")
+        before, open_rows = open_rows, scratch.stage(labelled.join(split.where("c * c > cc"), "h"), "open")
         scratch.drop(before, labelled)
-        if left <= OPEN * count:
+        last, left = left, open_rows.agg(F.sum(F.expr("(cast(c as double) - cast(cc as double) / c) / 2"))).first()[0] or 0
+        if left <= OPEN * rows or last is not None and left > last / 2:
             break
     if left:
-        sized = open_rows.join(split.select("h", "c"), "h")
-        small = sized.where(f"c <= {SMALL}").drop("c")
+        small = open_rows.where(f"c <= {SMALL}")
         pairs = small.join(small.select("h", *other), "h").where(f"node < other and {near}").select(*pair).distinct()
-        large = block_pairs(sized.where(f"c > {SMALL}").drop("c"), nodes, measure)
-        take(screened(pairs, nodes, measure).unionByName(large).distinct())
+        take(screened(pairs, nodes, measure).unionByName(block_pairs(open_rows.where(f"c > {SMALL}").drop("c", "cc"), nodes, measure)).distinct())
     place = scratch.spark.sql(f"describe table extended {name}").where("col_name = 'Location'").first()[1]
     scratch.spark.sql(f"drop table {name}")
     remove_folder(place)
-    scratch.drop(open_rows, split)
-    return roots
+    scratch.drop(open_rows)
+    return roots.select(F.col("u").alias("node"), F.col("v").alias("root"))

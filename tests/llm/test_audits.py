@@ -170,6 +170,7 @@ def test_groups(spark, monkeypatch, rounds, small, block):
     monkeypatch.setattr(links, "SMALL", small)
     monkeypatch.setattr(links, "BLOCK", block)
     monkeypatch.setattr(links, "OPEN", 0)
+    monkeypatch.setattr(links, "EDGES", links.EDGES if rounds > 1 else 9)
     base = prose(1000, 400)
     rows = documents() + [(400 + k, changed(base, k, k), "en", "a", 0) for k in range(40)] + [(500, base.upper(), "en", "a", 0), (500, base, "en", "a", 0)]
     rows += [(600 + k, changed(prose(2000, 30), k, 1), "en", "a", 0) for k in range(30)]
