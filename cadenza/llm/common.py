@@ -9,6 +9,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 import pyarrow.fs
@@ -17,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _local: list[str] = []
+_folders: ContextVar[list[str] | None] = ContextVar("folders", default=None)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -44,9 +47,7 @@ class Scratch:
     """Tables written once to the shared folder, so that a lost executor costs no recomputation and lineage stays short.
 
     ``drop`` removes tables that no result reads any more; what a lazy result still reads stays in the shared folder,
-    which its owner clears."""
-
-    live: list[str] = []  # folders written in this session and not dropped
+    which its owner clears: within ``owned(folders)`` every folder that is written and not dropped is listed there."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
@@ -54,7 +55,8 @@ class Scratch:
     def stage(self, df: DataFrame, name: str) -> DataFrame:
         path = new_folder(self.spark, name)
         df.write.parquet(path)
-        Scratch.live.append(path)
+        if (folders := _folders.get()) is not None:
+            folders.append(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._staged_at = path
         return out
@@ -68,7 +70,18 @@ class Scratch:
 def remove_folder(uri: str) -> None:
     fs, path = file_system(uri)
     fs.delete_dir_contents(path, missing_dir_ok=True)
-    Scratch.live[:] = [x for x in Scratch.live if x != uri]
+    if (folders := _folders.get()) is not None:
+        folders[:] = [x for x in folders if x != uri]
+
+
+@contextmanager
+def owned(folders: list[str]) -> Iterator[None]:
+    """Lists what is staged inside, also of this thread only, in the given list."""
+    before = _folders.set(folders)
+    try:
+        yield
+    finally:
+        _folders.reset(before)
 
 
 class RowNumbers:

@@ -8,7 +8,8 @@ File: magic, nine unsigned 64-bit numbers (documents, null doc_ids, ids, bytes p
 the four parts), then boundaries, doc_ids (both Elias-Fano) and ids (unsigned 16 or 32 bit, little-endian).
 
 Null texts are empty (only the end id). Null doc_ids come first; repeated doc_ids keep one entry per row, ordered by a
-hash of their text."""
+hash of their text. Very long texts are one document of a file; an empty table gives no files and no rows; other columns are
+ignored, whatever their names."""
 
 from __future__ import annotations
 
@@ -102,8 +103,11 @@ class IdFile:
         head = MAGIC + struct.pack("<QQQQqQQQQ", len(doc_ids), nulls, len(flat), width, first, len(bounds), len(names), len(flat) * width, 0)
         return head + bounds + names + flat.astype(f"<u{width}").tobytes()
 
+    def doc_id(self, i: int) -> int | None:
+        return None if i < self.nulls else self.first + self.names.select(i - self.nulls)
+
     def doc_ids(self) -> list[int | None]:
-        return [None] * self.nulls + (self.names.all().astype(np.int64) + self.first).tolist()
+        return [self.doc_id(i) for i in range(self.documents)]
 
     def document(self, i: int) -> np.ndarray:
         return self.ids[self.bounds.select(i) : self.bounds.select(i + 1)]
@@ -145,10 +149,18 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int = 2, folder: str | No
     return folder
 
 
+READ_IDS = 32 << 20  # ids that one task reads, about
+
+
 def read_ids(spark: SparkSession, folder: str, with_ids: bool = False) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32, and with_ids the ids, read from the files."""
+    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32, and with_ids the ids, read from the files.
+
+    Files are dealt to as many tasks as their ids ask for. A document's place is selected from the boundaries; they are
+    never expanded."""
     order = Window.orderBy("part", "file").rowsBetween(Window.unboundedPreceding, -1)  # one short row per file
     files = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest").withColumn("base", F.coalesce(F.sum("ids").over(order), F.lit(0)))
+    count, ids = files.agg(F.count("*"), F.coalesce(F.sum("ids"), F.lit(0))).first()
+    tasks = max(1, min(count, max(spark.sparkContext.defaultParallelism, -(-ids // READ_IDS))))
 
     def work(parts: Iterator[dict]) -> Iterator[dict]:
         fs, path = file_system(folder)
@@ -156,11 +168,12 @@ def read_ids(spark: SparkSession, folder: str, with_ids: bool = False) -> DataFr
             for name, base in zip(part["path"].to_pylist(), part["base"].to_pylist()):
                 with fs.open_input_stream(f"{path}/{name}") as source:
                     file = IdFile(source.read())
-                bounds = file.bounds.all().astype(np.int64)
-                flat, at = file.ids.astype("<u4").tobytes(), (4 * bounds).tolist()
-                cut = [flat[a:b] for a, b in zip(at, at[1:])]
-                out = {"doc_id": file.doc_ids(), "start": bounds[:-1] + base, "n_tokens": np.diff(bounds), "ids_crc32": list(map(zlib.crc32, cut))}
-                yield out | ({"ids": [np.frombuffer(x, "<i4") for x in cut]} if with_ids else {})
+                for first in range(0, file.documents, 4096):
+                    some = range(first, min(first + 4096, file.documents))
+                    at = [file.bounds.select(i) for i in (*some, some[-1] + 1)]
+                    cut = [file.ids[a:b].astype("<u4").tobytes() for a, b in zip(at, at[1:])]
+                    out = {"doc_id": [file.doc_id(i) for i in some], "start": [a + base for a in at[:-1]], "n_tokens": [len(x) // 4 for x in cut], "ids_crc32": list(map(zlib.crc32, cut))}
+                    yield out | ({"ids": [np.frombuffer(x, "<i4") for x in cut]} if with_ids else {})
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return map_texts(files.repartition("path"), ["path", "base"], work, schema)
+    return map_texts(files.repartition(tasks, "path"), ["path", "base"], work, schema)

@@ -9,7 +9,7 @@ import pytest
 import xxhash
 
 import corpus_pipeline
-from cadenza.llm import licenses, packing, quality, shingles, simhash, substrings
+from cadenza.llm import licenses, links, packing, quality, shingles, simhash, substrings
 from cadenza.llm.queries import tokenizer_path
 from tests.llm.cases import SCHEMA, documents, frame, prose
 
@@ -255,11 +255,11 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     rows = [(k, prose(k, 70 + k), "en", "a", 0) for k in range(60)]
     passage = prose(999, 55)
     rows += [(100, f"{prose(100, 80)}\n{passage} {prose(101, 60)}", "en", "a", 0), (101, f"{prose(102, 90)} {passage}", "en", "a", 0)]
-    rows += [(200, rows[5][1], "en", "a", 0), (201, rows[5][1] + " end", "en", "a", 0), (300, "too short", "en", "a", 0), (301, None, None, None, None)]
+    rows += [(200, rows[5][1], "en", "a", 0), (201, rows[5][1] + " end", "en", "a", 0), (202, edited(rows[50][1], 202, 2), "en", "a", 0), (300, "too short", "en", "a", 0), (301, None, None, None, None)]
     spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     good = [r for r in rows if len(words_of(r[1])) >= 50]
-    groups = plain_groups([plain_fingerprint(r[1]) for r in good], 4)
+    groups = plain_similar(good)
     kept = [r for k, r in enumerate(good) if k == min(j for j, g in enumerate(groups) if g == groups[k])]
     assert {200, 201} & {r[0] for r in kept} == set() and {100, 101} <= {r[0] for r in kept}
     from tokenizers import Tokenizer
@@ -306,11 +306,12 @@ def edited(text, seed, n):
     return " ".join(words)
 
 
-@pytest.mark.parametrize("most,rounds", [(shingles.OPEN, shingles.ROUNDS), (0, 3)])
-def test_similar_documents_keep_one(spark, monkeypatch, most, rounds):
+@pytest.mark.parametrize("most,rounds,bits", [(links.OPEN, links.ROUNDS, shingles.MOST_BITS), (0, 1, 64)])
+def test_similar_documents_keep_one(spark, monkeypatch, most, rounds, bits):
     """Edited copies on both sides of 0.8, chains, a hot group, and documents that only share a long passage."""
-    monkeypatch.setattr(shingles, "OPEN", most)
-    monkeypatch.setattr(shingles, "ROUNDS", rounds)
+    monkeypatch.setattr(links, "OPEN", most)
+    monkeypatch.setattr(links, "ROUNDS", rounds)
+    monkeypatch.setattr(shingles, "MOST_BITS", bits)  # full: nearly all rows may be meant
     rows = documents() + [(1000 + k, prose(1000 + k, 200), "en", "a", 0) for k in range(20)]
     rows += [(2000 + 10 * k + n, edited(prose(1000 + k, 200), k * 10 + n, n), "en", "a", 0) for k in range(20) for n in (1, 3, 4, 5, 7)]
     rows += [(3000 + k, edited(prose(5, 120), k, k % 3), "en", "a", 0) for k in range(80)]
