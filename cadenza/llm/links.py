@@ -29,7 +29,7 @@ from .simhash import _join
 
 OPEN = 20  # open pairs for each row of a bucket, at most, before they are decided one by one
 ROUNDS = 5  # at most; a round that leaves over half of the open pairs is the last
-SMALL = 64  # nodes of a bucket that a self-join handles
+SMALL = 8  # nodes of a bucket that a self-join handles
 BLOCK = 1024
 COARSE = 256  # bits of the first screen within a block
 
