@@ -6,7 +6,7 @@ partial counts; Spark adds them up. A language keeps the terms that occur in at
 occurrences of V kept terms, a group gives a term that occurs n times the share p = 1 + floor(10^9 (n + 5) / (N + 5 V)), all in
 whole numbers.
 
-The terms of a language are dealt to shards by hash, so that one shard holds a table of at most CELLS (source, term)
+The terms of a language are dealt to shards by hash, so that one shard holds a table of about CELLS (source, term)
 shares; a shard adds up the differences of its terms for every pair of sources, and the sums of the shards are added. So a
 language or source with a third of all rows is spread, and no task sees a whole vocabulary. All pairs of sources of a language
 are the result itself; documents never meet.
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, map_texts
 
 BETWEEN_TERMS = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
-CELLS = 4_000_000  # shares that one shard holds at a time
+CELLS = 100_000  # shares that one shard holds at a time, or as many as pairs of sources up to 4,000,000
 HELD = 400_000  # partial counts that a task holds before it merges or hands them out
 KEYS = ["lang", "source", "term"]
 
@@ -108,6 +108,11 @@ def kept_terms(docs: DataFrame, scratch: Scratch, least_docs: int) -> tuple[Data
     return groups, terms.drop("k")
 
 
+def shards() -> str:
+    """SQL of the number of shards of a language; a shard hands out a sum for each pair of sources, so it holds no fewer shares."""
+    return f"cast(greatest(1, ceil(v * sources / greatest({CELLS}, least(sources * sources, 4000000)))) as int)"
+
+
 def shard_sums(key: tuple, shares: pa.Table, groups: pa.Table) -> pa.Table:
     """lang, source, item, value: the differences of one shard's terms, added up per pair of sources."""
     sources = groups.column("source").to_pylist()
@@ -131,14 +136,14 @@ def audit(docs: DataFrame, least_docs: int = 30, top: int = 50) -> DataFrame:
     scratch = Scratch(docs.sparkSession)
     groups, terms = kept_terms(docs, scratch, least_docs)
     shares = terms.join(groups, ["lang", "source"]).withColumns({
-        "p": F.expr(share("n", "total")), "q": F.expr(share("lang_n", "lang_total")), "shards": F.expr(f"greatest(1, ceil(v * sources / {CELLS}))")})
+        "p": F.expr(share("n", "total")), "q": F.expr(share("lang_n", "lang_total")), "shards": F.expr(shards())})
 
     more = shares.where("p > q").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), F.expr("p - q").alias("value"))
     by_group = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     more = more.withColumn("rank", F.row_number().over(by_group)).where(F.col("rank") <= top)
 
     dealt = shares.select("lang", F.expr("cast(pmod(xxhash64(term), shards) as int)").alias("shard"), "source", "term", "p")
-    base = groups.select("lang", F.expr(f"explode(sequence(0, cast(greatest(1, ceil(v * sources / {CELLS})) as int) - 1))").alias("shard"), "source",
+    base = groups.select("lang", F.expr(f"explode(sequence(0, {shards()} - 1))").alias("shard"), "source",
                          F.expr(f"if(v = 0, 0L, {share('0', 'total')})").alias("base"))
     sums = dealt.groupBy("lang", "shard").cogroup(base.groupBy("lang", "shard")).applyInArrow(shard_sums, "lang string, source string, item string, value long")
     sums = sums.groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))

@@ -115,7 +115,7 @@ def plain_audit(rows, least_docs, top):
     return sorted(out)
 
 
-@pytest.mark.parametrize("cells,held,least", [(4_000_000, 400_000, 30), (12, 4, 2)])
+@pytest.mark.parametrize("cells,held,least", [(100_000, 400_000, 30), (12, 4, 2)])
 def test_audit(spark, monkeypatch, cells, held, least):
     monkeypatch.setattr(divergence, "CELLS", cells)
     monkeypatch.setattr(divergence, "HELD", held)
