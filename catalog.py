@@ -672,6 +672,13 @@ def _(c):
     return ev.best_parameters(rows).selectExpr("param_id", f"{m6('objective')} as objective_e6")
 
 
+@query("k6_ranked_sweep")
+def _(c):
+    from cadenza.sources import sinks
+    rows = parameter_sweep(c).selectExpr("param_id", "param_id = 2 as is_default", "majmin_e6 / 1e6D as objective", "root_e6 / 1e6D as local_key")
+    return sinks.ranked_sweep(rows).selectExpr("rank", "param_id", f"{m6('objective')} as objective_e6", "eligible", "best")
+
+
 # ---------------------------------------------------------------- sources and sinks over texts derived from the corpus
 
 @query("s1_chart_frames")
@@ -742,10 +749,23 @@ def _(c):
 def _(c):
     from cadenza.sources import documents as docs
     songs = c.view.groupBy("song_id").agg(F.concat_ws(" ", F.sort_array(F.collect_list("q1"))).alias("text"), F.sum("event_id").alias("ids"))
-    both, missing = docs.pair_annotations(songs.select("song_id", "text"), songs.where("ids % 3 > 0").select("song_id", "text"))
+    both, missing = docs.pair_annotations(songs.where("ids % 4 > 0").select("song_id", "text"), songs.where("ids % 3 > 0").select("song_id", "text"))
     return both.select("song_id", "split").unionByName(missing.selectExpr("song_id", "problem as split"))
 
 
+@query("s9_written_corpus")
+def _(c):
+    """The paired corpus written by split, first a part of it, then all, then all again: what each run wrote and what is there."""
+    import uuid
+    from cadenza.sources import documents as docs, sinks
+    songs = c.view.groupBy("song_id").agg(F.concat_ws(" ", F.sort_array(F.collect_list("q1"))).alias("text"), F.sum("event_id").alias("ids"))
+    both = seq.stage(docs.pair_annotations(songs.select("song_id", "text"), songs.select("song_id", "text"))[0])
+    folder = f"{seq.staging_dir(c.spark)}/corpus-{uuid.uuid4().hex}"
+    runs = [sinks.write_by_split(x, folder).selectExpr(f"{k} as run", "song_id", "split") for k, x in enumerate([both.where("song_id % 3 = 0"), both, both])]
+    there = c.spark.read.parquet(folder).selectExpr("9 as run", "song_id", "split")
+    return runs[0].unionByName(runs[1]).unionByName(runs[2]).unionByName(there)
+
+
 @query("s10_section_files")
 def _(c):
     from cadenza.sources import documents as docs
@@ -815,23 +835,32 @@ def _(c):
     return meter.number_beats(*_beat_times(c)).selectExpr("song_id", "cast(start * 2 as int) as start_e2", "cast(end * 2 as int) as end_e2", "bar", "beat_in_bar")
 
 
-# ---------------------------------------------------------------- decoding: vocabulary of 24 triads and no-chord
+# ---------------------------------------------------------------- decoding: vocabulary of the corpus's chords and no-chord
+
+PAIRS = {"dom>maj": 0.25, "dom>min": 0.1, "min>dom": 0.2, "hdim>dom": 0.3}  # prior of quality changes
+
 
 def _vocab(c: Corpus) -> DataFrame:
-    """Vocabulary = the corpus's distinct chords reduced to triads, numbered, with no-chord first."""
+    """The distinct chords of both candidates, sevenths included, numbered, with no-chord first."""
     from cadenza.operators import decode
     return c.get("vocab", lambda: decode.vocabulary(seq.sql(f"""
-        select cast(row_number() over (order by minor, root) as int) as chord_idx, concat({th.note_name('root')}, if(minor, ':min', ':maj')) as label
-        from (select distinct root1 as root, explode(array(false, true)) as minor from {{v}} where root1 is not null)
+        select cast(row_number() over (order by q, root) as int) as chord_idx, concat({th.note_name('root')}, ':', q) as label
+        from (select distinct root1 as root, q1 as q from {{v}} where root1 is not null union select distinct root2, q2 from {{v}} where root2 is not null)
         union all select 0, 'N'""", v=c.view)))
 
 
+def _places(c: Corpus) -> DataFrame:
+    """The view with the numbers of its two chords in the vocabulary: i1, i2 (no-chord is 0) and the vocabulary's size."""
+    v = _vocab(c).select("chord_idx", "label")
+    label = lambda k: f"coalesce(concat({th.note_name(f'root{k}')}, ':', q{k}), 'N')"
+    return c.get("places", lambda: seq.sql(f"""
+        select f.*, a.chord_idx as i1, b.chord_idx as i2, {v.count()} as chords
+        from {{f}} f join {{v}} a on a.label = {label(1)} join {{v}} b on b.label = {label(2)}""", f=c.view, v=v))
+
+
 def _mass(c: Corpus) -> DataFrame:
     """Per bar: chord masses of the frames that start in it."""
-    minor = "if({} in ('min', 'min7', 'dim', 'hdim7'), 12, 0)"
-    return c.view.selectExpr("song_id", "bar", "cast(start_beat as double) as time",
-                             f"coalesce(root1 + 1 + {minor.format('q1')}, 0) as i1", f"coalesce(root2 + 1 + {minor.format('q2')}, 0) as i2",
-                             "p1_permille / 1000.0D as p1", "p2_permille / 1000.0D as p2")
+    return _places(c).selectExpr("song_id", "bar", "cast(start_beat as double) as time", "i1", "i2", "chords", "p1_permille / 1000.0D as p1", "p2_permille / 1000.0D as p2")
 
 
 def _bar_beats(c: Corpus) -> DataFrame:
@@ -841,13 +870,13 @@ def _bar_beats(c: Corpus) -> DataFrame:
 
 def _observations(c: Corpus) -> DataFrame:
     from cadenza.operators import decode
-    f = _mass(c).selectExpr("song_id", "time", "transform(sequence(0, 24), i -> ln(0.01D + if(i = i1, p1, 0D) + if(i = i2, p2, 0D))) as loglik")
+    f = _mass(c).selectExpr("song_id", "time", "transform(sequence(0, chords - 1), i -> ln(0.01D + if(i = i1, p1, 0D) + if(i = i2, p2, 0D))) as loglik")
     return c.get("observations", lambda: decode.beat_observations(f, _bar_beats(c), _vocab(c), c.params))
 
 
 def _posteriors(c: Corpus) -> DataFrame:
     from cadenza.operators import decode
-    return c.get("posteriors", lambda: decode.decode_beats(_observations(c), _bar_beats(c), decode.transition_table(_vocab(c), c.params), c.params))
+    return c.get("posteriors", lambda: decode.decode_beats(_observations(c), _bar_beats(c), decode.transition_table(_vocab(c), c.params, PAIRS), c.params))
 
 
 @query("a24_beat_observations")
@@ -864,7 +893,7 @@ def _(c):
 @query("w20_transitions")
 def _(c):
     from cadenza.operators import decode
-    t = decode.transition_table(_vocab(c), c.params)
+    t = decode.transition_table(_vocab(c), c.params, PAIRS)
     v = _vocab(c).select("chord_idx", "label")
     return seq.sql(f"""select a.label as src, b.label as dst, {m6('t.score')} as score_e6 from {{t}} t join {{v}} a on a.chord_idx = t.src
                        join {{v}} b on b.chord_idx = t.dst""", t=t, v=v)
@@ -878,15 +907,28 @@ def _(c):
 @query("t1_top_candidates")
 def _(c):
     from cadenza.operators import decode
-    post = c.view.selectExpr("song_id", "frame_idx as beat", "transform(sequence(0, 24), i -> if(i = coalesce(root1 + 1, 0), p1_permille / 1000.0D, 0D) "
-                             "+ if(i = coalesce(root2 + 13, 0) and q2 is not null, p2_permille / 10000.0D, 0D)) as post")
+    post = _places(c).selectExpr("song_id", "frame_idx as beat", "transform(sequence(0, chords - 1), i -> if(i = i1, p1_permille / 1000.0D, 0D) "
+                                 "+ if(i = i2 and q2 is not null, p2_permille / 10000.0D, 0D)) as post")
     return decode.top_candidates(post, _vocab(c), c.params).selectExpr("song_id", "beat", "rank", "label", f"{m6('prob')} as prob_e6")
 
 
+def _bass(c: Corpus) -> DataFrame:
+    return c.view.selectExpr("song_id", "frame_idx", "cast(start_beat as double) as time", "transform(sequence(0, 12), i -> if(i = coalesce(root1 + 1, 0), p1_permille / 1000.0D, 0.01D)) as bass")
+
+
+@query("a24_beat_bass")
+def _(c):
+    """Mean bass probabilities per bar and the note they name."""
+    from cadenza.operators import decode
+    probs = decode.bass_observations(_bass(c), _bar_beats(c))
+    named = decode.bass_notes(probs)
+    return seq.sql(f"select n.song_id, n.beat, n.bass_note, {m6('n.bass_prob')} as prob_e6, {m6('aggregate(p.probs, 0D, (a, x) -> a + x)')} as sum_e6 from {{n}} n join {{p}} p on p.song_id = n.song_id and p.beat = n.beat", n=named, p=probs)
+
+
 @query("t2_bass_notes")
 def _(c):
     from cadenza.operators import decode
-    b = c.view.selectExpr("song_id", "frame_idx as beat", "transform(sequence(0, 12), i -> if(i = coalesce(root1 + 1, 0), p1_permille / 1000.0D, 0.01D)) as probs")
+    b = _bass(c).selectExpr("song_id", "frame_idx as beat", "bass as probs")
     return decode.bass_notes(b).selectExpr("song_id", "beat", "bass_note", f"{m6('bass_prob')} as prob_e6")
 
 
@@ -895,20 +937,36 @@ def _(c):
     from cadenza.operators import decode, report
     top = decode.top_candidates(_posteriors(c), _vocab(c), c.params)
     tempo = c.view.select("song_id").distinct().selectExpr("song_id", "1.0D as beat_period")
-    return decode.assemble_frames(_bar_beats(c), top, tempo, report.marker_sections(c.frames(), c.size)).selectExpr(
-        "song_id", "frame_idx", "cast(time as int) as time", "cast(beats as int) as beats", "section", "size(candidates) as n", "candidates[0].label as label")
+    bass = decode.bass_notes(decode.bass_observations(_bass(c), _bar_beats(c)))
+    return decode.assemble_frames(_bar_beats(c), top, tempo, report.marker_sections(c.frames(), c.size), bass).selectExpr(
+        "song_id", "frame_idx", "cast(time as int) as time", "cast(beats as int) as beats", "section", "size(candidates) as n", "candidates[0].label as label",
+        "bass.note as bass", "cast(round(bass.prob * 10000) as int) as bass_e4")
 
 
 # ---------------------------------------------------------------- structure
 
-def _bars(c: Corpus) -> DataFrame:
-    from cadenza.operators import structure as st
+_MASK = f"({th.lookup({q: th.mask(r['semis']) for q, r in th.QUALITIES.items()}, 'q1')})"
+
+
+def _beat_features(c: Corpus) -> DataFrame:
     minor = "if({} in ('min', 'min7', 'dim', 'hdim7'), 12, 0)"
     b = c.view.selectExpr("song_id", "bar", "start_beat as beat", "start_beat * 0.5D as at",
                           f"transform(sequence(0, 23), i -> if(i = root1 + {minor.format('q1')}, p1_permille / 1000.0D, 0D)) as identity0", "section", "p1_permille", "beats")
-    b = b.selectExpr("song_id", "bar", "beat", "at", "transform(identity0, x -> coalesce(x, 0D)) as identity", "array_repeat(0D, 12) as chroma",
+    b = b.selectExpr("song_id", "bar", "beat", "at", "transform(identity0, x -> coalesce(x, 0D)) as identity", f"transform(sequence(0, 11), i -> if(root1 is null, 0D, cast(shiftright({th.rotl12(_MASK, 'root1')}, i) & 1 as double) * p1_permille / 1000.0D)) as chroma",
                      "array(p1_permille / 100.0D, cast(beats as double)) as timbre", "if(section = 'Chorus', -10D, -18D) as loud")
-    return c.get("bars", lambda: st.bar_features(b, 4, c.params))
+    return b
+
+
+def _bars(c: Corpus) -> DataFrame:
+    from cadenza.operators import structure as st
+    return c.get("bars", lambda: st.bar_features(_beat_features(c), 4, c.params))
+
+
+def _mixed_windows(c: Corpus) -> DataFrame:
+    """Windows in which chord identity and chroma weigh the same."""
+    from cadenza.operators import structure as st
+    p = P.with_overrides({"structure": {"identity_weight": 0.5}})
+    return c.get("mixed_windows", lambda: st.windows(st.bar_features(_beat_features(c), 4, p), p))
 
 
 def _windows(c: Corpus) -> DataFrame:
@@ -938,9 +996,18 @@ def _(c):
 
 @query("b2_repetition_band")
 def _(c):
+    """What novelty reads: every pair of bars that one kernel meets."""
+    from cadenza.operators import structure as st
+    half = c.params["structure"]["kernel_bars"]
+    return st.repetition(_windows(c), 2 * half - 1).selectExpr("song_id", "i", "j", f"{m6('sims[0]')} as sim_e6")
+
+
+@query("j15_repetition_pairs")
+def _(c):
+    """What section pairs read: all bars against all later ones, over all transpositions."""
     from cadenza.operators import structure as st
-    r = st.repetition(_windows(c), range(1, 3), range(12))
-    return r.selectExpr("song_id", "shift", "i", "j", f"{m6('sim')} as sim_e6")
+    r = st.repetition(_mixed_windows(c)).where("i < j")
+    return r.selectExpr("song_id", "i", "j", f"{m6('sims[0]')} as sim_e6", f"{m6('array_max(sims)')} as best_e6", f"{m6('aggregate(sims, 0D, (a, x) -> a + x)')} as sum_e6")
 
 
 @query("b3_timbre_scale")

@@ -762,8 +762,16 @@ oracle("s10_section_files", "cf", """
   FROM (SELECT *, max(event_id % 4) OVER (PARTITION BY song_id) AS top FROM cf) GROUP BY song_id""")
 ORACLES["s11_newest_recognition"] = "SELECT user_id AS source_path, arg_max(event_id, ts) AS doc_id FROM events GROUP BY user_id"
 ORACLES["s9_paired_annotations"] = compose("""
-  SELECT c.song_id, CASE WHEN c.ids % 3 > 0 THEN s.split ELSE 'no key annotation' END AS split
-  FROM (SELECT song_id, sum(event_id) AS ids FROM cf GROUP BY song_id) c JOIN (""" + ORACLES["f14_song_split"] + """) s ON s.song_id = c.song_id""", "cf")
+  SELECT c.song_id, CASE WHEN c.ids % 3 > 0 AND c.ids % 4 > 0 THEN s.split WHEN c.ids % 4 > 0 THEN 'no key annotation' ELSE 'no chord annotation' END AS split
+  FROM (SELECT song_id, sum(event_id) AS ids FROM cf GROUP BY song_id) c JOIN (""" + ORACLES["f14_song_split"] + """) s ON s.song_id = c.song_id
+  WHERE c.ids % 3 > 0 OR c.ids % 4 > 0""", "cf")
+ORACLES["s9_written_corpus"] = compose("""
+  SELECT run, c.song_id, s.split FROM (SELECT DISTINCT song_id FROM cf) c JOIN (""" + ORACLES["f14_song_split"] + """) s ON s.song_id = c.song_id,
+    (SELECT unnest([0, 1, 9]) AS run) WHERE run = 9 OR (c.song_id % 3 = 0) = (run = 0)""", "cf")
+oracle("k6_ranked_sweep", "sweep", """
+  SELECT CAST(row_number() OVER (ORDER BY majmin_e6 DESC, param) AS INT) AS rank, param AS param_id, majmin_e6 AS objective_e6, ok AS eligible,
+         param = (SELECT coalesce(arg_max(param, majmin_e6 * 100 - param) FILTER (ok2), 2) FROM (SELECT *, param <> 2 AND root_e6 >= (SELECT root_e6 - 10000 FROM sweep WHERE param = 2) AS ok2 FROM sweep)) AS best
+  FROM (SELECT *, param = 2 OR root_e6 >= (SELECT root_e6 - 10000 FROM sweep WHERE param = 2) AS ok FROM sweep)""")
 oracle("k4_label_export", "seg", """
   SELECT song_id, seg, printf('%.3f', start / 2.0) || chr(9) || printf('%.3f', stop / 2.0) || chr(9) || harte AS line FROM seg""")
 
@@ -780,20 +788,60 @@ oracle("w10_beat_numbering", "bt bdur", """
 oracle("w18_metrical_cost", "cf", """
   SELECT song_id, CAST(row_number() OVER (PARTITION BY song_id ORDER BY bar) - 1 AS INT) AS beat, CASE WHEN bar % 4 = 1 THEN 0 ELSE 500000 END AS cost_e6
   FROM (SELECT DISTINCT song_id, bar FROM cf)""")
-_IDX = lambda r, q: f"coalesce({r} + 1 + CASE WHEN {q} IN ('min','min7','dim','hdim7') THEN 12 ELSE 0 END, 0)"
-oracle("a24_beat_observations", "cf", f"""
-  SELECT song_id, beat, CAST(i AS INT) AS chord_idx, {m6('1.5 * avg(ln(0.01 + CASE WHEN i = i1 THEN p1 ELSE 0 END + CASE WHEN i = i2 THEN p2 ELSE 0 END))')} AS obs_e6 FROM (
-    SELECT song_id, CAST(dense_rank() OVER (PARTITION BY song_id ORDER BY bar) - 1 AS INT) AS beat, {_IDX('root1', 'q1')} AS i1, {_IDX('root2', 'q2')} AS i2,
-           p1_permille / 1000.0::DOUBLE AS p1, p2_permille / 1000.0::DOUBLE AS p2 FROM cf), (SELECT unnest(range(25)) AS i) GROUP BY song_id, beat, i""")
+_LABEL = lambda r, q: f"coalesce({NOTES}[{r} + 1] || ':' || {q}, 'N')"
 cte("vocab", "cf", f"""
-  SELECT {NOTES}[root + 1] || ':' || m AS label, root, m FROM (SELECT DISTINCT root1 AS root, unnest(['maj', 'min']) AS m FROM cf WHERE root1 IS NOT NULL) UNION ALL SELECT 'N', NULL, 'N'""")
-oracle("w20_transitions", "vocab", f"""
-  SELECT a.label AS src, b.label AS dst, {m6("CASE WHEN a.label = b.label THEN 0 WHEN a.root IS NULL OR b.root IS NULL THEN -2.0 ELSE -1 + [-1.0,-1.6,-0.8,-1.0,-1.0,-0.3,-1.8,-0.7,-1.0,-0.9,-0.8,-1.5][(b.root - a.root + 12) % 12 + 1] END")} AS score_e6
+  SELECT row_number() OVER (ORDER BY q, root) AS idx, {NOTES}[root + 1] || ':' || q AS label, root, q
+  FROM (SELECT DISTINCT root1 AS root, q1 AS q FROM cf WHERE root1 IS NOT NULL UNION SELECT DISTINCT root2, q2 FROM cf WHERE root2 IS NOT NULL)
+  UNION ALL SELECT 0, 'N', NULL, 'N'""")
+cte("places", "cf vocab", f"""
+  SELECT f.*, CAST(dense_rank() OVER (PARTITION BY song_id ORDER BY bar) - 1 AS INT) AS beat, a.idx AS i1, b.idx AS i2, p1_permille / 1000.0::DOUBLE AS p1, p2_permille / 1000.0::DOUBLE AS p2
+  FROM cf f JOIN vocab a ON a.label = {_LABEL('f.root1', 'f.q1')} JOIN vocab b ON b.label = {_LABEL('f.root2', 'f.q2')}""")
+cte("obs", "places vocab", """
+  SELECT song_id, beat, idx, 1.5 * avg(ln(0.01 + CASE WHEN idx = i1 THEN p1 ELSE 0 END + CASE WHEN idx = i2 THEN p2 ELSE 0 END)) + CASE WHEN any_value(v.q) IN ('7','maj7','min7','hdim7') THEN 1.0 ELSE 0 END AS obs
+  FROM places, vocab v GROUP BY song_id, beat, idx""")
+oracle("a24_beat_observations", "obs", f"SELECT song_id, beat, CAST(idx AS INT) AS chord_idx, {m6('obs')} AS obs_e6 FROM obs")
+_K = lambda x: CLS.format(x)
+cte("trans", "vocab", f"""
+  SELECT a.idx AS src, b.idx AS dst, a.label AS src_label, b.label AS dst_label, CASE WHEN a.idx = b.idx THEN 0 WHEN a.root IS NULL OR b.root IS NULL THEN -2.0::DOUBLE
+    ELSE -1 + [-1.0,-1.6,-0.8,-1.0,-1.0,-0.3,-1.8,-0.7,-1.0,-0.9,-0.8,-1.5][(b.root - a.root + 12) % 12 + 1]
+         + CASE {_K('a.q')} || '>' || {_K('b.q')} WHEN 'dom>maj' THEN 0.25 WHEN 'dom>min' THEN 0.1 WHEN 'min>dom' THEN 0.2 WHEN 'hdim>dom' THEN 0.3 ELSE 0 END END AS score
   FROM vocab a, vocab b""")
+oracle("w20_transitions", "trans", f"SELECT src_label AS src, dst_label AS dst, {m6('score')} AS score_e6 FROM trans")
+# forward and backward over the beats of all songs at once; a change into a beat off the bar's first position costs half
+cte("ob", "obs cf", """
+  SELECT o.*, exp(obs - max(obs) OVER (PARTITION BY o.song_id, o.beat)) AS seen, CASE WHEN c.bar % 4 = 1 THEN 0.0 ELSE 0.5 END AS extra, max(o.beat) OVER (PARTITION BY o.song_id) AS last
+  FROM obs o JOIN (SELECT song_id, bar, row_number() OVER (PARTITION BY song_id ORDER BY bar) - 1 AS beat FROM (SELECT DISTINCT song_id, bar FROM cf)) c ON c.song_id = o.song_id AND c.beat = o.beat""")
+cte("fwd", "ob trans", """
+  SELECT song_id, 0 AS beat, idx, seen / sum(seen) OVER (PARTITION BY song_id) AS a, obs AS best, idx AS came FROM ob WHERE beat = 0
+  UNION ALL
+  SELECT song_id, beat, idx, reach / sum(reach) OVER (PARTITION BY song_id), best, came FROM (
+    SELECT song_id, beat, idx, sum(a * exp(way)) * any_value(seen) AS reach, max(val) + any_value(obs) AS best, min(src) FILTER (val >= top - 1e-9) AS came FROM (
+      SELECT f.song_id, o.beat, o.idx, o.seen, o.obs, t.src, f.a, t.score - CASE WHEN t.src <> t.dst THEN o.extra ELSE 0 END AS way,
+             f.best + t.score - CASE WHEN t.src <> t.dst THEN o.extra ELSE 0 END AS val,
+             max(f.best + t.score - CASE WHEN t.src <> t.dst THEN o.extra ELSE 0 END) OVER (PARTITION BY f.song_id, o.idx) AS top
+      FROM fwd f JOIN trans t ON t.src = f.idx JOIN ob o ON o.song_id = f.song_id AND o.beat = f.beat + 1 AND o.idx = t.dst) GROUP BY song_id, beat, idx)""")
+cte("bwd", "ob trans", """
+  SELECT song_id, beat, idx, 1.0::DOUBLE AS b FROM ob WHERE beat = last
+  UNION ALL
+  SELECT song_id, beat, idx, b / sum(b) OVER (PARTITION BY song_id) FROM (
+    SELECT o.song_id, o.beat - 1 AS beat, t.src AS idx, sum(w.b * o.seen * exp(t.score - CASE WHEN t.src <> t.dst THEN o.extra ELSE 0 END)) AS b
+    FROM bwd w JOIN ob o ON o.song_id = w.song_id AND o.beat = w.beat AND o.idx = w.idx JOIN trans t ON t.dst = o.idx WHERE o.beat > 0 GROUP BY o.song_id, o.beat, t.src)""")
+cte("post", "fwd bwd", "SELECT song_id, beat, idx, a * b / sum(a * b) OVER (PARTITION BY song_id, beat) AS p FROM fwd JOIN bwd USING (song_id, beat, idx)")
+cte("way", "fwd", """
+  SELECT song_id, beat, min(idx) AS idx FROM (SELECT *, max(beat) OVER (PARTITION BY song_id) AS last, max(best) OVER (PARTITION BY song_id, beat) AS top FROM fwd) WHERE beat = last AND best >= top - 1e-9 GROUP BY song_id, beat
+  UNION ALL
+  SELECT w.song_id, w.beat - 1, f.came FROM way w JOIN fwd f ON f.song_id = w.song_id AND f.beat = w.beat AND f.idx = w.idx WHERE w.beat > 0""")
+oracle("w19_chord_decoding", "post way", f"""
+  SELECT song_id, beat, CAST(idx AS INT) AS path_idx, {m6('top')} AS top_e6 FROM way JOIN (SELECT song_id, beat, max(p) AS top FROM post GROUP BY song_id, beat) USING (song_id, beat)""")
 oracle("t1_top_candidates", "cf", f"""
   SELECT song_id, beat, CAST(row_number() OVER (PARTITION BY song_id, beat ORDER BY p DESC) - 1 AS INT) AS rank, label, {m6('p')} AS prob_e6 FROM (
-    SELECT song_id, frame_idx AS beat, CASE WHEN root1 IS NULL THEN 'N' ELSE {NOTES}[root1 + 1] || ':maj' END AS label, p1_permille / 1000.0::DOUBLE AS p FROM cf
-    UNION ALL SELECT song_id, frame_idx, {NOTES}[root2 + 1] || ':min', p2_permille / 10000.0::DOUBLE FROM cf WHERE q2 IS NOT NULL AND p2_permille >= 200)""")
+    SELECT song_id, frame_idx AS beat, {_LABEL('root1', "CASE WHEN root1 IS NULL THEN NULL ELSE q1 END")} AS label, p1_permille / 1000.0::DOUBLE AS p FROM cf
+    UNION ALL SELECT song_id, frame_idx, {_LABEL('root2', 'q2')}, p2_permille / 10000.0::DOUBLE FROM cf WHERE q2 IS NOT NULL AND p2_permille >= 200)""")
+cte("bass", "places", """
+  SELECT song_id, beat, tone, avg(CASE WHEN tone = coalesce(root1 + 1, 0) THEN p1 ELSE 0.01 END) AS p FROM places, (SELECT CAST(unnest(range(13)) AS INT) AS tone) GROUP BY song_id, beat, tone""")
+cte("bassnote", "bass", f"""
+  SELECT *, CASE WHEN tone > 0 THEN {NOTES}[tone] END AS note FROM (SELECT song_id, beat, arg_max(tone, (p, -tone)) AS tone, max(p) AS p, sum(p) AS s FROM bass GROUP BY song_id, beat)""")
+oracle("a24_beat_bass", "bassnote", f"SELECT song_id, beat, note AS bass_note, {m6('p')} AS prob_e6, {m6('s')} AS sum_e6 FROM bassnote")
 oracle("t2_bass_notes", "cf", f"SELECT song_id, frame_idx AS beat, {NOTES}[root1 + 1] AS bass_note, {m6('p1_permille / 1000.0::DOUBLE')} AS prob_e6 FROM cf")
 oracle("b1_chord_templates", "cand", f"""
   SELECT DISTINCT harte AS label, CAST(coalesce(list_sum(list_transform({TONES.format('q')}, lambda i: pow(2, 11 - (root + i) % 12))), 0) AS INT) AS chroma_bits,
@@ -812,21 +860,148 @@ for _k in ("w10_beat_numbering", "a22_bar_features"):   # their final select car
 cte("slots", "cf", """
   SELECT b.song_id, b.bar_no, s.k, b.xs[least(s.k, len(b.xs) - 1) + 1] AS x FROM (
     SELECT song_id, CAST(row_number() OVER (PARTITION BY song_id ORDER BY bar) - 1 AS INT) AS bar_no, xs FROM (
-      SELECT song_id, bar, list(struct_pack(root := root1, minor := q1 IN ('min','min7','dim','hdim7'), p := CASE WHEN root1 IS NULL THEN 0 ELSE p1_permille / 1000.0::DOUBLE END) ORDER BY start_beat) AS xs
+      SELECT song_id, bar, list(struct_pack(root := root1, minor := q1 IN ('min','min7','dim','hdim7'), q := q1, p := CASE WHEN root1 IS NULL THEN 0 ELSE p1_permille / 1000.0::DOUBLE END) ORDER BY start_beat) AS xs
       FROM cf GROUP BY song_id, bar)) b, (SELECT unnest(range(4)) AS k) s""")
 cte("wslots", "slots", """
   SELECT song_id, bar_no, k, x FROM slots UNION ALL
   SELECT a.song_id, a.bar_no, a.k + 4, coalesce(b.x, a.x) FROM slots a LEFT JOIN slots b ON b.song_id = a.song_id AND b.bar_no = a.bar_no + 1 AND b.k = a.k""")
-oracle("b2_repetition_band", "wslots", f"""
-  SELECT a.song_id, r.shift, a.bar_no AS i, b.bar_no AS j,
-         {m6("least(greatest(sum(CASE WHEN a.x.root = (b.x.root + r.shift) % 12 AND a.x.minor = b.x.minor THEN a.x.p * b.x.p ELSE 0 END) / (CASE WHEN sqrt(sum(a.x.p * a.x.p)) > 1e-9 THEN sqrt(sum(a.x.p * a.x.p)) ELSE 1 END * CASE WHEN sqrt(sum(b.x.p * b.x.p)) > 1e-9 THEN sqrt(sum(b.x.p * b.x.p)) ELSE 1 END), 0), 1)")} AS sim_e6
-  FROM wslots a JOIN wslots b ON b.song_id = a.song_id AND b.k = a.k AND b.bar_no IN (a.bar_no + 1, a.bar_no + 2), (SELECT CAST(unnest(range(12)) AS INT) AS shift) r
-  GROUP BY a.song_id, r.shift, a.bar_no, b.bar_no""")
-
+_NORM = lambda x: f"CASE WHEN sqrt({x}) > 1e-9 THEN sqrt({x}) ELSE 1 END"
+cte("band", "wslots", f"""
+  SELECT a.song_id, a.bar_no AS i, b.bar_no AS j, least(greatest(sum(CASE WHEN a.x.root = b.x.root AND a.x.minor = b.x.minor THEN a.x.p * b.x.p ELSE 0 END)
+           / ({_NORM('sum(a.x.p * a.x.p)')} * {_NORM('sum(b.x.p * b.x.p)')}), 0), 1) AS sim
+  FROM wslots a JOIN wslots b ON b.song_id = a.song_id AND b.k = a.k AND b.bar_no BETWEEN a.bar_no AND a.bar_no + 7 GROUP BY a.song_id, a.bar_no, b.bar_no""")
+oracle("b2_repetition_band", "band", f"SELECT song_id, i, j, {m6('sim')} AS sim_e6 FROM band")
+# identity and chroma weigh the same: a shared chord class counts one, every shared pitch class one
+cte("chords", "cf", "SELECT DISTINCT root1 AS root, q1 AS q, q1 IN ('min','min7','dim','hdim7') AS minor FROM cf WHERE root1 IS NOT NULL")
+cte("alike", "chords", f"""
+  SELECT a.root AS ar, a.q AS aq, b.root AS br, b.q AS bq, r.shift, CASE WHEN a.minor = b.minor AND a.root = (b.root + r.shift) % 12 THEN 1 ELSE 0 END
+         + len(list_intersect({_PCS('a.root', 'a.q')}, list_transform({TONES.format('b.q')}, lambda i: (i + b.root + r.shift) % 12))) AS n
+  FROM chords a, chords b, (SELECT CAST(unnest(range(12)) AS INT) AS shift) r""")
+cte("wnorm", "wslots alike", f"""
+  SELECT song_id, bar_no, {_NORM('sum(coalesce(x.p * x.p * n, 0))')} AS norm FROM wslots LEFT JOIN alike ON ar = x.root AND br = x.root AND aq = x.q AND bq = x.q AND shift = 0 GROUP BY song_id, bar_no""")
+cte("turns", "wslots alike wnorm", """
+  SELECT s.song_id, s.i, s.j, s.shift, least(greatest(s.d / (x.norm * y.norm), 0), 1) AS sim
+  FROM (SELECT a.song_id, a.bar_no AS i, b.bar_no AS j, l.shift, sum(a.x.p * b.x.p * l.n) AS d
+        FROM wslots a JOIN wslots b ON b.song_id = a.song_id AND b.k = a.k AND b.bar_no > a.bar_no JOIN alike l ON ar = a.x.root AND aq = a.x.q AND br = b.x.root AND bq = b.x.q
+        GROUP BY a.song_id, a.bar_no, b.bar_no, l.shift) s
+  JOIN wnorm x ON x.song_id = s.song_id AND x.bar_no = s.i JOIN wnorm y ON y.song_id = s.song_id AND y.bar_no = s.j""")
+oracle("j15_repetition_pairs", "turns wnorm", f"""
+  SELECT a.song_id, a.bar_no AS i, b.bar_no AS j, {m6('coalesce(max(sim) FILTER (shift = 0), 0)')} AS sim_e6, {m6('coalesce(max(sim), 0)')} AS best_e6, {m6('coalesce(sum(sim), 0)')} AS sum_e6
+  FROM wnorm a JOIN wnorm b ON b.song_id = a.song_id AND b.bar_no > a.bar_no LEFT JOIN turns t ON t.song_id = a.song_id AND t.i = a.bar_no AND t.j = b.bar_no GROUP BY a.song_id, a.bar_no, b.bar_no""")
 cte("tvec", "cf", """
-  SELECT song_id, bar, [(a - avg(a) OVER w) / (stddev_pop(a) OVER w + 1e-6), (b - avg(b) OVER w) / (stddev_pop(b) OVER w + 1e-6), (l - avg(l) OVER w) / (stddev_pop(l) OVER w + 1e-6)] AS t
+  SELECT song_id, bar, row_number() OVER (PARTITION BY song_id ORDER BY bar) - 1 AS bar_no, [(a - avg(a) OVER w) / (stddev_pop(a) OVER w + 1e-6), (b - avg(b) OVER w) / (stddev_pop(b) OVER w + 1e-6), (l - avg(l) OVER w) / (stddev_pop(l) OVER w + 1e-6)] AS t
   FROM (SELECT song_id, bar, avg(p1_permille / 100.0::DOUBLE) AS a, avg(beats::DOUBLE) AS b, avg(CASE WHEN section = 'Chorus' THEN -10.0::DOUBLE ELSE -18.0 END) AS l FROM cf GROUP BY song_id, bar)
   WINDOW w AS (PARTITION BY song_id)""")
 oracle("b3_timbre_scale", "tvec", f"""
   SELECT song_id, {m6('coalesce(median(d) FILTER (d > 0), 1)')} AS sigma_e6
   FROM (SELECT a.song_id, sqrt(pow(a.t[1] - b.t[1], 2) + pow(a.t[2] - b.t[2], 2) + pow(a.t[3] - b.t[3], 2)) AS d FROM tvec a JOIN tvec b ON b.song_id = a.song_id AND a.bar <= b.bar) GROUP BY song_id""")
+cte("tdist", "tvec", "SELECT a.song_id, a.bar_no AS i, b.bar_no AS j, sqrt(pow(a.t[1] - b.t[1], 2) + pow(a.t[2] - b.t[2], 2) + pow(a.t[3] - b.t[3], 2)) AS d FROM tvec a JOIN tvec b ON b.song_id = a.song_id AND a.bar_no <= b.bar_no")
+cte("mixed", "tdist band", """
+  SELECT song_id, i, j, 0.5 * sim + 0.5 * exp(-d * d / (2 * sigma * sigma)) AS s FROM tdist JOIN band USING (song_id, i, j)
+  JOIN (SELECT song_id, coalesce(median(d) FILTER (d > 0), 1) AS sigma FROM tdist GROUP BY song_id) USING (song_id)""")
+cte("nov", "tvec mixed", """
+  SELECT song_id, bar_no, v / (max(v) OVER (PARTITION BY song_id) + 1e-9) AS novelty FROM (
+    SELECT b.song_id, b.bar_no, greatest(sum(m.s * exp(-0.125 * ((p + 0.5) * (p + 0.5) + (q + 0.5) * (q + 0.5))) * sign((p + 0.5) * (q + 0.5))), 0) AS v
+    FROM (SELECT *, max(bar_no) OVER (PARTITION BY song_id) AS last FROM tvec) b, (SELECT unnest(range(-4, 4)) AS p), (SELECT unnest(range(-4, 4)) AS q)
+    JOIN mixed m ON m.song_id = b.song_id AND m.i = least(least(greatest(b.bar_no + p, 0), last), least(greatest(b.bar_no + q, 0), last))
+      AND m.j = greatest(least(greatest(b.bar_no + p, 0), last), least(greatest(b.bar_no + q, 0), last)) GROUP BY b.song_id, b.bar_no)""")
+oracle("w13_novelty", "nov", f"SELECT song_id, CAST(bar_no AS INT) AS bar_no, {m6('novelty')} AS novelty_e6 FROM nov")
+# best score of every cut position, one after another, with the list of all earlier scores at hand
+_LEN = "CASE j + 1 - i WHEN 4 THEN 0.5::DOUBLE WHEN 8 THEN 1.0 WHEN 12 THEN 0.3 WHEN 16 THEN 1.0 ELSE CASE WHEN (j + 1 - i) % 4 = 0 THEN 0.3 ELSE -0.5 END END"
+cte("novs", "nov", "SELECT song_id, count(*) AS n, list(novelty ORDER BY bar_no) AS xs FROM nov GROUP BY song_id")
+cte("cutdp", "novs", f"""
+  SELECT song_id, n, xs, 0::BIGINT AS j, [0.0::DOUBLE] AS best, 0::BIGINT AS back FROM novs
+  UNION ALL
+  SELECT song_id, n, xs, j, list_append(best, list_max(c)), list_position(c, list_max(c)) - 1 FROM (
+    SELECT song_id, n, xs, j + 1 AS j, best, list_transform(range(j + 1), lambda i: CASE WHEN j + 1 - i < 4 AND NOT (i = 0 OR j + 1 = n) THEN -1e300
+        ELSE best[i + 1] + ({_LEN}) + CASE WHEN j + 1 < n THEN 2.0 * xs[j + 2] ELSE 0.0 END - 1.0 END) AS c
+    FROM cutdp WHERE j < n)""")
+cte("cutback", "cutdp", """
+  SELECT song_id, n, n AS stop, back AS start FROM cutdp WHERE j = n
+  UNION ALL
+  SELECT c.song_id, c.n, c.start, d.back FROM cutback c JOIN cutdp d ON d.song_id = c.song_id AND d.j = c.start WHERE c.start > 0""")
+oracle("w14_section_cuts", "cutback", """
+  SELECT song_id, CAST(row_number() OVER (PARTITION BY song_id ORDER BY stop) - 1 AS INT) AS sec, CAST(start AS INT) AS start_bar, CAST(stop AS INT) AS end_bar FROM cutback""")
+cte("secs", "cf", """
+  SELECT song_id, min(start_beat) AS start, max(start_beat + beats) AS stop, min(section) AS section FROM (
+    SELECT *, sum(f) OVER (PARTITION BY song_id ORDER BY frame_idx) AS grp FROM (
+      SELECT *, CASE WHEN lag(section) OVER (PARTITION BY song_id ORDER BY frame_idx) = section THEN 0 ELSE 1 END AS f FROM cf)) GROUP BY song_id, grp""")
+cte("barbeat", "cf", "SELECT song_id, bar, row_number() OVER (PARTITION BY song_id ORDER BY bar) - 1 AS beat FROM (SELECT DISTINCT song_id, bar FROM cf)")
+oracle("b9_assembled_frames", "post vocab secs barbeat bassnote", """
+  SELECT t.song_id, CAST(t.beat AS INT) AS frame_idx, CAST((b.bar - 1) * 4 AS INT) AS time, 4 AS beats, s.section, CAST(t.n AS INT) AS n, v.label, n.note AS bass, CAST(round(round(n.p, 4) * 10000) AS INT) AS bass_e4
+  FROM (SELECT song_id, beat, greatest(1, least(5, count(*) FILTER (p >= 0.02))) AS n, arg_max(idx, (p, -idx)) AS idx FROM post GROUP BY song_id, beat) t
+  JOIN vocab v USING (idx) JOIN barbeat b ON b.song_id = t.song_id AND b.beat = t.beat JOIN bassnote n ON n.song_id = t.song_id AND n.beat = t.beat
+  LEFT JOIN secs s ON s.song_id = t.song_id AND s.start <= (b.bar - 1) * 4 AND (b.bar - 1) * 4 < s.stop""")
+
+# the corpus report: weighted means of the per-song tables and counts of error categories
+_SAME = "a.root IS NOT DISTINCT FROM b.root"
+_LEVELS = {"root": _SAME, "majmin": f"{_SAME} AND ({_MM('a.q')} = {_MM('b.q')} OR {_MM('a.q')} = 'd')", "sevenths": f"{_SAME} AND (a.q = b.q OR a.q IN ('dim','hdim7'))"}
+for _k, _same in _LEVELS.items():
+    alignment(f"al_{_k}", f"CASE WHEN {_same} THEN 0 ELSE 10 END")
+cte("numsong", "r_seg e_seg", """
+  SELECT song_id, sum(CASE WHEN ar = br AND aq = bq THEN w ELSE 0 END) * 1.0 / sum(w) AS strict, sum(CASE WHEN ar = br THEN w ELSE 0 END) * 1.0 / sum(w) AS degree
+  FROM (SELECT a.song_id, a.root AS ar, b.root AS br, a.q AS aq, b.q AS bq, least(a.stop, b.stop) - greatest(a.start, b.start) AS w
+        FROM r_seg a JOIN e_seg b ON a.song_id = b.song_id AND a.start < b.stop AND b.start < a.stop WHERE a.root IS NOT NULL AND b.root IS NOT NULL) GROUP BY song_id""")
+cte("keytime", "tspan seg", """
+  SELECT (t.song_id % 12 - t.tonic + 12) % 12 AS d, least(t.stop, s.stop) - greatest(t.start, s.start) AS w
+  FROM tspan t JOIN seg s ON s.song_id = t.song_id AND s.start < t.stop AND t.start < s.stop WHERE s.root IS NOT NULL""")
+_ROWS = [("songs", "(SELECT count(*) FROM csong)")] + [(f"chord {n}", f"(SELECT sum({n} * d) / sum(d) FROM csong)") for n in ("root", "majmin", "sevenths", "mirex", "seg")]
+_ROWS += [(f"symbol error {k}", f"(SELECT sum(tenths / 10.0::DOUBLE) / sum(n) FROM al_{k}_end)") for k in _LEVELS]
+_ROWS += [("numeral agreement", "(SELECT avg(strict) FROM numsong)"), ("numeral degree agreement", "(SELECT avg(degree) FROM numsong)")]
+_ROWS += [("local key weighted", "(SELECT sum(w * CASE WHEN d = 0 THEN 1.0 WHEN d = 7 THEN 0.5 ELSE 0 END) / sum(w) FROM keytime)")]
+_ROWS += [(f"local key {n}", "(SELECT sum(CASE WHEN d = 0 THEN w ELSE 0 END) * 1.0 / sum(w) FROM keytime)") for n in ("exact", "tonic")]
+oracle("k3_evaluation_report", "csong numsong keytime " + " ".join(f"al_{k}_end" for k in _LEVELS),
+       "SELECT measure, value_e6 FROM (" + " UNION ALL ".join(f"SELECT '{n}' AS measure, {m6(x)} AS value_e6" for n, x in _ROWS)
+       + f" UNION ALL SELECT 'errors ' || category, CAST(sum(n) * 1000000 AS BIGINT) FROM ({ORACLES['a14_error_attribution']}) GROUP BY category)")
+
+
+# ---------------------------------------------------------------- tempo and bar lines
+def folded_period(name: str, times: str, fold: int, lo: float, hi: float) -> str:
+    """CTEs of the robust period of a song's times: mode of a smoothed histogram of gaps, then medians of folded gaps."""
+    cte(f"{name}_gap", "bt", f"SELECT * FROM (SELECT song_id, tm - lag(tm) OVER (PARTITION BY song_id ORDER BY tm) AS x FROM ({times})) WHERE x > 1e-3")
+    cte(f"{name}_0", f"{name}_gap", f"""
+      SELECT song_id, arg_max(base + (cell + 0.5) * 0.01, (n, -cell)) AS p FROM (
+        SELECT song_id, any_value(base) AS base, cell, sum(n) AS n FROM (
+          SELECT song_id, base, last, unnest([bin - 1, bin, bin + 1]) AS cell, n FROM (
+            SELECT g.song_id, r.lo - 0.005 AS base, CAST(ceil((r.hi - r.lo + 0.02) / 0.01 - 1e-9) AS INT) - 2 AS last, CAST(floor((g.x - r.lo + 0.005) / 0.01) AS INT) AS bin, count(*) AS n
+            FROM {name}_gap g JOIN (SELECT song_id, coalesce(min(x) FILTER (x BETWEEN {lo} AND {hi}), min(x))::DOUBLE AS lo, coalesce(max(x) FILTER (x BETWEEN {lo} AND {hi}), max(x))::DOUBLE AS hi
+              FROM {name}_gap GROUP BY song_id) r ON r.song_id = g.song_id AND g.x BETWEEN r.lo AND r.hi GROUP BY ALL)) WHERE cell BETWEEN 0 AND last GROUP BY song_id, cell) GROUP BY song_id""")
+    for k in (1, 2):
+        cte(f"{name}_{k}", f"{name}_gap {name}_{k - 1}", f"""
+          SELECT p.song_id, coalesce(quantile_cont(f.y, 0.5) FILTER (abs(f.y - p.p) / p.p < 0.12), any_value(p.p)) AS p FROM {name}_{k - 1} p LEFT JOIN (
+            SELECT g.song_id, g.x::DOUBLE / least(greatest(round_even(g.x::DOUBLE / p.p, 0), 1), {fold}) AS y FROM {name}_gap g JOIN {name}_{k - 1} p USING (song_id) WHERE g.x >= 0.7 * p.p) f
+            ON f.song_id = p.song_id GROUP BY p.song_id""")
+    return f"{name}_2"
+
+
+cte("tempo", f"{folded_period('pb', 'SELECT song_id, tm FROM bt', 4, 0.15, 2.5)} {folded_period('pd', 'SELECT song_id, tm FROM bt WHERE down', 3, 0.6, 6.0)} bt", """
+  SELECT song_id, bar / m AS p, bar AS d, CAST(m AS INT) AS m, n >= 3 AS has FROM (
+    SELECT *, CASE WHEN n >= 3 AND d IS NOT NULL THEN greatest(1, round_even(d / p, 0)) ELSE 4 END AS m, CASE WHEN n >= 3 AND d IS NOT NULL THEN d ELSE 4 * p END AS bar FROM (
+      SELECT b.song_id, CASE WHEN b.p < 0.25 THEN b.p * pow(2, ceil(log2(0.25 / b.p))) ELSE b.p END AS p, d.p AS d, c.n
+      FROM pb_2 b LEFT JOIN pd_2 d USING (song_id) JOIN (SELECT song_id, count(*) FILTER (down) AS n FROM bt GROUP BY song_id) c USING (song_id)))""")
+oracle("a21_tempo", "tempo", f"""
+  SELECT song_id, {m6('p')} AS beat_e6, {m6('d')} AS bar_e6, m AS beats_per_bar, CASE m WHEN 2 THEN '2 beats/bar (2/4 or 6/8)' WHEN 3 THEN '3/4' WHEN 4 THEN '4 beats/bar (4/4 or 12/8)' WHEN 6 THEN '6/8'
+    WHEN 8 THEN '8 beats/bar (4/4 at 8th level)' WHEN 9 THEN '9/8' WHEN 12 THEN '12/8' ELSE m || ' beats/bar' END AS time_signature FROM tempo""")
+_WHOLE = lambda g: f"(round_even(({g}) / d, 0) >= 1 AND abs(({g}) - round_even(({g}) / d, 0) * d) < 0.5 * p)"
+cte("dn", "bt tempo", """
+  SELECT *, row_number() OVER (PARTITION BY song_id ORDER BY tm) - 1 AS idx, lead(tm) OVER (PARTITION BY song_id ORDER BY tm) AS nxt FROM (
+    SELECT b.song_id, b.tm::DOUBLE AS tm, p, d FROM bt b JOIN tempo t USING (song_id) WHERE has AND down
+    UNION ALL SELECT b.song_id, min(tm)::DOUBLE, any_value(p), any_value(d) FROM bt b JOIN tempo t USING (song_id) WHERE NOT has GROUP BY b.song_id)""")
+cte("rep", "dn", f"""
+  SELECT song_id, idx, tm AS last, [tm] AS adds, NULL::INT AS odd FROM dn WHERE idx = 0
+  UNION ALL
+  SELECT song_id, idx, CASE WHEN drops THEN last ELSE tm END, CASE WHEN drops THEN [] WHEN NOT fits THEN [tm]
+         ELSE list_transform(range(1, k + 1), lambda j: CASE WHEN j = k THEN tm ELSE last + gap * j / k END) END, CASE WHEN NOT drops AND NOT fits THEN CAST(round_even(gap / p, 0) AS INT) END FROM (
+    SELECT n.song_id, n.idx, n.tm, r.last, n.p, n.d, n.tm - r.last AS gap, CAST(round_even((n.tm - r.last) / d, 0) AS BIGINT) AS k, {_WHOLE('n.tm - r.last')} AS fits,
+           round_even((n.tm - r.last) / p, 0) < 2 OR (NOT {_WHOLE('n.tm - r.last')} AND n.nxt IS NOT NULL AND {_WHOLE('n.nxt - r.last')}) AS drops
+    FROM rep r JOIN dn n ON n.song_id = r.song_id AND n.idx = r.idx + 1)""")
+cte("kept_bars", "rep", "SELECT song_id, idx, unnest(adds) AS tm, odd FROM rep")
+cte("last_bar", "kept_bars", "SELECT song_id, max(tm) AS last FROM kept_bars GROUP BY song_id")
+cte("barline", "kept_bars last_bar tempo bdur", """
+  SELECT song_id, tm, odd IS NOT NULL AS odd, row_number() OVER (PARTITION BY song_id ORDER BY tm) - 1 AS bar FROM (
+    SELECT song_id, tm, odd FROM kept_bars
+    UNION ALL SELECT l.song_id, l.last + d * unnest(range(1, CAST(ceil((dur - 0.5 * p - l.last) / d) AS BIGINT))), NULL FROM last_bar l JOIN tempo USING (song_id) JOIN bdur USING (song_id))""")
+oracle("w11_bar_lines", "barline", f"SELECT song_id, CAST(bar AS INT) AS bar, {m6('tm')} AS at_e6 FROM barline")
+oracle("a23_tempo_stats", "barline", f"""
+  SELECT song_id, CAST(any_value(n) AS INT) AS n_bars, {m6('CASE WHEN count(gap) > 1 THEN stddev_pop(gap) / avg(gap) ELSE 0 END')} AS cv_e6, CAST(count(*) FILTER (odd) AS INT) AS n_irregular
+  FROM (SELECT *, tm - lag(tm) OVER (PARTITION BY song_id ORDER BY tm) AS gap, count(*) OVER (PARTITION BY song_id) AS n FROM barline) GROUP BY song_id""")
