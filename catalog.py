@@ -951,8 +951,9 @@ _MASK = f"({th.lookup({q: th.mask(r['semis']) for q, r in th.QUALITIES.items()},
 def _beat_features(c: Corpus) -> DataFrame:
     minor = "if({} in ('min', 'min7', 'dim', 'hdim7'), 12, 0)"
     b = c.view.selectExpr("song_id", "bar", "start_beat as beat", "start_beat * 0.5D as at",
-                          f"transform(sequence(0, 23), i -> if(i = root1 + {minor.format('q1')}, p1_permille / 1000.0D, 0D)) as identity0", "section", "p1_permille", "beats")
-    b = b.selectExpr("song_id", "bar", "beat", "at", "transform(identity0, x -> coalesce(x, 0D)) as identity", f"transform(sequence(0, 11), i -> if(root1 is null, 0D, cast(shiftright({th.rotl12(_MASK, 'root1')}, i) & 1 as double) * p1_permille / 1000.0D)) as chroma",
+                          f"transform(sequence(0, 23), i -> if(i = root1 + {minor.format('q1')}, p1_permille / 1000.0D, 0D)) as identity0", "section", "p1_permille", "beats",
+                          f"if(root1 is null, 0, {th.rotl12(_MASK, 'root1')}) as pitches")
+    b = b.selectExpr("song_id", "bar", "beat", "at", "transform(identity0, x -> coalesce(x, 0D)) as identity", "transform(sequence(0, 11), i -> cast(shiftright(pitches, i) & 1 as double) * p1_permille / 1000.0D) as chroma",
                      "array(p1_permille / 100.0D, cast(beats as double)) as timbre", "if(section = 'Chorus', -10D, -18D) as loud")
     return b
 
