@@ -118,28 +118,3 @@ def plain_sigma(t):
 def test_timbre_scale(spark, tile):
     songs, wins = bar_rows(spark)
     assert {x.song_id: x.sigma for x in st.timbre_scale(wins, tile).collect()} == {k: plain_sigma(t) for k, (_, t) in songs.items()}
-
-
-@pytest.mark.parametrize("tile,reach", [(256, None), (7, None), (7, 5), (3, 7)])
-def test_repetition(spark, tile, reach):
-    songs, wins = bar_rows(spark)
-    got = {(x.song_id, x.i, x.j): x.sims for x in st.repetition(wins, reach, tile).collect()}
-    want = {}
-    for k, (v, _) in songs.items():
-        turned = [np.roll(v.reshape(len(v), -1, 12), r, axis=2).reshape(len(v), -1) for r in range(12)]
-        for i in range(len(v)):
-            for j in range(i, len(v) if reach is None else min(len(v), i + reach + 1)):
-                want[k, i, j] = [min(max(float(v[i] @ t[j]), 0.0), 1.0) for t in turned]
-    assert got.keys() == want.keys() and all(np.allclose(got[x], want[x], atol=1e-12) for x in want)
-
-
-@pytest.mark.parametrize("tile", [256, 5, 1])
-def test_novelty(spark, tile):
-    songs, wins = bar_rows(spark)
-    half = PARAMS["structure"]["kernel_bars"]
-    got = {(x.song_id, x.bar_no): x.novelty for x in st.novelty(wins, PARAMS, tile).collect()}
-    for k, (v, t) in songs.items():
-        d = np.sqrt(((t[:, None] - t[None]) ** 2).sum(axis=2))
-        pad = np.pad(0.5 * np.clip(v @ v.T, 0, 1) + 0.5 * np.exp(-d ** 2 / (2 * plain_sigma(t) ** 2)), half, mode="edge")
-        nov = np.maximum([(pad[i:i + 2 * half, i:i + 2 * half] * st.kernel(half)).sum() for i in range(len(v))], 0)
-        assert [got[k, i] for i in range(len(v))] == pytest.approx((nov / (nov.max() + 1e-9)).tolist(), abs=1e-9)
