@@ -118,3 +118,36 @@ def plain_sigma(t):
 def test_timbre_scale(spark, tile):
     songs, wins = bar_rows(spark)
     assert {x.song_id: x.sigma for x in st.timbre_scale(wins, tile).collect()} == {k: plain_sigma(t) for k, (_, t) in songs.items()}
+
+
+@pytest.mark.parametrize("size", [None, 2, 3])
+def test_segment_masses_add_up_in_frame_order(spark, size):
+    from cadenza.operators import segments as sg
+    r = random.Random(1)
+    probs = [[round(r.uniform(0.5, 0.7), 3) for _ in range(n)] for n in range(1, 41)]
+    rows = [(k, i, float(i), 1.0, "beat", [("C:maj", p), ("A:min", round(0.9 - p, 3))]) for k, x in enumerate(probs) for i, p in enumerate(x)]
+    r.shuffle(rows)
+    frames = spark.createDataFrame(rows, "song_id int, frame_idx int, time double, duration double, time_unit string, candidates array<struct<label:string,prob:double>>")
+    got = {s.song_id: s.p for s in sg.build_segments(frames.repartition(7), PARAMS, size).selectExpr("song_id", "top.prob as p").collect()}
+    for k, x in enumerate(probs):
+        total = 0.0
+        for p in x:
+            total += p
+        assert got[k] == total / len(x)
+    # nothing sorts the frames of a chord again on their way into the sums, as a sort that spills leaves equal keys in any order
+    plan = sg.build_segments(frames, PARAMS, size)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"partial_sum\(\(_extract_prob[^\n]*\n[ :+-]*Sort \[song_id[^\n]*harte[^\n]*frame_idx[^\n]*pos", plan), plan
+
+
+def test_written_tables_are_broadcast_by_measured_size_only(spark):
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    big = seq.stage(spark.range(1_000_000).selectExpr("id % 8 as song_id", "cast(id % 1000 as int) as seg", "'text' as a", "'text' as b"))
+    few = seq.stage(spark.range(1000).selectExpr("id % 8 as song_id", "cast(id as int) as seg"))
+    pairs = few.join(big.select("song_id", "seg"), ["song_id", "seg"])
+    assert "BroadcastExchange" not in plan(pairs) and "SortMergeJoin" in plan(pairs)
+    assert pairs.count() == 1_000_000 // 1000 * 1000 * 8 // 8
+    small = few.join(few.selectExpr("song_id", "seg as other"), ["song_id"])
+    small.write.format("noop").mode("overwrite").save()
+    assert spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold") != "-1"
