@@ -1,6 +1,7 @@
 """Steps along a song give the same in blocks of any size as one plain pass over it."""
 
 import random
+import re
 
 import numpy as np
 import pytest
