@@ -7,8 +7,8 @@ allows at most (1 - s) / (1 + s) of both sizes to differ. The screen loses no pa
 
 Large buckets do not become pairs: in each round the nodes of a bucket are compared with one pivot, the links are made
 components, and buckets that lie in one component are closed. Rounds with other pivots follow while many pairs are open and
-rounds close most of them. The rest is decided pair by pair: small buckets by a self-join, large ones in blocks of BLOCK nodes, where only pairs that
-pass the screen leave a task.
+rounds close most of them. The rest is decided pair by pair: small buckets by a self-join, large ones in blocks of BLOCK nodes, where a task decides on
+whole sets, compares only nodes that its links have not joined, and leaves fewer links than it has nodes.
 
 Bitmaps and texts of candidate nodes are a table bucketed by node, so that rounds move pairs and the texts of pairs, never
 the whole table."""
@@ -32,6 +32,7 @@ ROUNDS = 5  # at most; a round that leaves over half of the open pairs is the la
 SMALL = 8  # nodes of a bucket that a self-join handles
 BLOCK = 1024
 COARSE = 256  # bits of the first screen within a block
+HELD = 1 << 22  # members of the sets that a group of blocks keeps
 
 
 @dataclass(frozen=True)
@@ -142,34 +143,52 @@ def decided(pairs: DataFrame, nodes: DataFrame, measure: Measure) -> DataFrame:
     return joined.mapInArrow(check, "a long, b long")
 
 
-def block_pairs(rows: DataFrame, nodes: DataFrame, measure: Measure) -> DataFrame:
-    """Pairs (a, b) of large buckets rows (h, node, n, root) that pass the screen and have other roots.
+def block_links(rows: DataFrame, nodes: DataFrame, measure: Measure) -> DataFrame:
+    """Links (a, b) within large buckets rows (h, node, n, root), decided on whole sets: with the roots they give all components.
 
-    Nodes are dealt to blocks; each pair of blocks of a bucket is one task's group of at most about 2 * BLOCK nodes."""
+    Nodes are dealt to blocks; each pair of blocks of a bucket is one task's group of at most about 2 * BLOCK nodes. A group
+    joins what it links, as it goes, with what has one root already and compares only nodes that are still apart, so it
+    leaves fewer links than it has nodes."""
 
     def compare(key: tuple, table: pa.Table) -> pa.Table:
+        import zstandard
+
         i, j = key[1].as_py(), key[2].as_py()
         node, n, root, block = (table.column(c).to_numpy() for c in ("node", "n", "root", "block"))
-        bits = table.column("bits").to_pylist()
+        bits, packed = table.column("bits").to_pylist(), table.column("packed")
         coarse = [np.frombuffer(x, np.uint8) for x in bits]
         width = min([COARSE // 8, *map(len, coarse)])
         small = np.array([folded(x, width) for x in coarse]).reshape(len(coarse), -1).view(np.uint64)
+        unpack, sets, held = zstandard.ZstdDecompressor().decompress, {}, 0
+
+        def set_of(k: int) -> np.ndarray:
+            nonlocal held
+            if k not in sets:
+                if held > HELD:
+                    sets.clear()
+                    held = 0
+                sets[k] = shingle_set(unpack(packed[k].as_py()), measure.width)
+                held += len(sets[k])
+            return sets[k]
+
+        label = np.unique(root, return_inverse=True)[1]
         first, second = np.flatnonzero(block == i), np.flatnonzero(block == j)
         a, b = [], []
         for k in first:
             other = second[second > k] if i == j else second
             ratio = measure.den * np.minimum(n[other], n[k]) >= measure.num * np.maximum(n[other], n[k])
-            other = other[ratio & (root[other] != root[k])]
+            other = other[ratio & (label[other] != label[k])]
             apart = np.bitwise_count(small[other] ^ small[k]).sum(axis=1)
-            other = other[measure.may_be(apart.astype(np.int64), n[other] + n[k])]
-            other = [x for x in other if measure.may_be(bits_apart(bits[x], bits[k]), int(n[x] + n[k]))]
-            a += [min(node[k], node[x]) for x in other]
-            b += [max(node[k], node[x]) for x in other]
+            for x in other[measure.may_be(apart.astype(np.int64), n[other] + n[k])]:
+                if label[x] != label[k] and measure.may_be(bits_apart(bits[x], bits[k]), int(n[x] + n[k])) and measure.similar(set_of(k), set_of(x)):
+                    label[label == label[x]] = label[k]
+                    a.append(min(node[k], node[x]))
+                    b.append(max(node[k], node[x]))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     blocks = rows.groupBy("h").agg(F.expr(f"cast(ceil(count(*) / {BLOCK}) as int)").alias("blocks"))
-    dealt = rows.join(blocks, "h").join(nodes.select("node", "bits"), "node").withColumn("block", F.expr("cast(pmod(xxhash64(node, 7), blocks) as int)"))
-    dealt = dealt.select("h", "node", F.col("n").cast("long").alias("n"), "root", "bits", "block", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
+    dealt = rows.join(blocks, "h").join(nodes.select("node", "bits", "packed"), "node").withColumn("block", F.expr("cast(pmod(xxhash64(node, 7), blocks) as int)"))
+    dealt = dealt.select("h", "node", F.col("n").cast("long").alias("n"), "root", "bits", "packed", "block", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
     keyed = dealt.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
     return keyed.groupBy("h", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
@@ -228,31 +247,47 @@ def similar_nodes(candidates: DataFrame, texts: DataFrame, measure: Measure, scr
     other = [F.col("node").alias("other"), F.col("n").alias("other_n"), F.col("root").alias("other_root")]
     roots = None
 
-    def take(pairs: DataFrame) -> None:
-        """Decides pairs and makes the links components with what was known."""
+    def take(links: DataFrame) -> None:
+        """Makes the links components with what was known."""
         nonlocal roots
-        found = scratch.stage(decided(pairs, nodes, measure), "links")
+        found = scratch.stage(links, "links")
         edges = found if roots is None else found.unionByName(roots.select(F.col("u").alias("a"), F.col("v").alias("b")))
         known, roots = roots, components(edges, scratch)
         scratch.drop(found, *([known] if known is not None else []))
 
-    rows, left = open_rows.count(), None
-    for turn in range(ROUNDS):
+    def compare_with_pivots(turn: int) -> None:
         pivot = F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "n", "root")).alias("p")
         pivots = open_rows.groupBy("h").agg(pivot).select("h", F.col("p.node").alias("other"), F.col("p.n").alias("other_n"), F.col("p.root").alias("other_root"))
-        take(screened(open_rows.join(pivots, "h").where(near).select(*pair).distinct(), nodes, measure))
+        take(decided(screened(open_rows.join(pivots, "h").where(near).select(*pair).distinct(), nodes, measure), nodes, measure))
+
+    def close() -> float:
+        """Leaves the buckets that lie in more than one component, with their nodes' roots; the number of their open pairs."""
+        nonlocal open_rows
         labelled = open_rows.select("h", "node", "n", "root").join(roots.select(F.col("u").alias("node"), F.col("v").alias("known")), "node", "left")
         labelled = scratch.stage(labelled.select("h", "node", "n", F.coalesce("known", "root").alias("root")), "labelled")
         split = labelled.groupBy("h", "root").count().groupBy("h").agg(F.sum("count").alias("c"), F.sum(F.col("count") * F.col("count")).alias("cc"))
         before, open_rows = open_rows, scratch.stage(labelled.join(split.where("c * c > cc"), "h"), "open")
         scratch.drop(before, labelled)
-        last, left = left, open_rows.agg(F.sum(F.expr("(cast(c as double) - cast(cc as double) / c) / 2"))).first()[0] or 0
+        return open_rows.agg(F.sum(F.expr("(cast(c as double) - cast(cc as double) / c) / 2"))).first()[0] or 0
+
+    rows, left = open_rows.count(), None
+    for turn in range(ROUNDS):
+        compare_with_pivots(turn)
+        last, left = left, close()
         if left <= OPEN * rows or last is not None and left > last / 2:
             break
     if left:
-        small = open_rows.where(f"c <= {SMALL}")
+        small, large = open_rows.where(f"c <= {SMALL}"), open_rows.where(f"c > {SMALL}")
         pairs = small.join(small.select("h", *other), "h").where(f"node < other and {near}").select(*pair).distinct()
-        take(screened(pairs, nodes, measure).unionByName(block_pairs(open_rows.where(f"c > {SMALL}").drop("c", "cc"), nodes, measure)).distinct())
+        # buckets of one large group hold much the same nodes: each node goes to its largest bucket first, which closes most others
+        largest = large.groupBy("node").agg(F.max(F.struct("c", "h")).alias("x")).select("node", F.col("x.h").alias("h"))
+        take(decided(screened(pairs, nodes, measure), nodes, measure).unionByName(block_links(large.join(largest, ["h", "node"]).drop("c", "cc"), nodes, measure)).distinct())
+        done, open_rows = open_rows, scratch.stage(open_rows.where(f"c > {SMALL}"), "large")
+        scratch.drop(done)
+        if close():
+            compare_with_pivots(ROUNDS)
+            if close():
+                take(block_links(open_rows.drop("c", "cc"), nodes, measure))
     place = scratch.spark.sql(f"describe table extended {name}").where("col_name = 'Location'").first()[1]
     scratch.spark.sql(f"drop table {name}")
     remove_folder(place)

@@ -210,3 +210,22 @@ def test_screen_loses_no_similar_pair():
         assert may or not measure.similar(one, two)
         ruled_out += not may
     assert ruled_out > 100
+
+
+@pytest.mark.parametrize("block,most", [(1024, 59), (20, 59 * 6)])
+def test_a_group_of_near_copies_leaves_fewer_links_than_nodes(spark, monkeypatch, block, most):
+    import zstandard
+
+    monkeypatch.setattr(links, "BLOCK", block)
+    base, pack = prose(4000, 400), zstandard.ZstdCompressor().compress
+    texts = [changed(base, k, 4).lower().encode() for k in range(60)]
+    sets = [links.shingle_set(t, 2) for t in texts]
+    nodes = spark.createDataFrame([(k, len(s), links.parity(s), pack(t)) for k, (s, t) in enumerate(zip(sets, texts))], "node long, n int, bits binary, packed binary")
+    rows = spark.createDataFrame([(7, k, len(s), k) for k, s in enumerate(sets)], "h long, node long, n int, root long")
+    found = links.block_links(rows, nodes, links.Measure(2, 80, 100)).collect()
+    assert 59 <= len(found) <= most
+    parent = list(range(60))
+    for a, b in sorted(map(tuple, found)):
+        one, two = parent[a], parent[b]
+        parent = [two if p == one else p for p in parent]
+    assert len(set(parent)) == 1
