@@ -152,3 +152,25 @@ def test_written_tables_are_broadcast_by_measured_size_only(spark):
     small = few.join(few.selectExpr("song_id", "seg as other"), ["song_id"])
     small.write.format("noop").mode("overwrite").save()
     assert spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold") != "-1"
+
+
+@pytest.mark.parametrize("size,batch", [(2, 3), (5, 10_000), (1024, 4), (1024, 10_000)])
+@pytest.mark.parametrize("offsets,shifts", [(range(1, 3), range(12)), (range(-4, 5), range(1))])
+def test_repetition_band(spark, size, batch, offsets, shifts):
+    rng = np.random.default_rng(size)
+    songs = {f"s{k}": rng.random((n, 24)) - 0.2 for k, n in enumerate([1, 2, 3, 9, 14])}
+    wins = spark.createDataFrame([(k, i, x.tolist()) for k, v in songs.items() for i, x in enumerate(v)], "song_id string, bar_no int, v array<double>")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        found = st.repetition(wins, offsets, shifts, size).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = {(x.song_id, x.shift, x.i, x.j): x.sim for x in found}
+    assert len(got) == len(found)
+    want = {}
+    for k, v in songs.items():
+        for r in shifts:
+            turned = np.concatenate([np.roll(v[:, :12], r, axis=1), np.roll(v[:, 12:], r, axis=1)], axis=1)
+            want |= {(k, r, i, i + o): min(max(float(v[i] @ turned[i + o]), 0.0), 1.0) for i in range(len(v)) for o in offsets if 0 <= i + o < len(v)}
+    assert got.keys() == want.keys()
+    assert all(abs(got[x] - want[x]) < 1e-12 for x in want)
