@@ -174,3 +174,20 @@ def test_repetition_band(spark, size, batch, offsets, shifts):
             want |= {(k, r, i, i + o): min(max(float(v[i] @ turned[i + o]), 0.0), 1.0) for i in range(len(v)) for o in offsets if 0 <= i + o < len(v)}
     assert got.keys() == want.keys()
     assert all(abs(got[x] - want[x]) < 1e-12 for x in want)
+
+
+def test_partitions_follow_the_rows(spark):
+    """A shuffle of many small rows is not merged down to one partition per core; small inputs leave the session as it is."""
+    first, advised = "spark.sql.adaptive.coalescePartitions.initialPartitionNum", "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    session = spark.newSession()
+    seq.deal_by_rows(session, 1000)
+    assert session.conf.get(first, None) is None and session.conf.get(advised) == spark.conf.get(advised)
+    rows = 100 * seq.TASK_ROWS
+    seq.deal_by_rows(session, rows)
+    assert int(session.conf.get(first)) == 100
+    songs = session.range(rows).selectExpr("id div 64 as song_id", "xxhash64(id) as a", "xxhash64(-id) as b").repartition("song_id")
+    sizes = [r.n for r in songs.selectExpr("spark_partition_id() as p").groupBy("p").count().withColumnRenamed("count", "n").collect()]
+    assert len(sizes) > 8 and max(sizes) < rows / 8
+    seq.deal_by_rows(session, 10 * rows)
+    seq.deal_by_rows(session, 5 * rows)
+    assert int(session.conf.get(first)) == 1000  # a smaller table in the same session leaves what a larger one asked for
