@@ -28,6 +28,15 @@ def test_orbit(spark, size):
     assert got == sorted(want)
 
 
+@pytest.mark.parametrize("size", [3, 4096])
+def test_orbit_hands_python_many_songs_at_a_time(spark, size):
+    """One call per batch of blocks, not one per song: 3000 short songs were 3000 calls in one task."""
+    nodes = seq.stage(spark.range(3000 * 7).selectExpr("id div 7 as song_id", "id % 7 as idx", "if(id % 7 + 2 < 7, id % 7 + 2, null) as succ"))
+    reached = seq.orbit(nodes, size)
+    assert "FlatMapGroups" not in reached._jdf.queryExecution().executedPlan().toString()
+    assert sorted((x.song_id, x.idx) for x in reached.collect()) == [(s, i) for s in range(3000) for i in (0, 2, 4, 6)]
+
+
 def plain_bars(downs, p, d, duration):
     """Bar lines and irregular bars by one fold over the downbeats."""
     def whole(gap):
