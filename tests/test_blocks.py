@@ -200,3 +200,32 @@ def test_partitions_follow_the_rows(spark):
     seq.deal_by_rows(session, 10 * rows)
     seq.deal_by_rows(session, 5 * rows)
     assert int(session.conf.get(first)) == 1000  # a smaller table in the same session leaves what a larger one asked for
+
+
+@pytest.mark.parametrize("size", [4, 9, 64])
+def test_section_pairs(spark, size):
+    """Blocks of sections of any size give the plain comparison of two sections, equal bars included."""
+    r = np.random.default_rng(3)
+    bars = r.integers(0, 2, (26, 24)).astype(float)
+    bars[10:14] = np.roll(bars[0:4].reshape(4, 2, 12), 5, axis=2).reshape(4, 24)
+    bars /= np.maximum(np.linalg.norm(bars, axis=1, keepdims=True), 1e-9)
+    cuts = [0, 4, 10, 14, 15, 22, 26]
+    wins = seq.stage(spark.createDataFrame([("a", k, x.tolist()) for k, x in enumerate(bars)], "song_id string, bar_no int, v array<double>"))
+    sections = seq.stage(spark.createDataFrame([("a", k, a, b) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))], "song_id string, sec int, start_bar int, end_bar int"))
+    got = {(x.i, x.j): (x.sim, x.shift, x.off) for x in st.section_pairs(sections, wins, PARAMS, size).collect()}
+    s, want = PARAMS["structure"], {}
+    for i, (a0, a1) in enumerate(zip(cuts, cuts[1:])):
+        for j, (b0, b1) in enumerate(zip(cuts, cuts[1:])):
+            best = (0.0, 0, 0)
+            for off in range(-s["slack_bars"], s["slack_bars"] + 1):
+                ks = [k for k in range(a1 - a0) if 0 <= k + off < b1 - b0]
+                if len(ks) >= max(2, min(a1 - a0, b1 - b0) // 2):
+                    for t in range(12):
+                        turned = np.roll(bars.reshape(26, 2, 12), t, axis=2).reshape(26, 24)
+                        v = (np.mean([min(bars[a0 + k] @ turned[b0 + k + off], 1) for k in ks]) - s["shift_penalty"] * (t > 0)) * (len(ks) / max(a1 - a0, b1 - b0)) ** 0.25
+                        if v > best[0] + 1e-8:
+                            best = (v, t, off)
+            want[i, j] = best
+    assert got.keys() == {k for k in want if k[0] != k[1]}
+    for k, (sim, shift, off) in got.items():
+        assert abs(sim - want[k][0]) < 1e-7 and (shift, off) == want[k][1:]
