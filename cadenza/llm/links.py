@@ -143,22 +143,71 @@ def decided(pairs: DataFrame, nodes: DataFrame, measure: Measure) -> DataFrame:
     return joined.mapInArrow(check, "a long, b long")
 
 
+class Tile:
+    """The nodes of one pair of blocks (i, j) of a bucket, by their bitmaps."""
+
+    def __init__(self, key: tuple, table: pa.Table, measure: Measure):
+        i, j = key[1].as_py(), key[2].as_py()
+        self.node, self.n, root, block = (table.column(c).to_numpy() for c in ("node", "n", "root", "block"))
+        self.bits, self.measure, self.within = table.column("bits").to_pylist(), measure, i == j
+        coarse = [np.frombuffer(x, np.uint8) for x in self.bits]
+        width = min([COARSE // 8, *map(len, coarse)])
+        self.small = np.array([folded(x, width) for x in coarse]).reshape(len(coarse), -1).view(np.uint64)
+        self.label = np.unique(root, return_inverse=True)[1]
+        self.first, self.second = np.flatnonzero(block == i), np.flatnonzero(block == j)
+
+    def others(self, k: int) -> np.ndarray:
+        """Those to compare with node k: not joined with it, of fitting size, not ruled out by coarse bitmaps."""
+        n, measure = self.n, self.measure
+        other = self.second[self.second > k] if self.within else self.second
+        ratio = measure.den * np.minimum(n[other], n[k]) >= measure.num * np.maximum(n[other], n[k])
+        other = other[ratio & (self.label[other] != self.label[k])]
+        apart = np.bitwise_count(self.small[other] ^ self.small[k]).sum(axis=1)
+        return other[measure.may_be(apart.astype(np.int64), n[other] + n[k])]
+
+    def may_link(self, k: int, x: int) -> bool:
+        return self.measure.may_be(bits_apart(self.bits[x], self.bits[k]), int(self.n[x] + self.n[k]))
+
+
+def in_blocks(rows: DataFrame, nodes: DataFrame, *columns: str) -> DataFrame:
+    """Rows (h, node, n, root) with the named columns of their nodes, once for each pair of blocks (i, j) of a bucket.
+
+    Nodes are dealt to blocks; each pair of blocks of a bucket is one task's group of at most about 2 * BLOCK nodes."""
+    blocks = rows.groupBy("h").agg(F.expr(f"cast(ceil(count(*) / {BLOCK}) as int)").alias("blocks"))
+    dealt = rows.join(blocks, "h").join(nodes.select("node", *columns), "node").withColumn("block", F.expr("cast(pmod(xxhash64(node, 7), blocks) as int)"))
+    dealt = dealt.select("h", "node", F.col("n").cast("long").alias("n"), "root", *columns, "block", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
+    return dealt.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+
+
+def promising(rows: DataFrame, nodes: DataFrame, measure: Measure) -> DataFrame:
+    """The rows (h, node, n, root) of nodes that have a pair in their bucket which bitmaps do not rule out.
+
+    Bitmaps are a small part of what texts take, so texts need to follow to few buckets only. It gives rows, never pairs."""
+
+    def screen(key: tuple, table: pa.Table) -> pa.Table:
+        tile = Tile(key, table, measure)
+        found = np.zeros(len(tile.node), bool)
+        for k in tile.first:
+            for x in tile.others(k):
+                if not (found[k] and found[x]) and tile.may_link(k, x):
+                    found[[k, x]] = True
+        return table.select(["h", "node"]).filter(pa.array(found))
+
+    found = in_blocks(rows, nodes, "bits").groupBy("h", "i", "j").applyInArrow(screen, "h long, node long").distinct()
+    return rows.join(found, ["h", "node"], "left_semi")
+
+
 def block_links(rows: DataFrame, nodes: DataFrame, measure: Measure) -> DataFrame:
     """Links (a, b) within large buckets rows (h, node, n, root), decided on whole sets: with the roots they give all components.
 
-    Nodes are dealt to blocks; each pair of blocks of a bucket is one task's group of at most about 2 * BLOCK nodes. A group
-    joins what it links, as it goes, with what has one root already and compares only nodes that are still apart, so it
+    A group joins what it links, as it goes, with what has one root already and compares only nodes that are still apart, so it
     leaves fewer links than it has nodes."""
 
     def compare(key: tuple, table: pa.Table) -> pa.Table:
         import zstandard
 
-        i, j = key[1].as_py(), key[2].as_py()
-        node, n, root, block = (table.column(c).to_numpy() for c in ("node", "n", "root", "block"))
-        bits, packed = table.column("bits").to_pylist(), table.column("packed")
-        coarse = [np.frombuffer(x, np.uint8) for x in bits]
-        width = min([COARSE // 8, *map(len, coarse)])
-        small = np.array([folded(x, width) for x in coarse]).reshape(len(coarse), -1).view(np.uint64)
+        tile = Tile(key, table, measure)
+        node, label, packed = tile.node, tile.label, table.column("packed")
         unpack, sets, held = zstandard.ZstdDecompressor().decompress, {}, 0
 
         def set_of(k: int) -> np.ndarray:
@@ -171,26 +220,16 @@ def block_links(rows: DataFrame, nodes: DataFrame, measure: Measure) -> DataFram
                 held += len(sets[k])
             return sets[k]
 
-        label = np.unique(root, return_inverse=True)[1]
-        first, second = np.flatnonzero(block == i), np.flatnonzero(block == j)
         a, b = [], []
-        for k in first:
-            other = second[second > k] if i == j else second
-            ratio = measure.den * np.minimum(n[other], n[k]) >= measure.num * np.maximum(n[other], n[k])
-            other = other[ratio & (label[other] != label[k])]
-            apart = np.bitwise_count(small[other] ^ small[k]).sum(axis=1)
-            for x in other[measure.may_be(apart.astype(np.int64), n[other] + n[k])]:
-                if label[x] != label[k] and measure.may_be(bits_apart(bits[x], bits[k]), int(n[x] + n[k])) and measure.similar(set_of(k), set_of(x)):
+        for k in tile.first:
+            for x in tile.others(k):
+                if label[x] != label[k] and tile.may_link(k, x) and measure.similar(set_of(k), set_of(x)):
                     label[label == label[x]] = label[k]
                     a.append(min(node[k], node[x]))
                     b.append(max(node[k], node[x]))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    blocks = rows.groupBy("h").agg(F.expr(f"cast(ceil(count(*) / {BLOCK}) as int)").alias("blocks"))
-    dealt = rows.join(blocks, "h").join(nodes.select("node", "bits", "packed"), "node").withColumn("block", F.expr("cast(pmod(xxhash64(node, 7), blocks) as int)"))
-    dealt = dealt.select("h", "node", F.col("n").cast("long").alias("n"), "root", "bits", "packed", "block", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
-    keyed = dealt.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-    return keyed.groupBy("h", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+    return in_blocks(rows, nodes, "bits", "packed").groupBy("h", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
 EDGES = 1 << 20  # links that one task makes components of
@@ -234,16 +273,17 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return edges
 
 
-def similar_nodes(candidates: DataFrame, texts: DataFrame, measure: Measure, scratch: Scratch, only_shared: bool = False) -> DataFrame:
+def similar_nodes(candidates: DataFrame, texts: DataFrame, measure: Measure, scratch: Scratch, only_shared: bool = False, near: DataFrame | None = None) -> DataFrame:
     """node, root for all nodes that are similar to another one, but the roots; written.
 
     candidates: (h, node, n), written; texts: (node, n, bits, packed), of which candidates of shared buckets are taken. With
-    only_shared, candidates are of shared buckets already and texts of no other nodes."""
+    only_shared, candidates are of shared buckets already and texts of no other nodes. near: pairs (a, b) of nodes that are likely
+    to be similar; they are decided first, so that rounds meet their nodes in one component."""
     found = candidates if only_shared else shared(candidates)
     open_rows = scratch.stage(found.withColumn("root", F.col("node")), "open")
     nodes, name = by_node(texts if only_shared else texts.join(open_rows.select("node").distinct(), "node", "left_semi"), scratch)
     pair = [F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")]
-    near = f"root <> other_root and {measure.sizes_fit('n', 'other_n')}"
+    apart = f"root <> other_root and {measure.sizes_fit('n', 'other_n')}"
     other = [F.col("node").alias("other"), F.col("n").alias("other_n"), F.col("root").alias("other_root")]
     roots = None
 
@@ -258,7 +298,7 @@ def similar_nodes(candidates: DataFrame, texts: DataFrame, measure: Measure, scr
     def compare_with_pivots(turn: int) -> None:
         pivot = F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "n", "root")).alias("p")
         pivots = open_rows.groupBy("h").agg(pivot).select("h", F.col("p.node").alias("other"), F.col("p.n").alias("other_n"), F.col("p.root").alias("other_root"))
-        take(decided(screened(open_rows.join(pivots, "h").where(near).select(*pair).distinct(), nodes, measure), nodes, measure))
+        take(decided(screened(open_rows.join(pivots, "h").where(apart).select(*pair).distinct(), nodes, measure), nodes, measure))
 
     def close() -> float:
         """Leaves the buckets that lie in more than one component, with their nodes' roots; the number of their open pairs."""
@@ -271,6 +311,9 @@ def similar_nodes(candidates: DataFrame, texts: DataFrame, measure: Measure, scr
         return open_rows.agg(F.sum(F.expr("(cast(c as double) - cast(cc as double) / c) / 2"))).first()[0] or 0
 
     rows, left = open_rows.count(), None
+    if near is not None:
+        take(decided(screened(near, nodes, measure), nodes, measure))
+        close()
     for turn in range(ROUNDS):
         compare_with_pivots(turn)
         last, left = left, close()
@@ -278,7 +321,7 @@ def similar_nodes(candidates: DataFrame, texts: DataFrame, measure: Measure, scr
             break
     if left:
         small, large = open_rows.where(f"c <= {SMALL}"), open_rows.where(f"c > {SMALL}")
-        pairs = small.join(small.select("h", *other), "h").where(f"node < other and {near}").select(*pair).distinct()
+        pairs = small.join(small.select("h", *other), "h").where(f"node < other and {apart}").select(*pair).distinct()
         # buckets of one large group hold much the same nodes: each node goes to its largest bucket first, which closes most others
         largest = large.groupBy("node").agg(F.max(F.struct("c", "h")).alias("x")).select("node", F.col("x.h").alias("h"))
         take(decided(screened(pairs, nodes, measure), nodes, measure).unionByName(block_links(large.join(largest, ["h", "node"]).drop("c", "cc"), nodes, measure)).distinct())
@@ -287,7 +330,9 @@ def similar_nodes(candidates: DataFrame, texts: DataFrame, measure: Measure, scr
         if close():
             compare_with_pivots(ROUNDS)
             if close():
-                take(block_links(open_rows.drop("c", "cc"), nodes, measure))
+                few = scratch.stage(promising(open_rows.drop("c", "cc"), nodes, measure), "few")
+                take(block_links(few, nodes, measure))
+                scratch.drop(few)
     place = scratch.spark.sql(f"describe table extended {name}").where("col_name = 'Location'").first()[1]
     scratch.spark.sql(f"drop table {name}")
     remove_folder(place)

@@ -43,7 +43,11 @@ def fingerprint(text: bytes, width: int) -> int:
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     starts, stops = [0, *ends[:-width].tolist()], (ends[width - 1 :] - 1).tolist()
     digest = xxhash.xxh64_digest
-    hashes = np.frombuffer(b"".join([digest(joined[a:b], SEED) for a, b in zip(starts, stops)]), np.uint8).reshape(-1, 8)
+    return majority(np.frombuffer(b"".join([digest(joined[a:b], SEED) for a, b in zip(starts, stops)]), np.uint8).reshape(-1, 8))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have; hashes: rows of eight bytes."""
     ones = np.concatenate([np.bincount(hashes[:, k], minlength=256) @ _BIT for k in range(8)])
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 

@@ -229,3 +229,20 @@ def test_a_group_of_near_copies_leaves_fewer_links_than_nodes(spark, monkeypatch
         one, two = parent[a], parent[b]
         parent = [two if p == one else p for p in parent]
     assert len(set(parent)) == 1
+
+
+@pytest.mark.parametrize("block", [1024, 20])
+def test_texts_follow_only_nodes_that_bitmaps_leave(spark, monkeypatch, block):
+    """60 unlike texts and one pair of near copies in a bucket: the pair's texts move, and it is linked as before."""
+    import zstandard
+
+    monkeypatch.setattr(links, "BLOCK", block)
+    pack = zstandard.ZstdCompressor().compress
+    texts = [prose(4000 + k, 400).lower().encode() for k in range(60)] + [changed(prose(4000, 400), 1, 4).lower().encode()]
+    sets = [links.shingle_set(t, 5) for t in texts]
+    nodes = spark.createDataFrame([(k, len(s), links.parity(s), pack(t)) for k, (s, t) in enumerate(zip(sets, texts))], "node long, n int, bits binary, packed binary")
+    rows = spark.createDataFrame([(7, k, len(s), k) for k, s in enumerate(sets)], "h long, node long, n int, root long")
+    measure = links.Measure(5, 4, 5)
+    few = links.promising(rows, nodes, measure)
+    assert sorted(r.node for r in few.collect()) == [0, 60] and few.columns == rows.columns
+    assert [tuple(r) for r in links.block_links(few, nodes, measure).collect()] == [(0, 60)]

@@ -10,6 +10,7 @@ import xxhash
 
 import corpus_pipeline
 from cadenza.llm import licenses, links, packing, quality, shingles, simhash, substrings
+from cadenza.llm.common import Scratch
 from cadenza.llm.queries import tokenizer_path
 from tests.llm.cases import SCHEMA, documents, frame, prose
 
@@ -329,3 +330,13 @@ def test_pipeline_drops_edited_copies(spark):
     """Six words changed leave a similarity over 0.8 and more than four bits."""
     docs = spark.createDataFrame([(1, prose(1, 300), "en", "a", 0), (2, edited(prose(1, 300), 2, 6), "en", "a", 0), (3, prose(3, 300), "en", "a", 0)], SCHEMA)
     assert sorted(r.doc_id for r in corpus_pipeline.simhash_near_dedup(spark, docs, "").collect()) == [1, 3]
+
+
+def test_near_copies_meet_by_fingerprints_first(spark):
+    """A long copy with one word changed is paired by its SimHash fingerprint, an unlike text is not."""
+    docs = spark.createDataFrame([(1, prose(1, 3000), "en", "a", 0), (2, edited(prose(1, 3000), 2, 1), "en", "a", 0), (3, prose(3, 300), "en", "a", 0)], SCHEMA)
+    scratch = Scratch(spark)
+    table = scratch.stage(shingles.numbered(docs), "numbered")
+    node = {r.doc_id: r["_node"] for r in table.collect()}
+    pairs = shingles.near_prints(table, table.select("_row"), scratch).collect()
+    assert [tuple(p) for p in pairs] == [tuple(sorted((node[1], node[2])))]
