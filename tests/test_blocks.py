@@ -229,3 +229,21 @@ def test_section_pairs(spark, size):
     assert got.keys() == {k for k in want if k[0] != k[1]}
     for k, (sim, shift, off) in got.items():
         assert abs(sim - want[k][0]) < 1e-7 and (shift, off) == want[k][1:]
+
+
+def test_whole_songs_are_joined_without_shuffles(spark):
+    """Staged tables of whole songs are dealt by song once; what joins, groups or windows them by song does not deal them again."""
+    a = seq.stage(spark.range(600).selectExpr("cast(id % 30 as string) as song_id", "cast(id div 30 as int) as seg", "id as x"), None)
+    b = seq.stage(spark.range(600).selectExpr("cast(id % 30 as string) as song_id", "cast(id div 30 as int) as seg", "id * 2 as y"), None)
+    joined = seq.sql("""select song_id, sum(z) as z from (
+                          select a.song_id, a.x + lead(b.y, 1, 0L) over (partition by a.song_id order by a.seg) as z
+                          from {a} a left join {b} b on b.song_id = a.song_id and b.seg = a.seg - 1) group by song_id""", a=a, b=b)
+    before = spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {r.song_id: r.z for r in joined.collect()}
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", before)
+    assert "Exchange" not in plan and "Join" in plan
+    assert got == {str(s): sum(s + 30 * k for k in range(20)) + sum(2 * (s + 30 * k) for k in range(19)) for s in range(30)}
