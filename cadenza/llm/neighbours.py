@@ -31,6 +31,7 @@ TREES = 10
 LEAF = 512  # vectors a leaf is meant to hold
 SHARE = 0.9  # leaf entries a query looks at, over all trees, as a share of the vectors; recall holds at any size
 GROUP = 20_000  # vectors of a leaf that go to one task
+PROBED = 8 << 20  # bytes of vectors in one batch of probes; a query may visit thousands of leaves
 
 
 def valid_vectors(table: DataFrame) -> DataFrame:
@@ -126,6 +127,20 @@ class Forest:
         return found
 
 
+def probes_of(forest: Forest, part: dict, sizes: np.ndarray, salts: np.ndarray, take: float) -> Iterator[dict]:
+    """leaf, salt, q, vec of the leaves that each query of the batch visits, in batches of at most about PROBED bytes of vectors."""
+    out: dict[str, list] = {"leaf": [], "salt": [], "q": [], "vec": []}
+    for q, vec, x in zip(part["q"].to_pylist(), part["vec"].to_pylist(), unit(matrix(part["vec"])) if len(part["vec"]) else ()):
+        for at in forest.search(x, sizes, take):
+            for salt in range(salts[at]):
+                for name, value in zip(out, (at, salt, q, vec)):
+                    out[name].append(value)
+                if len(out["vec"]) * len(vec) >= PROBED:
+                    yield out
+                    out = {name: [] for name in out}
+    yield out
+
+
 def nearest(table: DataFrame, queries: DataFrame, k: int = 5, trees: int = TREES, leaf: int = LEAF, share: float = SHARE) -> DataFrame:
     """query_id, rank, vec_id, score: the k rows of table found nearest to each row of queries (vec_id, embedding)."""
     scratch = Scratch(table.sparkSession)
@@ -163,21 +178,16 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 5, trees: int = TREES
 
     def probe(parts: Iterator[dict]) -> Iterator[dict]:
         for part in parts:
-            out: dict[str, list] = {"leaf": [], "salt": [], "vec": []}
-            for vec, x in zip(part["vec"].to_pylist(), unit(matrix(part["vec"])) if len(part["vec"]) else ()):
-                for at in forest.search(x, sizes, take):
-                    for salt in range(salts[at]):
-                        out["leaf"].append(at)
-                        out["salt"].append(salt)
-                        out["vec"].append(vec)
-            yield out
+            yield from probes_of(forest, part, sizes, salts, take)
 
     def salted(parts: Iterator[dict]) -> Iterator[dict]:
         for part in index(parts):
             ids = np.asarray(part["vec_id"]).astype(np.uint64)
             yield part | {"salt": ((ids * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % salts[part["leaf"]]}
 
-    probes = map_texts(asked.select("vec").distinct(), ["vec"], probe, "leaf int, salt int, vec binary", "vec")
+    # what is found names its query by a number, as the vector would be most of each row
+    numbers = scratch.stage(asked.select("vec").distinct().withColumn("q", F.monotonically_increasing_id()), "numbers")
+    probes = map_texts(numbers, ["q", "vec"], probe, "leaf int, salt int, q long, vec binary", "vec")
     targets = map_texts(rows, ["vec_id", "vec"], salted, "leaf int, salt int, vec_id long, vec binary", "vec")
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -202,14 +212,14 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 5, trees: int = TREES
                     ids.append(names[best][order])
                     scores.append(exact[order])
         none = np.zeros(0)
-        return pa.table({"vec": left.column("vec").take(pa.array(queried, pa.int64())), "vec_id": np.concatenate([none.astype(np.int64), *ids]), "score": np.concatenate([none, *scores])})
+        return pa.table({"q": left.column("q").take(pa.array(queried, pa.int64())), "vec_id": np.concatenate([none.astype(np.int64), *ids]), "score": np.concatenate([none, *scores])})
 
-    found = probes.groupBy("leaf", "salt").cogroup(targets.groupBy("leaf", "salt")).applyInArrow(compare, "vec binary, vec_id long, score double")
+    found = probes.groupBy("leaf", "salt").cogroup(targets.groupBy("leaf", "salt")).applyInArrow(compare, "q long, vec_id long, score double")
     # a candidate comes from several trees, with the same score
-    best = Window.partitionBy("vec").orderBy(F.desc("score"), "vec_id")
-    found = found.groupBy("vec", "vec_id").agg(F.max("score").alias("score"))
+    best = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
+    found = found.groupBy("q", "vec_id").agg(F.max("score").alias("score"))
     found = found.withColumn("at", F.row_number().over(best)).where(F.col("at") <= k + 1)
     found = scratch.stage(found.drop("at"), "found")
-    own = asked.withColumnRenamed("vec_id", "query_id").join(found, "vec").where("query_id <> vec_id")
-    rank = F.row_number().over(Window.partitionBy("query_id", "vec").orderBy(F.desc("score"), "vec_id"))
+    own = asked.withColumnRenamed("vec_id", "query_id").join(numbers, "vec").drop("vec").join(found, "q").where("query_id <> vec_id")
+    rank = F.row_number().over(Window.partitionBy("query_id", "q").orderBy(F.desc("score"), "vec_id"))
     return own.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

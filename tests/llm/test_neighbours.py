@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 
 from cadenza.llm import neighbours
 
@@ -63,3 +64,16 @@ def test_repeated_ids(spark):
     got = sorted((r.query_id, r["rank"], r.vec_id) for r in neighbours.nearest(df, df.where("vec_id = 0"), k=5).collect())
     near, far = [1, 2, 3, 4, 5], [8, 7, 6, 5, 4]
     assert got == sorted((0, k + 1, v) for ids in (near, far) for k, v in enumerate(ids))
+
+
+def test_probes_come_in_bounded_batches(monkeypatch):
+    """Queries that visit many leaves leave as many small batches, with every visit in them once."""
+    monkeypatch.setattr(neighbours, "PROBED", 4096)
+    x = neighbours.unit(np.random.default_rng(2).normal(size=(400, 16)))
+    forest = neighbours.Forest(x, 5, 8)
+    sizes, salts = np.full(forest.leaves, 8), np.full(forest.leaves, 2)
+    part = {"q": pa.array(range(20)), "vec": pa.array([v.tobytes() for v in x[:20]])}
+    parts = list(neighbours.probes_of(forest, part, sizes, salts, 1000))
+    assert len(parts) > 20 and all(sum(map(len, p["vec"])) <= 4096 + 128 for p in parts)
+    got = sorted((q, leaf, salt) for p in parts for q, leaf, salt in zip(p["q"], p["leaf"], p["salt"]))
+    assert got == sorted((q, leaf, salt) for q in range(20) for leaf in forest.search(x[q], sizes, 1000) for salt in range(2))
